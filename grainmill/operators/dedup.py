@@ -64,11 +64,8 @@ def dedup_report(df: DataFrame, subset: Sequence[str] | None = None,
     """(initial_rows, final_rows, duplicates_found, rows_removed, keep) from key counts alone."""
     groups = df.groupBy(*(subset or df.columns)).agg(F.count(F.lit(1)).alias("n"))
     final = F.count_if(F.col("n") == 1) if keep == "none" else F.count(F.lit(1))
-    return groups.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("initial_rows"),
-        final.alias("final_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("__total"),
-    ).select("initial_rows", "final_rows",
-             (F.col("__total") - F.col("final_rows")).alias("duplicates_found"),
-             (F.col("initial_rows") - F.col("final_rows")).alias("rows_removed"),
-             F.lit(keep).alias("keep"))
+    counts = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("initial_rows"),
+                        final.alias("final_rows"))
+    removed = F.col("initial_rows") - F.col("final_rows")
+    return counts.withColumns({"duplicates_found": removed, "rows_removed": removed,
+                               "keep": F.lit(keep)})

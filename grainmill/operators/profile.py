@@ -241,6 +241,6 @@ def describe_all(df: DataFrame) -> DataFrame:
 
 
 def approx_distinct(df: DataFrame, columns: Sequence[str] | None = None,
-                    rsd: float = 0.02) -> DataFrame:
+                    rsd: float = 0.05) -> DataFrame:
     columns = list(columns or df.columns)
     return one_pass(df, {c: {"n_distinct": F.approx_count_distinct(c, rsd)} for c in columns})

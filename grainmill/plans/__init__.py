@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling",)
+MODULES = ("profiling", "rules", "cleaning")
 
 
 def load_all() -> None:
