@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "rules", "cleaning")
+MODULES = ("profiling", "rules", "cleaning", "findings")
 
 
 def load_all() -> None:

@@ -183,7 +183,8 @@ def impute_mode(spark, folder):
 @query("impute_plan", """
 select * from (values ('o_orderkey', 0.0, 'none'), ('a', 0.5, 'median'), ('b', 0.25, 'knn'),
   ('c', 0.0625, 'mean'), ('d', 0.5, 'mode'), ('e', 0.125, 'ffill'), ('t', 0.5, 'mode'))
-  t("column", nominal, strategy) where (select count(*) from orders) > 0""")
+  t("column", nominal, strategy) where (select count(*) from orders) > 0""".replace(
+    "select *", 'select "column", nominal::double as nominal, strategy'))
 def impute_plan(spark, folder):
     def hole(c, every):
         return F.when(F.col("o_orderkey") % every != 0, F.col(c))
@@ -224,7 +225,9 @@ _DUCK_FORMATS = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y", "%Y/%m/%d", "%Y-%m-%d %H:%M
        "(l_orderkey + l_linenumber) % 12 "
        + " ".join(f"when {i} then strftime(l_shipdate, '{f}')" for i, f in enumerate(_DUCK_FORMATS))
        + " else 'not a date' end as s from lineitem) select l_orderkey, l_linenumber, l_partkey, s, "
-       + "coalesce(" + ", ".join(f"try_strptime(s, '{f}')" for f in _DUCK_FORMATS) + ") as parsed from t")
+       + "coalesce(" + ", ".join(
+           f"case when regexp_matches(s, '{4 if '%Y' in f else 2}') then try_strptime(s, '{f}') end"
+           .replace("'4'", "'\\d{4}'").replace("'2'", "'\\d'") for f in _DUCK_FORMATS) + ") as parsed from t")
 def parse_datetime(spark, folder):
     turn = (F.col("l_orderkey") + F.col("l_linenumber")) % 12
     text = F.lit("not a date")
