@@ -67,8 +67,8 @@ def anomaly_iqr(spark, folder):
     return _rounded(A.iqr_anomalies(events_gaps(spark, folder), ["event_id"], ["value"]))
 
 
-_LO2, _HI2, _ = _fence("l_extendedprice", "lineitem")
-_LO3, _HI3, _ = _fence("l_quantity", "lineitem")
+_LO2, _HI2, _ = (x.replace("1.5", "0.3") for x in _fence("l_extendedprice", "lineitem"))
+_LO3, _HI3, _ = (x.replace("1.5", "0.3") for x in _fence("l_quantity", "lineitem"))
 
 
 @query("anomaly_iqr_combined", f"""
@@ -79,7 +79,7 @@ select {ROW}, c as "column", s::double as score, s / 2.0 as severity
 from s, (values ('l_extendedprice'), ('l_quantity')) t(c) where s > 0""".replace("s / 2.0", "(s / 2.0)::double"))
 def anomaly_iqr_combined(spark, folder):
     return _rounded(A.iqr_anomalies(table(spark, folder, "lineitem"), ROW_ID,
-                                    ["l_extendedprice", "l_quantity"], mode="combined"))
+                                    ["l_extendedprice", "l_quantity"], 0.3, mode="combined"))
 
 
 @query("cleaning_iqr_flags", f"""
