@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..ml.least_squares import fit_groups
 from ..session import cut_lineage
 from .joins import join_groups
 from .ordered import number_rows, running_totals, with_window
@@ -191,34 +192,7 @@ def adf(df: DataFrame, value: str, keys: Sequence[str], order_by: Sequence[str],
         se = F.sqrt(F.try_divide(F.try_divide(rss, F.col("n") - 2), F.col("sxx")))
         out = fit.select(*keys, "n", F.try_divide(slope, se).alias("statistic"))
     else:
-        out = _adf_with_lags(rows, names, keys)
+        fit = fit_groups(rows, names, "__d", keys)
+        out = fit.select(*keys, "n", F.try_divide(F.get("beta", F.lit(1)), F.get("stderr", F.lit(1)))
+                         .alias("statistic"))
     return out.withColumn("stationary", F.col("statistic") < ADF_5PCT)
-
-
-def _adf_with_lags(rows: DataFrame, names: list[str], keys: Sequence[str]) -> DataFrame:
-    columns = [F.lit(1.0), *[F.col(c) for c in names]]
-    k = len(columns)
-    cross = [F.sum(columns[i] * columns[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    right = [F.sum(columns[i] * F.col("__d")).alias(f"b{i}") for i in range(k)]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__d") * F.col("__d")).alias("yy"),
-                                   *cross, *right)
-
-    def solve(batches):
-        import numpy as np
-
-        for pdf in batches:
-            stats = []
-            for _, r in pdf.iterrows():
-                a = np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-                b = np.array([r[f"b{i}"] for i in range(k)], float)
-                try:
-                    beta = np.linalg.solve(a, b)
-                    s2 = (r["yy"] - beta @ b) / (r["n"] - k)
-                    stats.append(float(beta[1] / np.sqrt(s2 * np.linalg.inv(a)[1, 1])))
-                except (np.linalg.LinAlgError, ZeroDivisionError):
-                    stats.append(None)
-            yield pdf[[*keys, "n"]].assign(statistic=stats)
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "n bigint", "statistic double"])
-    return sums.mapInPandas(solve, schema)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("profiling", "rules", "cleaning", "findings", "files", "series", "nearby")
+MODULES = ("profiling", "rules", "cleaning", "findings", "files", "series", "nearby", "learning")
 
 
 def load_all() -> None:
