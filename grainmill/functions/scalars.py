@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Sequence
 
@@ -31,6 +32,23 @@ NUMERIC_TEXT = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _EDGE_SPACE = r"^\s+|\s+$"
 
 
+_SHAPES = (("yyyy", r"\d{4}"), ("yy", r"\d{2}"), ("MMM", "[A-Za-z]{3}"), ("M", r"\d{1,2}"),
+           ("d", r"\d{1,2}"), ("H", r"\d{1,2}"), ("m", r"\d{1,2}"), ("s", r"\d{1,2}"))
+
+
+def layout_shape(fmt: str) -> str:
+    """Regex of the texts a layout can parse; failed parses are dear, a regex test is not."""
+    out, i = "", 0
+    while i < len(fmt):
+        if fmt[i] == "'":
+            end = fmt.index("'", i + 1)
+            out, i = out + fmt[i + 1:end], end + 1
+            continue
+        token, shape = next(((t, s) for t, s in _SHAPES if fmt.startswith(t, i)), (fmt[i], None))
+        out, i = out + (shape or re.escape(token)), i + len(token)
+    return f"^{out}$"
+
+
 def _strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE_SPACE, "")
 
@@ -48,7 +66,8 @@ def parse_datetime(c: Column, tz: str = "UTC", formats: Sequence[str] = DATE_FOR
     text = _strip(c)
 
     def attempt(fmt: str) -> Column:
-        parsed = F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+        parsed = F.when(text.rlike(layout_shape(fmt)),
+                        F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
         if "yyyy" in fmt:
             return parsed
         # two-digit years pivot at 69, as in POSIX

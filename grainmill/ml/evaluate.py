@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import join_groups
 from ..operators.ordered import number_rows, running_totals, with_window
+from ..session import cut_lineage
 
 SEED = 42
 
@@ -136,7 +137,11 @@ Score = Callable[[DataFrame], DataFrame]
 
 
 def cross_validate(df: DataFrame, fit: Fit, score: Score, k: int) -> DataFrame:
-    """(fold, metric, value). `df` has a `fold` column; `fit` returns a scoring function."""
+    """(fold, metric, value). `df` has a `fold` column; `fit` returns a scoring function.
+
+    Every fold reads the table, so it is written once rather than derived k times.
+    """
+    df = cut_lineage(df)
     parts = []
     for fold in range(k):
         predict = fit(df.filter(F.col("fold") != fold))
@@ -155,6 +160,7 @@ def score_summary(scores: DataFrame) -> DataFrame:
 
 def backtest(df: DataFrame, fit: Fit, score: Score, n_splits: int) -> DataFrame:
     """(split, metric, value) over expanding windows; `df` has the `fold` of timeseries_folds."""
+    df = cut_lineage(df)
     parts = []
     for split in range(1, n_splits + 1):
         predict = fit(df.filter(F.col("fold") < split))

@@ -103,10 +103,20 @@ class TrendPredictor:
             grid: Mapping[str, Sequence] | None = None, n_iter: int = 10, folds: int = 3) -> TrendPredictor:
         require_columns(df, [*features, label])
         self.features = self.selected = list(features)
-        kept = df.filter(F.col(label).isNotNull())
+        # training passes over the rows many times: keep only what it needs, in executor storage
+        kept = df.select(*features, label).filter(F.col(label).isNotNull()).persist()
+        try:
+            return self._fit(kept, label, params, feature_selection, threshold, grid, n_iter, folds)
+        finally:
+            kept.unpersist()
+
+    def _fit(self, kept: DataFrame, label: str, params: Mapping | None, feature_selection: bool,
+             threshold: float, grid: Mapping[str, Sequence] | None, n_iter: int,
+             folds: int) -> TrendPredictor:
+        features = self.features
         self.means = {c: m for c, m in kept.agg(*[F.avg(c).alias(c) for c in features])
                       .first().asDict().items() if m is not None}
-        data = self._prepare(df, label, self.features)
+        data = self._prepare(kept, label, self.features)
         classes = 0
         if self.task == "classification":
             classes = int(data.agg(F.max("label")).first()[0]) + 1

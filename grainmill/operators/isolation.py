@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .profile import nan_to_null, numeric_columns, require_columns
 
 TREES, SAMPLE_ROWS, SEED, THRESHOLD = 100, 256, 42, 0.5  # fixed values
@@ -53,9 +54,14 @@ def fit_forest(df: DataFrame, row_id: Sequence[str], columns: Sequence[str], tre
                        F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
     # a bounded pool first, then each tree takes the smallest hashes of its own
     pool = values.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(trees * sample_rows)
-    drawn = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "rank", F.xxhash64("id", "tree", F.lit(seed)))
-    # every tree group holds at most trees * sample_rows pool rows
+    pool = cut_lineage(pool)
+    size = pool.count()
+    # of the hash range only about twice the wanted share is kept per tree, before any shuffle
+    share = min(1.0, 2.0 * sample_rows / max(size, 1))
+    bound = int(-(2 ** 63) + share * (2 ** 64 - 1)) if share < 1.0 else 2 ** 63 - 1
+    drawn = (pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+                 .withColumn("rank", F.xxhash64("id", "tree", F.lit(seed)))
+                 .filter(F.col("rank") <= F.lit(bound).cast("bigint")))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
@@ -66,8 +72,7 @@ def fit_forest(df: DataFrame, row_id: Sequence[str], columns: Sequence[str], tre
         return pd.DataFrame([[tree, *grown]], columns=["tree", "feature", "cut", "left", "depth"])
 
     forest = drawn.groupBy("tree").applyInPandas(build, TREE_SCHEMA).orderBy("tree").collect()
-    size = min(sample_rows, pool.count())
-    return [(r["feature"], r["cut"], r["left"], r["depth"]) for r in forest], size
+    return [(r["feature"], r["cut"], r["left"], r["depth"]) for r in forest], min(sample_rows, size)
 
 
 def isolation_scores(df: DataFrame, row_id: Sequence[str], columns: Sequence[str] | None = None,

@@ -119,19 +119,19 @@ def with_window(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],
     if not hot:
         return df.withColumns(make(_spec(keys, order_by)))
     size = max(setting(df.sparkSession, MAX_GROUP_ROWS), back, ahead, 1)
-    numbered = number_rows(df, keys, order_by, "__rn")
+    numbered = number_rows(df, keys, order_by, "__ordinal")
     place = numbered.withColumns({
-        "__home": F.floor((F.col("__rn") - 1) / size),
-        "__at": (F.col("__rn") - 1) % size,
+        "__home": F.floor((F.col("__ordinal") - 1) / size),
+        "__at": (F.col("__ordinal") - 1) % size,
     })
     blocks = F.array_compact(F.array(
         F.col("__home"),
         F.when(F.col("__at") >= size - back, F.col("__home") + 1),
         F.when((F.col("__at") < ahead) & (F.col("__home") > 0), F.col("__home") - 1)))
     lent = place.withColumn("__block", F.explode(blocks))
-    spec = Window.partitionBy(*keys, "__block").orderBy("__rn")
+    spec = Window.partitionBy(*keys, "__block").orderBy("__ordinal")
     return (lent.withColumns(make(spec)).filter(F.col("__block") == F.col("__home"))
-                .drop("__rn", "__home", "__at", "__block"))
+                .drop("__ordinal", "__home", "__at", "__block"))
 
 
 def fill_ordered(df: DataFrame, keys: Sequence[str], order_by: Sequence[str],

@@ -102,9 +102,12 @@ def value_counts(df: DataFrame, columns: Sequence[str], as_text: bool = True) ->
     def cast(c: str) -> Column:
         return F.col(c).cast("string") if as_text else as_double(df, c)
 
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), cast(c).alias("value")) for c in columns])
-    return (df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
-              .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), cast(c).alias("value"))
+                      for i, c in enumerate(columns)])
+    counts = (df.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
+                .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n")))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counts.select(F.get(names, F.col("i")).alias("column"), "value", "n")
 
 
 def modes(df: DataFrame, columns: Sequence[str], as_text: bool = True) -> DataFrame:
