@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_groups
+from ..operators.joins import attach_row, join_groups
 from ..operators.ordered import number_rows, running_totals, with_window
 from ..session import cut_lineage
 
@@ -79,7 +79,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = _by_score(df, label, score)
     run = running_totals(counts, [], ["__neg"], {"__tp": F.col("pos"), "__fp": F.col("neg")})
     totals = counts.agg(F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
-    return run.crossJoin(F.broadcast(totals)).select(  # one-row side
+    return attach_row(run, totals).select(
         (-F.col("__neg")).alias("threshold"), F.try_divide("__fp", "__n").alias("fpr"),
         F.try_divide("__tp", "__p").alias("tpr"))
 

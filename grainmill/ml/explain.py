@@ -48,18 +48,16 @@ def sampled_shapley(df: DataFrame, row_id: Sequence[str], features: Sequence[str
     require_columns(df, [*row_id, *features])
     data = df.select(*row_id, *[F.col(c).cast("double").alias(c) for c in features])
     background = (data.orderBy(F.xxhash64(*row_id, F.lit(seed)), *row_id).limit(background_rows)
-                  .select(F.struct(*row_id).alias("__id"), F.array(*features).alias("__b")))
-    listed = background.agg(F.sort_array(F.collect_list(F.struct("__id", "__b"))).alias("__list"))
+                  .select(F.array(*features).alias("__b")))  # a short list on the driver
+    pool = F.array(*[F.array(*[F.lit(v) for v in r["__b"]]) for r in background.collect()])
     order = F.transform(F.array_sort(F.transform(
         F.sequence(F.lit(0), F.lit(len(features) - 1)),
         lambda j: F.struct(F.xxhash64(*row_id, "perm", j, F.lit(seed)).alias("h"), j.alias("j")))),
         lambda s: s["j"])
     walks = (data.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
                  .withColumn("__order", order)
-                 .crossJoin(F.broadcast(listed))  # one row of at most `background_rows` entries
-                 .withColumn("__from", F.get("__list", F.pmod(
-                     F.xxhash64(*row_id, "perm", F.lit(seed + 1)), F.size("__list")).cast("int"))["__b"])
-                 .drop("__list")
+                 .withColumn("__from", F.get(pool, F.pmod(
+                     F.xxhash64(*row_id, "perm", F.lit(seed + 1)), F.size(pool)).cast("int")))
                  .withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(features))))))
     points = walks.withColumns({c: F.when(F.array_position("__order", j) <= F.col("step"), F.col(c))
                                 .otherwise(F.get("__from", F.lit(j))) for j, c in enumerate(features)})

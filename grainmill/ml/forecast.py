@@ -8,7 +8,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.joins import join_groups
+from ..operators.joins import attach_row, join_groups
 from ..operators.ordered import number_rows, with_window
 from .least_squares import fit_groups
 
@@ -51,7 +51,7 @@ def forecast_ar(df: DataFrame, value: str, keys: Sequence[str], order_by: Sequen
     target = "__diff" if d else value
     fits = fit_ar(work, target, keys, order_by, p).drop("n", "stderr", "rss")
     start = _last_values(work, target, keys, order_by, p)
-    both = join_groups(start, fits, keys) if keys else start.crossJoin(F.broadcast(fits))
+    both = join_groups(start, fits, keys) if keys else attach_row(start, fits)
 
     def step(state: Column, _: Column) -> Column:
         recent = F.slice(state, 1, p)
@@ -63,7 +63,7 @@ def forecast_ar(df: DataFrame, value: str, keys: Sequence[str], order_by: Sequen
     out = both.select(*keys, F.reverse(F.slice(path, 1, steps)).alias("__path"))
     if d:
         level = _last_values(series, value, keys, order_by, 1).select(*keys, F.get("last", F.lit(0)).alias("__y"))
-        out = join_groups(out, level, keys) if keys else out.crossJoin(F.broadcast(level))
+        out = join_groups(out, level, keys) if keys else attach_row(out, level)
         total = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda h: F.col("__y") + F.aggregate(
             F.slice("__path", 1, h), F.lit(0.0), lambda a, v: a + v))
         out = out.withColumn("__path", total)
@@ -105,7 +105,7 @@ def forecast_fourier(df: DataFrame, value: str, period: float, keys: Sequence[st
         ahead = fits.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     else:
         ahead = (join_groups(future, fits, keys) if keys
-                 else future.crossJoin(F.broadcast(fits))).filter(F.col("step") <= steps)
+                 else attach_row(future, fits)).filter(F.col("step") <= steps)
     placed = ahead.withColumn("__t", F.col("n") + F.col("step"))
     placed = placed.withColumns(fourier_terms(F.col("__t"), period, order))
     made = F.get("beta", F.lit(0))
@@ -137,6 +137,6 @@ def validate_forecast(df: DataFrame, value: str, keys: Sequence[str], order_by:
     scores = actual.join(made, [*keys, "step"]).groupBy(*keys, "candidate").agg(
         F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
         (F.avg(F.abs(error / F.nullif(F.col("__y"), F.lit(0.0)))) * 100).alias("mape"))
-    best = scores.groupBy(*keys).agg(F.min(F.struct("rmse", "candidate")).alias("__b"))
-    joined = join_groups(scores, best, keys) if keys else scores.crossJoin(F.broadcast(best))
-    return joined.withColumn("best", F.col("candidate") == F.col("__b.candidate")).drop("__b")
+    best = scores.groupBy(*keys).agg(F.min(F.struct("rmse", "candidate"))["candidate"].alias("__b"))
+    joined = join_groups(scores, best, keys) if keys else attach_row(scores, best)
+    return joined.withColumn("best", F.col("candidate") == F.col("__b")).drop("__b")

@@ -20,6 +20,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import attach_row
 from ..operators.profile import require_columns
 from ..operators.schema import drop_null_labels_fill_means
 from . import evaluate
@@ -51,7 +52,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): n_rows / (n_classes * count)."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.agg(F.sum("n").alias("__t"), F.count(F.lit(1)).alias("__k"))
-    return counts.crossJoin(F.broadcast(totals)).select(  # one-row side
+    return attach_row(counts, totals).select(
         label, "n", (F.col("__t") / (F.col("__k") * F.col("n"))).alias("weight"))
 
 

@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import join_groups
+from ..session import cut_lineage
+from .joins import attach_row, join_groups
 from .ordered import number_rows, running_totals
 from .profile import numeric_columns, text_columns
 from .quantiles import as_double
@@ -94,8 +95,8 @@ def _kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     bit, and each prefix above it, a running total over x of the cells with bit 1 counts
     what the cells with bit 0 meet: n log n work in one grouped running total.
     """
-    cells = (df.select(as_double(df, x).alias("x"), as_double(df, y).alias("y")).dropna()
-               .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    cells = cut_lineage(df.select(as_double(df, x).alias("x"), as_double(df, y).alias("y")).dropna()
+                        .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
     ys = cells.groupBy("y").agg(F.sum("n").alias("n_y"))
     ranked = number_rows(ys, [], ["y"], "rank")
     levels = max(1, (max(ys.count(), 1) - 1).bit_length())
@@ -113,9 +114,12 @@ def _kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
         return frame.agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0)).alias(name))
 
     xs = cells.groupBy("x").agg(F.sum("n").alias("n_x"))
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("t"))
-    row = (discordant.crossJoin(ties(cells, "n", "txy")).crossJoin(ties(xs, "n_x", "tx"))
-           .crossJoin(ties(ys, "n_y", "ty")).crossJoin(total))  # five one-row frames
+    c = F.col("n")
+    whole = cells.agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0)).alias("txy"),
+                      F.coalesce(F.sum(c), F.lit(0.0)).alias("t"))
+    row = discordant
+    for one in (whole, ties(xs, "n_x", "tx"), ties(ys, "n_y", "ty")):
+        row = attach_row(row, one)
     pairs = F.col("t") * (F.col("t") - 1) / 2
     concordant = pairs - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
     return row.select(F.lit(x).alias("c1"), F.lit(y).alias("c2"), F.try_divide(

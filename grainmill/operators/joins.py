@@ -16,6 +16,13 @@ def fits_broadcast(df: DataFrame) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row frame (totals, fitted values) as literals."""
+    row = one_row.first()
+    kinds = dict(one_row.dtypes)
+    return df.withColumns({c: F.lit(row[c] if row else None).cast(kinds[c]) for c in one_row.columns})
+
+
 def _on(rows: DataFrame, side: DataFrame, keys: Sequence[str]):
     cond = F.lit(True)
     for k in keys:

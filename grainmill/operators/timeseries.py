@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..ml.least_squares import fit_groups
 from ..session import cut_lineage
-from .joins import join_groups
+from .joins import attach_row, join_groups
 from .ordered import number_rows, running_totals, with_window
 
 # Seasonal period per sampling unit, in seconds, and the size-based fallback.
@@ -93,8 +93,7 @@ def residual_anomalies(df: DataFrame, value: str, period: int, keys: Sequence[st
     parts = decompose(df, value, period, keys, order_by).filter("resid is not null")
     stats = parts.groupBy(*keys).agg(F.avg("resid").alias("__m"), F.stddev_pop("resid").alias("__sd"),
                                      F.count(F.lit(1)).alias("__n"))
-    scored = (join_groups(parts, stats, keys, size="__n") if keys
-              else parts.crossJoin(F.broadcast(stats)))  # one-row side
+    scored = join_groups(parts, stats, keys, size="__n") if keys else attach_row(parts, stats)
     z = F.try_divide(F.col("resid") - F.col("__m"), F.col("__sd"))
     return scored.withColumn("zscore", z).filter(F.abs("zscore") > z_thresh).select(
         *keys, *order_by, "resid", "zscore")
@@ -146,8 +145,7 @@ def kpss(df: DataFrame, value: str, keys: Sequence[str], order_by: Sequence[str]
     """(keys, n, statistic, stationary): KPSS level test with Bartlett weights."""
     clean = df.filter(F.col(value).isNotNull())
     mean = clean.groupBy(*keys).agg(F.avg(value).alias("__m"), F.count(F.lit(1)).alias("__n"))
-    centred = (join_groups(clean, mean, keys, size="__n") if keys
-               else clean.crossJoin(F.broadcast(mean)))  # one-row side
+    centred = join_groups(clean, mean, keys, size="__n") if keys else attach_row(clean, mean)
     centred = centred.withColumn("__e", F.col(value) - F.col("__m"))
     sums = running_totals(centred, keys, order_by, {"__s": F.col("__e")})
     if lags:

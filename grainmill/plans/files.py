@@ -41,12 +41,14 @@ select n_nationkey::bigint as key, n_name as name, n_regionkey::bigint as region
 union all select r_regionkey, r_name, null from region""")
 def json_union_lists(spark, folder):
     """One object per partition file, holding a list of nations and a list of regions."""
-    nations = table(spark, folder, "nation").selectExpr(
-        "struct(n_nationkey as key, n_name as name, n_regionkey as region) as r").agg(
-        F.collect_list("r").alias("nations"))
-    regions = table(spark, folder, "region").selectExpr(
-        "struct(r_regionkey as key, r_name as name) as r").agg(F.collect_list("r").alias("regions"))
-    text = nations.crossJoin(regions).select(F.to_json(F.struct("nations", "regions")).alias("value"))
+    record = "struct({0}key as key, {1}_name as name, {2} as region)"
+    both = table(spark, folder, "nation").selectExpr(
+        "'n' as kind", record.format("n_nation", "n", "n_regionkey") + " as r").unionAll(
+        table(spark, folder, "region").selectExpr(
+            "'r' as kind", record.format("r_region", "r", "cast(null as int)") + " as r"))
+    lists = both.agg(F.collect_list(F.when(F.col("kind") == "n", F.col("r"))).alias("nations"),
+                     F.collect_list(F.when(F.col("kind") == "r", F.col("r"))).alias("regions"))
+    text = lists.select(F.to_json(F.struct("nations", "regions")).alias("value"))
     return readers.read_json(spark, _write_text(text, spark, "lists"))
 
 

@@ -6,6 +6,7 @@ from ..functions.scalars import get_safe
 from ..operators import schema as S
 from ..operators import topk as K
 from ..operators import validate as V
+from ..operators.joins import attach_row
 from .profiling import EVENTS_GAPS, events_gaps, union_all
 from .registry import query, table
 from .sqlsurface import run_sql
@@ -284,7 +285,7 @@ from orders order by o_orderkey limit 100 offset 200""")
 def page_rows(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
     total = K.page_info(orders).select("total_rows")
-    return K.page(orders, ["o_orderkey"], 3, 100).crossJoin(F.broadcast(total))
+    return attach_row(K.page(orders, ["o_orderkey"], 3, 100), total)
 
 
 @query("preview_head", "select * from orders order by o_orderkey limit 10")
