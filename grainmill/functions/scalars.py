@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Accepted date layouts, tried in this order.
 DATE_FORMATS = (
@@ -83,7 +84,7 @@ def parse_datetime(c: Column, tz: str = "UTC", formats: Sequence[str] = DATE_FOR
                       F.when(text.rlike(r"^\d{4}-\d"), zoned))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())  # a type object: no session is needed at import
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.str.normalize("NFKC")
 

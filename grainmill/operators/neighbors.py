@@ -64,8 +64,7 @@ def nearest(queries: DataFrame, points: DataFrame, coords: Sequence[str], k: int
             levels.append(level)
             if sizes[level][0] <= LEAF_POINTS:
                 break
-    ids = [f"__g{g}" for g in range(len(grid))]
-    frontier = queries.select("q", *coords, *[F.lit(0).cast("bigint").alias(c) for c in ids])
+    frontier = queries.select("q", *coords)
     limit = setting(spark, BROADCAST_ROWS)
 
     def at(level: int) -> list[Column]:
@@ -76,15 +75,20 @@ def nearest(queries: DataFrame, points: DataFrame, coords: Sequence[str], k: int
             F.sum("w").alias("__w"),
             *[f(c).alias(f"__{t}{i}") for i, c in enumerate(coords)
               for t, f in (("lo", F.min), ("hi", F.max))])
-        side = F.broadcast(boxes) if sizes[level][1] <= limit else boxes
-        on = reduce(lambda a, b: a & b, [
-            frontier[f"__g{g}"] == F.shiftright(side[f"__n{g}"], step) for g in range(len(grid))])
+        if level == levels[0]:  # at most 16 cells: written into the plan, no join
+            first = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in boxes.dtypes])
+                              for r in boxes.collect()])
+            opened = frontier.withColumn("__b", F.explode(first)).select("*", "__b.*").drop("__b")
+        else:
+            side = F.broadcast(boxes) if sizes[level][1] <= limit else boxes
+            opened = frontier.join(side, reduce(lambda a, b: a & b, [
+                frontier[f"__g{g}"] == F.shiftright(side[f"__n{g}"], step) for g in range(len(grid))]))
         low = [F.col(c) - F.col(f"__hi{i}") for i, c in enumerate(coords)]
         high = [F.col(f"__lo{i}") - F.col(c) for i, c in enumerate(coords)]
         gap = [F.greatest(a, b, F.lit(0.0)) for a, b in zip(low, high)]
         reach = [F.greatest(F.abs(F.col(c) - F.col(f"__lo{i}")), F.abs(F.col(c) - F.col(f"__hi{i}")))
                  for i, c in enumerate(coords)]
-        joined = frontier.join(side, on).withColumns({
+        joined = opened.withColumns({
             "__near": _sum([g * g for g in gap]), "__far": _sum([r * r for r in reach])})
         by_far = (Window.partitionBy("q").orderBy("__far", *[f"__n{g}" for g in range(len(grid))])
                         .rowsBetween(Window.unboundedPreceding, 0))

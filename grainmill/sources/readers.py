@@ -45,7 +45,7 @@ def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | str | None
         if shape is None:
             shape = reader.option("inferSchema", True).csv(files).schema
         elif isinstance(shape, str):
-            shape = T._parse_datatype_string(shape)
+            shape = spark.createDataFrame([], shape).schema
         if corrupt_column:
             shape = T.StructType([*shape.fields, T.StructField(corrupt_column, T.StringType())])
             reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
