@@ -19,7 +19,8 @@ from ..session import BROADCAST_ROWS, cut_lineage, setting
 from .joins import join_groups
 from .profile import nan_to_null, numeric_columns, require_columns
 
-FINEST_BITS = 30
+FINEST_BITS = 50        # about the resolution of a double over the whole extent
+LEVELS_PER_PASS = 8
 LEAF_POINTS = 32
 BITS_PER_ROUND = {1: 4, 2: 2, 3: 1}  # at most 16 children per cell and round
 LOF_NEIGHBORS, LOF_THRESHOLD = 20, 1.5   # fixed values
@@ -31,6 +32,17 @@ def _sum(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
+def _cell_sizes(located: DataFrame, dims: int, finest: int,
+                levels: Sequence[int]) -> dict[int, tuple[int, int]]:
+    """level: (points in its fullest cell, number of non-empty cells), in one grouped count."""
+    every = F.explode(F.array(*[F.lit(v) for v in levels])).alias("level")
+    cells = [F.expr(f"shiftright(__f{g}, {finest} - level)").alias(f"__g{g}") for g in range(dims)]
+    counts = (located.select(*[f"__f{g}" for g in range(dims)], every)
+              .groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n"))
+              .groupBy("level").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("cells")))
+    return {r["level"]: (r["top"], r["cells"]) for r in counts.collect()}
+
+
 def nearest(queries: DataFrame, points: DataFrame, coords: Sequence[str], k: int) -> DataFrame:
     """(q, p, dist, w): for each query the closest points whose weights reach `k`.
 
@@ -54,16 +66,15 @@ def nearest(queries: DataFrame, points: DataFrame, coords: Sequence[str], k: int
         located = points.withColumns({f"__f{g}": F.least(
             F.floor((F.col(coords[i]) - extent[f"lo_{i}"]) / span * 2.0 ** finest),
             F.lit(2 ** finest - 1)) for g, i in enumerate(grid)})
-        every = F.explode(F.array(*[F.lit(v) for v in range(step, finest + 1, step)])).alias("level")
-        cells = [F.expr(f"shiftright(__f{g}, {finest} - level)").alias(f"__g{g}") for g in range(len(grid))]
-        per_level = (located.select(*[f"__f{g}" for g in range(len(grid))], every)
-                     .groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n"))
-                     .groupBy("level").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("cells")))
-        sizes = {r["level"]: (r["top"], r["cells"]) for r in per_level.collect()}
-        for level in sorted(sizes):
-            levels.append(level)
-            if sizes[level][0] <= LEAF_POINTS:
+        every = range(step, finest + 1, step)
+        for start in range(0, len(every), LEVELS_PER_PASS):
+            if levels and sizes[levels[-1]][0] <= LEAF_POINTS:
                 break
+            sizes.update(_cell_sizes(located, len(grid), finest, every[start:start + LEVELS_PER_PASS]))
+            for level in every[start:start + LEVELS_PER_PASS]:
+                levels.append(level)
+                if sizes[level][0] <= LEAF_POINTS:
+                    break
     frontier = queries.select("q", *coords)
     limit = setting(spark, BROADCAST_ROWS)
 
