@@ -62,7 +62,8 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     out = df.select(*[as_double(df, c).alias(c) for c in columns])
     source = out
     for c in columns:
-        counts = source.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
+        counts = cut_lineage(source.filter(F.col(c).isNotNull()).groupBy(c)
+                             .agg(F.count(F.lit(1)).alias("__n")))
         below = running_totals(counts, [], [c], {"__below": F.col("__n")}, inclusive=False)
         ranks = below.select(c, "__n", (F.col("__below") + (F.col("__n") + 1) / 2).alias("__rank"))
         out = (join_groups(out, ranks, [c], size="__n")

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_ROWS, MAX_GROUP_ROWS, setting
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when the frame has at most `grainmill.broadcastRows` rows."""
-    limit = setting(df.sparkSession, BROADCAST_ROWS)
-    return df.limit(limit + 1).count() <= limit
-
-
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Add the columns of a one-row frame (totals, fitted values) as literals."""
     row = one_row.first()
@@ -40,12 +34,15 @@ def join_groups(rows: DataFrame, summary: DataFrame, keys: Sequence[str],
     """
     side = summary.withColumnsRenamed({k: f"__k_{k}" for k in keys})
     drop = [f"__k_{k}" for k in keys]
-    if fits_broadcast(summary):
+    spark = rows.sparkSession
+    limit, broadcast_rows = setting(spark, MAX_GROUP_ROWS), setting(spark, BROADCAST_ROWS)
+    is_hot = F.col(size) > limit if size is not None else F.lit(False)
+    found = side.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_hot).alias("hot")).first()
+    if found["all"] <= broadcast_rows:
         return rows.join(F.broadcast(side), _on(rows, side, keys), how).drop(*drop)
-    limit = setting(rows.sparkSession, MAX_GROUP_ROWS)
     if size is not None:
-        hot = side.filter(F.col(size) > limit)
-        if not hot.isEmpty() and fits_broadcast(hot):
+        hot = side.filter(is_hot)
+        if 0 < found["hot"] <= broadcast_rows:
             cold = side.filter(F.col(size) <= limit)
             first = rows.join(F.broadcast(hot), _on(rows, hot, keys), "inner").drop(*drop)
             rest = rows.join(F.broadcast(hot.select(*drop)), _on(rows, hot, keys), "left_anti")

@@ -9,6 +9,7 @@ histogram, and no data row is shuffled.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, floor, isinf
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import EXACT_PERCENTILE_ROWS, setting
 
 BINS = 1024
+LAST_ROWS = 20_000  # rows whose values may be listed on the driver to end a search
 
 
 def as_double(df: DataFrame, c: str) -> Column:
@@ -59,25 +61,31 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str],
         count = stats[f"n_{n}"]
         for p in probs if count else ():
             for rank in {floor(p * (count - 1)), ceil(p * (count - 1))}:
-                wanted[(n, rank)] = None
-                brackets[(n, rank)] = (stats[f"lo_{n}"], stats[f"hi_{n}"], 0, count)
+                ends = {0: stats[f"lo_{n}"], count - 1: stats[f"hi_{n}"]}
+                wanted[(n, rank)] = ends.get(rank)
+                if rank not in ends:
+                    brackets[(n, rank)] = (stats[f"lo_{n}"], stats[f"hi_{n}"], 0, count)
     while brackets:
         for key in [k for k, (lo, hi, _, _) in brackets.items() if lo == hi]:
             wanted[key] = brackets.pop(key)[0]
         spans = sorted({(n, lo, hi) for (n, _), (lo, hi, _, _) in brackets.items()})
         if not spans:
             break
+        inside = [F.col(n).between(lo, hi) for n, lo, hi in spans]
+        # few rows left: their values are the bins, and this pass is the last
+        few = sum({(n, lo, hi): held for (n, _), (lo, hi, _, held) in brackets.items()}.values()) <= LAST_ROWS
         hits = F.array_compact(F.array(*[
-            F.when(F.col(n).between(lo, hi),
-                   F.struct(F.lit(i).alias("span"), _bin(F.col(n), lo, hi).alias("bin"),
-                            F.col(n).alias("v")))
+            F.when(inside[i], F.struct(F.lit(i).alias("span"), F.col(n).alias("v"), (
+                F.lit(0).cast("bigint") if few else _bin(F.col(n), lo, hi)).alias("bin")))
             for i, (n, lo, hi) in enumerate(spans)]))
-        counts = (values.select(F.explode(hits).alias("h")).groupBy("h.span", "h.bin")
-                        .agg(F.count(F.lit(1)).alias("n"), F.min("h.v").alias("lo"),
-                             F.max("h.v").alias("hi")).orderBy("span", "bin").collect())
+        near = values.filter(reduce(lambda a, b: a | b, inside)).select(F.explode(hits).alias("h")).select("h.*")
+        grouped = near.groupBy("span", *(["v"] if few else ["bin"])).agg(
+            F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts: dict[int, list] = {}
+        for row in sorted(grouped.collect(), key=lambda r: (r["span"], r["lo"])):
+            counts.setdefault(row["span"], []).append(row)
         for key, (lo, hi, below, _) in list(brackets.items()):
-            span = spans.index((key[0], lo, hi))
-            for row in (r for r in counts if r["span"] == span):
+            for row in counts[spans.index((key[0], lo, hi))]:
                 if below + row["n"] > key[1]:
                     brackets[key] = (row["lo"], row["hi"], below, row["n"])
                     break
