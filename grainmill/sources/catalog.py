@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .readers import read_any
 
 SNIFF_BYTES = 4096
-SNIFF_LIMIT = 64 * 1024 * 1024  # larger files are typed by extension; their bytes are not read
+SNIFF_LIMIT = 8 * 1024 * 1024  # larger files are typed by extension; their bytes are not read
 # Type per extension.
 EXTENSIONS = {
     "csv": "csv",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 
@@ -60,9 +61,19 @@ def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | str | None
     return union_by_name(frames)
 
 
-def _first_character(spark: SparkSession, paths: list[str]) -> str:
-    row = spark.read.text(paths).filter(F.col("value").rlike(r"\S")).limit(1).collect()
-    return row[0]["value"].lstrip()[0] if row else ""
+def _json_shape(spark: SparkSession, paths: list[str]) -> str:
+    """'lines' for one record per line, else the first character of the document."""
+    head = (spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
+            .filter(F.col("value").rlike(r"\S")).limit(2).collect())
+    if not head:
+        return ""
+    if len(head) == 2 and head[0]["file"] == head[1]["file"]:
+        try:
+            if isinstance(json.loads(head[0]["value"]), dict):
+                return "lines"
+        except ValueError:
+            pass
+    return head[0]["value"].lstrip()[0]
 
 
 def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
@@ -90,17 +101,20 @@ def _is_record_list(kind: T.DataType) -> bool:
     return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
 
 
-def read_json(spark: SparkSession, path: Paths, lines: bool = False,
+def read_json(spark: SparkSession, path: Paths, lines: bool | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
     """An array of records, an object of record lists (stacked), or one object (flattened).
 
-    `lines=True` reads one record per line, which splits; use it for large data.
+    One record per line is recognised (or declared by `lines=True`); it splits, so prefer it
+    for large data. A malformed document is an error.
     """
+    paths = _list(path)
     reader = spark.read if schema is None else spark.read.schema(schema)
-    if lines:
-        return reader.json(path)
-    df = reader.option("multiLine", True).json(path)
-    if _first_character(spark, _list(path)) != "{":
+    shape = "lines" if lines else _json_shape(spark, paths)
+    if lines or (lines is None and shape == "lines"):
+        return reader.json(paths)
+    df = reader.options(multiLine=True, mode="FAILFAST").json(paths)
+    if shape != "{":
         return df
     fields = df.schema.fields
     if fields and all(_is_record_list(f.dataType) for f in fields):

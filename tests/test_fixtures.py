@@ -180,6 +180,8 @@ def test_readers(spark, tmp_path):
     assert read_json(spark, str(tmp_path / "list.json")).count() == 2
     (tmp_path / "lists.json").write_text('{"x": [{"a": 1}], "y": [{"a": 2}, {"b": 3}]}')
     assert read_json(spark, str(tmp_path / "lists.json")).count() == 3
+    (tmp_path / "many.json").write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert read_json(spark, str(tmp_path / "many.json")).count() == 3
     (tmp_path / "one.json").write_text('{"a": {"b": 1, "c": {"d": "z"}}}')
     assert read_json(spark, str(tmp_path / "one.json")).columns == ["a.b", "a.c.d"]
     (tmp_path / "r.xml").write_text("<root><row><a>1</a><b>2</b></row><row><a>3</a><b>4</b></row></root>")
@@ -198,7 +200,7 @@ def test_catalog_and_batch(spark, tmp_path):
     frames, report = batch_ingest(spark, str(tmp_path))
     status = {r["file"].rsplit("/", 1)[-1]: r["status"] for r in report.collect()}
     assert status["a.csv"] == status["b.json"] == status["c.xml"] == "ok"
-    assert status["d.pdf"] == status["g.bin"] == "failed" and len(status) == 8
+    assert status["d.pdf"] == status["g.bin"] == status["h.json"] == "failed" and len(status) == 8
     assert frames["csv"].count() == 1
 
 
