@@ -231,21 +231,21 @@ def backtest_linear(spark, folder):
 
 
 @query("metric_drift", """
-with m as (select date_trunc('month', o_orderdate)::timestamp as ts, avg(o_totalprice) as a, count(*)::double as c from orders group by 1),
-l as (select ts, 'avg_price' as metric, a as value from m union all select ts, 'n_orders', c from m)
-select ts, metric, round(value, 3) as value,
-  round(value - lag(value) over (partition by metric order by ts), 3) + 0.0 as drift from l""")
+with m as (select date_trunc('month', o_orderdate)::timestamp as ts, sum(o_totalprice) as a, count(*)::double as c from orders group by 1),
+l as (select ts, 'total_price' as metric, a as value from m union all select ts, 'n_orders', c from m)
+select ts, metric, round(value, 2) as value,
+  round(value - lag(value) over (partition by metric order by ts), 2) + 0.0 as drift from l""")
 def metric_drift(spark, folder):
     monthly = table(spark, folder, "orders").groupBy(
         F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")).agg(
-        F.avg("o_totalprice").alias("a"), F.count(F.lit(1)).cast("double").alias("c"))
+        F.sum("o_totalprice").alias("a"), F.count(F.lit(1)).cast("double").alias("c"))
     history = monthly.select("ts", F.lit("run").alias("run"), F.explode(F.array(
-        F.struct(F.lit("avg_price").alias("metric"), F.col("a").alias("value")),
+        F.struct(F.lit("total_price").alias("metric"), F.col("a").alias("value")),
         F.struct(F.lit("n_orders").alias("metric"), F.col("c").alias("value")))).alias("m")).select(
         "ts", "run", "m.*")
     path = scratch_path(spark, "history")
     history.write.parquet(path)
-    return _round(E.metric_drift(spark.read.parquet(path)).drop("run"), 3, "value", "drift")
+    return _round(E.metric_drift(spark.read.parquet(path)).drop("run"), 2, "value", "drift")
 
 
 # -- forecasts ----------------------------------------------------------------------------------
@@ -284,7 +284,7 @@ c as (select event_type, h as step, v, 'day' as candidate from p, range(1, 25) k
   union all select event_type, h, v, 'half' from p, range(1, 25) k(h) where r = 12 - (h - 1) % 12),
 s as (select event_type, candidate, avg(abs(y - c.v)) as mae, sqrt(avg((y - c.v) ** 2)) as rmse,
   avg(abs((y - c.v) / nullif(y, 0))) * 100 as mape from t join c using (event_type, step) group by 1, 2)
-select event_type, candidate, round(mae, 4) as mae, round(rmse, 4) as rmse, round(mape, 4) as mape,
+select event_type, candidate, round(mae, 6) as mae, round(rmse, 6) as rmse, round(mape, 6) as mape,
   rmse = min(rmse) over (partition by event_type) as best from s""")
 def forecast_validate(spark, folder):
     def naive(period):
@@ -292,7 +292,7 @@ def forecast_validate(spark, folder):
 
     out = C.validate_forecast(hourly(spark, folder), "v", ["event_type"], ["hour"],
                               {"day": naive(24), "half": naive(12)}, 24)
-    return _round(out, 4, "mae", "rmse", "mape")
+    return _round(out, 6, "mae", "rmse", "mape")
 
 
 # -- explanations -------------------------------------------------------------------------------
