@@ -149,9 +149,11 @@ def rows_of(first: np.ndarray) -> np.ndarray:
 
 
 def distinct_in_rows(values: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values of each row, sorted within it, and each row's first place among them."""
-    order = np.lexsort((values, row)) if len(values) else np.zeros(0, np.int64)
-    values, row = values[order], row[order]
+    """Distinct values of each row, sorted within it, and each row's first place among them; `row` ascends."""
+    values = values.copy()
+    first = np.searchsorted(row, np.arange(rows + 1))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        values[a:b].sort()
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     return values[new], np.searchsorted(row[new], np.arange(rows + 1))
