@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import decontaminate, lines, near, quality
+from grainmill.llm import decontaminate, lines, near, packing, quality
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -32,3 +32,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_benchmark_decontamination", decontaminate.oracle("documents"))
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op7_packing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
