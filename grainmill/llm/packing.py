@@ -26,7 +26,7 @@ from grainmill.llm.scratch import freeze
 from grainmill.llm.text import slices
 from grainmill.llm.tokens import cache
 
-SEQUENCE, UNIT, END_ID, GAP = 4096, 8, 2, 5e-4
+SEQUENCE, UNIT, END_ID, GAP, ROUNDS = 4096, 8, 2, 1e-3, 600
 CLASSES, BUNDLE = SEQUENCE // UNIT, 256
 TOKENIZER = "word_bpe_49k.json"
 
@@ -53,27 +53,6 @@ def knapsack(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[floa
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Basic patterns (one a column) and how often the linear program uses each; `sizes` ascend."""
-    patterns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(patterns))
-    use = inverse @ demand
-    while True:
-        prices = inverse.sum(axis=0)
-        value, counts = knapsack(prices, sizes, capacity)
-        if value <= 1 + 1e-9 or use.sum() * (1 - 1 / value) <= GAP * use.sum():
-            return patterns, use  # sum / value bounds the program from below
-        direction = inverse @ counts
-        room = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
-        out = int(np.argmin(room))
-        use = np.maximum(use - room[out] * direction, 0)
-        use[out] = room[out]
-        patterns[:, out] = counts
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
-
-
 def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tuple[np.ndarray, int]]:
     """(pattern, repeats) that use up `left`, each pattern filled from the largest class down."""
     left = left.copy()
@@ -88,13 +67,66 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tu
         yield pattern, repeats
 
 
+def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of a first-fit pass as a basis: each stands for the class it used up, so the matrix is triangular."""
+    patterns, use = np.diag(capacity // sizes).astype(float), np.zeros(len(sizes))
+    left = demand.astype(float)
+    while left.any():
+        pattern, room = np.zeros(len(sizes)), capacity
+        for k in np.flatnonzero(left)[::-1]:
+            pattern[k] = min(np.ceil(left[k]), room // sizes[k])
+            room -= pattern[k] * sizes[k]
+        ratio = np.where(pattern > 0, left / np.where(pattern > 0, pattern, 1), np.inf)
+        done = int(np.argmin(ratio))
+        patterns[:, done], use[done] = pattern, ratio[done]
+        left = np.maximum(left - ratio[done] * pattern, 0)
+        left[(ratio <= ratio[done] * (1 + 1e-12)) | (left < 1e-9)] = 0
+    return patterns, use
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Basic patterns (one a column) and how often the linear program uses each; `sizes` ascend.
+
+    Columns are priced at a mean of the current prices and the best known dual solution, which starts at a class's
+    share of a sequence; that keeps prices from swinging. Any state is a valid packing, so ROUNDS only ends the
+    search for a better one.
+    """
+    patterns, use = start_basis(sizes, demand, capacity)
+    inverse, centre = np.linalg.inv(patterns), sizes / capacity
+    bound = float(demand @ centre)
+    for _ in range(ROUNDS):
+        if use.sum() - bound <= GAP * use.sum():
+            break
+        prices = inverse.sum(axis=0)
+        for weight in (0.85, 0.5, 0):
+            asked = weight * centre + (1 - weight) * prices
+            value, counts = knapsack(np.maximum(asked, 0), sizes, capacity)
+            lower = float(demand @ np.maximum(asked, 0)) / max(value, 1)
+            if lower > bound:
+                bound, centre = lower, np.maximum(asked, 0) / max(value, 1)
+            if counts @ prices > 1 + 1e-7:
+                break
+        else:
+            break  # no column has a price above its cost
+        direction = inverse @ counts
+        room = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
+        out = int(np.argmin(room))
+        use = np.maximum(use - room[out] * direction, 0)
+        use[out] = room[out]
+        patterns[:, out] = counts
+        row = inverse[out] / direction[out]
+        inverse -= np.outer(direction, row)
+        inverse[out] = row
+    return patterns, use
+
+
 def plan(histogram: dict[int, int], capacity: int = CLASSES) -> dict[int, np.ndarray]:
     """For each class its segments (first rank, copies in a sequence, first sequence), ranks ascending."""
     if not histogram:
         return {}
     sizes = np.array(sorted(histogram))
     demand = np.array([histogram[s] for s in sizes])
-    patterns, use = column_generation(sizes, demand.astype(float), capacity)
+    patterns, use = column_generation(sizes, demand, capacity)
     repeats = np.floor(use + 1e-6).astype(np.int64)
     chosen, left = [], demand.copy()
     for k in np.argsort(-repeats, kind="stable"):
