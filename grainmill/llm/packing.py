@@ -67,9 +67,22 @@ def first_fit(sizes: np.ndarray, left: np.ndarray, capacity: int) -> Iterator[tu
         yield pattern, repeats
 
 
-def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns of a first-fit pass as a basis: each stands for the class it used up, so the matrix is triangular."""
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Product in one thread: libraries that start threads of their own stall beside the JVM's."""
+    return np.einsum("ij,j->i", matrix, vector)
+
+
+def swap(inverse: np.ndarray, direction: np.ndarray, out: int) -> None:
+    """Update the inverse of the basis for a new column `out`; direction is the old inverse times that column."""
+    row = inverse[out] / direction[out]
+    inverse -= np.outer(direction, row)
+    inverse[out] = row
+
+
+def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns of a first-fit pass, their inverse and use: each stands for the class that it used up."""
     patterns, use = np.diag(capacity // sizes).astype(float), np.zeros(len(sizes))
+    inverse = np.diag(1 / np.diag(patterns))
     left = demand.astype(float)
     while left.any():
         pattern, room = np.zeros(len(sizes)), capacity
@@ -79,9 +92,10 @@ def start_basis(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[n
         ratio = np.where(pattern > 0, left / np.where(pattern > 0, pattern, 1), np.inf)
         done = int(np.argmin(ratio))
         patterns[:, done], use[done] = pattern, ratio[done]
+        swap(inverse, times(inverse, pattern), done)  # no earlier class is in it, so it can enter
         left = np.maximum(left - ratio[done] * pattern, 0)
         left[(ratio <= ratio[done] * (1 + 1e-12)) | (left < 1e-9)] = 0
-    return patterns, use
+    return patterns, inverse, use
 
 
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,8 +105,8 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
     share of a sequence; that keeps prices from swinging. Any state is a valid packing, so ROUNDS only ends the
     search for a better one.
     """
-    patterns, use = start_basis(sizes, demand, capacity)
-    inverse, centre = np.linalg.inv(patterns), sizes / capacity
+    patterns, inverse, use = start_basis(sizes, demand, capacity)
+    centre = sizes / capacity
     bound = float(demand @ centre)
     for _ in range(ROUNDS):
         if use.sum() - bound <= GAP * use.sum():
@@ -108,15 +122,13 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> t
                 break
         else:
             break  # no column has a price above its cost
-        direction = inverse @ counts
+        direction = times(inverse, counts.astype(float))
         room = np.where(direction > 1e-9, use / np.where(direction > 1e-9, direction, 1), np.inf)
         out = int(np.argmin(room))
         use = np.maximum(use - room[out] * direction, 0)
         use[out] = room[out]
         patterns[:, out] = counts
-        row = inverse[out] / direction[out]
-        inverse -= np.outer(direction, row)
-        inverse[out] = row
+        swap(inverse, direction, out)
     return patterns, use
 
 
