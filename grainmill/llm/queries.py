@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import decontaminate, lines, near, packing, quality
+from grainmill.llm import decontaminate, html, lines, near, packing, quality, urls
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -37,3 +37,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op8_url_filter")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, folder, "pages").select("page_id", "url"), ["page_id"])
+
+
+@query("op2_html_extraction")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"), ["page_id", "url"])
