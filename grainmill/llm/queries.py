@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import decontaminate, html, lines, near, packing, quality, urls
+from grainmill.llm import decontaminate, html, lines, near, packing, quality, repeats, urls
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -47,3 +47,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_html_extraction")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"), ["page_id", "url"])
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
