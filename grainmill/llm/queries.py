@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainmill.llm import bytespans, decontaminate, html, lines, near, packing, quality, repeats, urls
+from grainmill.llm import bytespans, decontaminate, html, lines, lm, near, packing, quality, repeats, urls
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -57,3 +57,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return bytespans.remove_repeated_bytes(table(spark, folder, "documents"))
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_texts(table(spark, folder, "documents"))
