@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-SIDE, STATE, WINDOW = 16, 24, 16
+SIDE, STATE, WINDOW = 8, 12, 16
 SYMBOLS = SIDE * SIDE
 SHAPES = {"x": (SYMBOLS, 3 * STATE), "u": (STATE, 3 * STATE), "c": (STATE, SIDE), "cb": (SIDE,),
           "s": (SIDE, STATE, SIDE), "sb": (SIDE, SIDE)}

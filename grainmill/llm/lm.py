@@ -43,13 +43,18 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
         endings = np.zeros(len(words), np.uint8)
         endings[back] = np.concatenate([p[3] for p in parts])
         tokens = np.concatenate([back[p[4] + b] for p, b in zip(parts, base[:-1], strict=True)]).astype(np.int32)
+        # Frequent words get small numbers: their high bytes are zeros and compress well.
+        order = np.argsort(-np.bincount(tokens, minlength=len(words)), kind="stable")
+        rank = np.empty(len(words), np.int32)
+        rank[order] = np.arange(len(words), dtype=np.int32)
+        tokens, words, endings = rank[tokens], words[order], endings[order]
         sizes = np.concatenate([p[5] for p in parts]).astype(np.int32)
         held = np.concatenate([p[1] for p in parts])
         counts = np.bincount(tokens[np.repeat(~held, sizes)], minlength=len(words)).astype(np.int32)
         ids = pa.chunked_array([p[0] for p in parts]).combine_chunks()
         return pa.RecordBatch.from_pydict({
             "block": pa.array([block]), "ids": pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
-            **{n: pa.array([v.tobytes()], pa.binary()) for n, v in (
+            **{n: pa.array([squeeze(v)], pa.binary()) for n, v in (
                 ("held", held), ("sizes", sizes), ("tokens", tokens), ("words", words), ("endings", endings),
                 ("counts", counts))}})
 
@@ -77,8 +82,19 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
                                   "words binary, endings binary, counts binary")
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Compressed bytes of an array, the first bytes of all values first, then the second and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
 def unpack(batch: pa.RecordBatch, name: str, kind: type, row: int) -> np.ndarray:
-    return np.frombuffer(batch.column(batch.schema.get_field_index(name))[row].as_buffer(), kind)
+    """The array that `squeeze` made of one column of one row."""
+    held = memoryview(batch.column(batch.schema.get_field_index(name))[row].as_buffer())
+    size = int.from_bytes(held[:8], "little")
+    planes = pa.decompress(held[8:], size, codec="zstd", asbytes=True) if size else b""
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def dictionary(blocks: DataFrame) -> DataFrame:
