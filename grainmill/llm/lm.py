@@ -29,7 +29,7 @@ BLOCK_BYTES = 12 << 20
 END = np.uint64(0x656E645F746F6B65)  # the end token's place among word hashes
 TAILS = gru.SIDE
 HEAD = gru.SYMBOLS - TAILS
-LEAST_UPDATES, MOST_ROUNDS = 300, 8
+LEAST_UPDATES, MOST_ROUNDS = 120, 8
 
 
 def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
