@@ -11,8 +11,7 @@
 4. Anchors with more than HOT_CUTS different cuts would grow a shard; their windows are compared by 128-bit
    fingerprints in a grouped count instead, which needs no group in one place.
 
-Equal texts are one representative: if there are two, all bytes of a text that has a window go. Null is an empty
-text. Ids name documents; rows without an id are judged like others, each by its text.
+If two texts are equal, all bytes of one that has a window go. Null is an empty text. Ids name documents; rows without an id are judged like others, each by its text.
 """
 
 from __future__ import annotations
@@ -25,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.scratch import freeze
+from grainmill.llm.repeats import cell, cells_of
+from grainmill.llm.scratch import store
 from grainmill.llm.text import BYTE_VALUES, Slice, buffers, mix, prefix_sums, rows_of, slices, span_hashes
 
 LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 4000, 3 << 20
@@ -91,28 +91,25 @@ def text_names(part: Slice) -> tuple[np.ndarray, np.ndarray]:
                  for v in (values, mix(values)))
 
 
-def cuts(wanted: DataFrame, length: int) -> DataFrame:
-    """(a, b, start, windows, anchor, cut) around the anchors in a row's list `shared`; input (text, a, b, shared)."""
+def cuts(texts: DataFrame, length: int, cells: np.ndarray) -> DataFrame:
+    """(a, b, start, windows, anchor, cut) around the anchors that fall into a set cell; input is (text)."""
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
         for part in slices(batches, "text"):
             row, first, last, name = anchors(part.data, part.offsets, length)
-            lists = part.batch.column(3)
-            allowed = lists.flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(part.rows), lists.value_lengths().fill_null(0).to_numpy())
-            key = np.sort(mix(allowed ^ mix(owner.astype(np.uint64) + np.uint64(1))))
-            asked = mix(name ^ mix(row.astype(np.uint64) + np.uint64(1)))
-            hit = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
-            keep = key[hit] == asked if len(key) else np.zeros(len(asked), bool)
+            keep = held[cell(name)]
             row, first, last, name = row[keep], first[keep], last[keep], name[keep]
-            raw = part.data.tobytes()
+            raw, (a, b) = part.data.tobytes(), text_names(part)
             yield pa.RecordBatch.from_pydict({
-                "a": part.batch.column(1).take(pa.array(row)), "b": part.batch.column(2).take(pa.array(row)),
+                "a": pa.array(a[row]), "b": pa.array(b[row]),
                 "start": pa.array(first - part.offsets[row]), "windows": pa.array(last - first + 1),
                 "anchor": pa.array(name.view(np.int64)),
                 "cut": pa.array([raw[x:y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)],
                                 pa.binary())})
 
-    return wanted.mapInArrow(run, "a long, b long, start long, windows long, anchor long, cut binary")
+    return texts.mapInArrow(run, "a long, b long, start long, windows long, anchor long, cut binary")
 
 
 def suffix_ranks(data: np.ndarray, row: np.ndarray, ends: np.ndarray, longest: int,
@@ -275,20 +272,17 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc
                           kept: bool = False, hot_cuts: int = HOT_CUTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row; `kept` adds the bytes that remain."""
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    named = freeze(anchor_rows(texts.select("text"), length))
-    # Equal texts are one representative; their names stand for them from here on.
-    group = freeze(named.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("copies"), F.first("anchors").alias("anchors")))
-    known = group.select("a", "b", F.explode("anchors").alias("anchor"))
-    spread = known.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1").select("anchor")
-    shared = (known.join(spread, "anchor", "left_semi").groupBy("a", "b").agg(F.collect_set("anchor").alias("shared")))
-    named_texts = texts.select("doc", "text").mapInArrow(named_run, name_schema(texts))
-    one = named_texts.select("a", "b", "text").join(shared, ["a", "b"]).dropDuplicates(["a", "b"])
-    found = freeze(cuts(one.select("text", "a", "b", "shared"), length)
-                   .withColumn("ca", F.xxhash64("cut")).withColumn("cb", F.xxhash64(F.lit("cut"), "cut")))
-    different = freeze(found.groupBy("ca", "cb").agg(
+    named = store(anchor_rows(texts.select("text"), length))
+    group = named.groupBy("a", "b", "n").agg(F.count(F.lit(1)).alias("copies"))
+    spread = (named.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count(F.lit(1)).alias("seen"))
+              .filter("seen > 1"))
+    # Cuts are passed over by the cell of their anchor; what is repeated is decided below, exactly.
+    found = store(cuts(texts.select("text"), length, cells_of(spread, "anchor"))
+                  .withColumn("ca", F.xxhash64("cut")).withColumn("cb", F.xxhash64(F.lit("cut"), "cut")))
+    different = store(found.groupBy("ca", "cb").agg(
         F.count(F.lit(1)).alias("seen"), F.first("anchor").alias("anchor"), F.first("cut").alias("cut")))
     crowd = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("cuts"), F.sum(F.length("cut")).alias("size"))
-    crowd = freeze(crowd.filter("cuts > 1"))
+    crowd = store(crowd.filter("cuts > 1"))
     total = crowd.filter(F.col("cuts") <= hot_cuts).agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_BYTES))
     alone = different.filter("seen = 1").join(crowd, "anchor", "left_semi")
@@ -308,11 +302,29 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc
         F.col("start").alias("begin"), (F.col("start") + F.col("windows") - 1 + length).alias("end")))) \
         .otherwise(F.zip_with(F.array_sort(opened), F.array_sort(closed), lambda x, y: F.struct(
             (F.col("start") + x).alias("begin"), (F.col("start") + y + length).alias("end"))))
-    spans = spans.groupBy("a", "b").agg(F.flatten(F.collect_list(pieces)).alias("spans"))
-    facts = group.filter("copies > 1").select("a", "b", F.lit(True).alias("copy")).join(spans, ["a", "b"], "full_outer")
-    judged = named_texts.join(facts, ["a", "b"], "left").select(
-        "doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
-    return cut_bytes(judged, length, kept)
+    spans = (spans.select("a", "b", pieces.alias("spans")).distinct()  # copies of a text give the same
+             .groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    copies = group.filter("copies > 1").select("a", "b", F.lit(True).alias("copy"))
+    facts = store(copies.join(spans, ["a", "b"], "full_outer"))
+    cells = cells_of(facts, "a")
+    named_texts = texts.mapInArrow(named_run, name_schema(texts))
+    touched = split(named_texts, cells, True).join(facts, ["a", "b"], "left")
+    rest = split(named_texts, cells, False).withColumn("copy", F.lit(False)).withColumn(
+        "spans", F.lit(None).cast(facts.schema["spans"].dataType))
+    columns = ["doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"]
+    return cut_bytes(touched.select(columns).unionByName(rest.select(columns)), length, kept)
+
+
+def split(named: DataFrame, cells: np.ndarray, present: bool) -> DataFrame:
+    """Rows of (doc, text, a, b) whose `a` falls into a set (or clear) cell."""
+    sent = named.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[cell(batch.column(2).to_numpy().view(np.uint64))] == present))
+
+    return named.mapInArrow(run, named.schema)
 
 
 def name_schema(texts: DataFrame) -> str:

@@ -8,7 +8,7 @@ lies inside. A window's anchor is the smallest of its consistent symbols on the
 the words, always does), so equal windows have equal anchors.
 
 Spark then names what is shared: an anchor matters if two different texts have it; the windows with such an anchor
-get 128-bit fingerprints, whose smallest document comes from one grouped minimum. Equal texts are one representative
+get 95-bit fingerprints, whose smallest document comes from one grouped minimum. Equal texts are one representative
 from the start. A hot passage is a few hot keys of pre-aggregated minima; nothing is gathered by key.
 
 A word goes if a window of `window` words that covers it also starts in a document with a smaller id. Null and empty
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.scratch import freeze
-from grainmill.llm.text import BYTE_VALUES, Slice, Words, mix, prefix_sums, slices, span_hashes
+from grainmill.llm.scratch import BITS, bitmap, passed, store
+from grainmill.llm.text import Words, mix, prefix_sums, slices, span_hashes
 
 WINDOW, LEVELS = 50, 5
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -129,7 +129,7 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def window_prints(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window's words."""
+    """Two hashes of each window's words; 64 and 31 bits of them are kept."""
     return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, starts + window) for salt in (11, 23))
 
 
@@ -158,30 +158,30 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, n long, a long, b long, anchors array<long>")
 
 
-def window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """(doc, start, fa, fb) of the windows whose anchor is in the row's list `shared`; input is (doc, text, shared)."""
+def window_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
+    """(doc, start, fa, fb) of the windows whose anchor falls into a set cell; input is (doc, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
         for part in slices(batches, "text"):
             words = Words(part.data, part.offsets)
             hashes = words.hashes(part.data)
             starts, found = anchors(words, hashes, window)
+            starts = starts[held[cell(found)]]
+            fa, fb = window_prints(hashes, starts, window)
             row = words.row[starts]
-            lists = part.batch.column(2)
-            allowed = lists.flatten().to_numpy().view(np.uint64)
-            owner = np.repeat(np.arange(part.rows), lists.value_lengths().fill_null(0).to_numpy())
-            key = np.sort(mix(allowed ^ mix(owner.astype(np.uint64) + np.uint64(1))))
-            asked = mix(found ^ mix(row.astype(np.uint64) + np.uint64(1)))
-            hit = np.searchsorted(key, asked)
-            keep = hit < len(key)
-            keep[keep] = key[hit[keep]] == asked[keep]
-            fa, fb = window_prints(hashes, starts[keep], window)
-            row, place = row[keep], starts[keep] - words.first[row[keep]]
             yield pa.RecordBatch.from_pydict({
-                "doc": part.batch.column(0).take(pa.array(row)), "start": pa.array(place.astype(np.int32)),
-                "fa": pa.array(fa.view(np.int64)), "fb": pa.array(fb.view(np.int64))})
+                "doc": part.batch.column(0).take(pa.array(row)),
+                "start": pa.array((starts - words.first[row]).astype(np.int32)), "fa": pa.array(fa.view(np.int64)),
+                "fb": pa.array((fb & np.uint64(0x7FFFFFFF)).astype(np.int32))})
 
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc {kind}, start int, fa long, fb long")
+    return docs.mapInArrow(run, f"doc {kind}, start int, fa long, fb int")
+
+
+def cell(names: np.ndarray) -> np.ndarray:
+    return (names % np.uint64(BITS)).astype(np.int64)
 
 
 def cut_words(docs: DataFrame, window: int) -> DataFrame:
@@ -220,23 +220,34 @@ def cut_words(docs: DataFrame, window: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row: kept words joined by one space."""
     texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    named = freeze(anchor_rows(texts, window))
-    group = named.filter("doc is not null").groupBy("a", "b", "n").agg(F.min("doc").alias("doc"))
-    known = named.filter("doc is not null").select("a", "doc", F.explode("anchors").alias("anchor"))
-    spread = (known.groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high"))
-              .filter("low != high").select("anchor"))
-    firsts = known.join(group.select("a", "doc"), ["a", "doc"], "left_semi")
-    shared = (firsts.join(spread, "anchor", "left_semi")
-              .groupBy("doc").agg(F.collect_list("anchor").alias("shared")))
-    wanted = freeze(texts.join(shared, "doc").select("doc", "text", "shared"))
-    windows = freeze(window_rows(wanted, window))
+    named = store(anchor_rows(texts, window))
+    owned = named.filter("doc is not null")
+    group = owned.groupBy("a", "b", "n").agg(F.min("doc").alias("doc"))
+    spread = (owned.select("a", F.explode("anchors").alias("anchor"))
+              .groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low != high"))
+    # Windows are passed over by the cell of their anchor; the grouped minimum below is exact.
+    windows = store(window_rows(texts.filter("doc is not null"), window, cells_of(spread, "anchor")))
     least = (windows.groupBy("fa", "fb").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
              .filter("least < most").select("fa", "fb", "least"))
     starts = (windows.join(least, ["fa", "fb"]).filter("doc > least")
               .groupBy("doc").agg(F.collect_set("start").alias("starts")))
-    copies = (named.filter("doc is not null").select("a", "b", "n", "doc")
+    copies = (owned.select("a", "b", "n", "doc")
               .join(group.withColumnRenamed("doc", "first"), ["a", "b", "n"]).filter("doc > first")
               .select("doc", F.lit(True).alias("copy")).distinct())
-    facts = copies.join(starts, "doc", "full_outer")
-    judged = texts.join(facts, "doc", "left").select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
-    return cut_words(judged, window)
+    facts = store(copies.join(starts, "doc", "full_outer"))
+    cells = bitmap(facts, "doc")
+    touched = passed(texts, "doc", cells, True).join(facts, "doc", "left")
+    rest = passed(texts, "doc", cells, False).select(
+        "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+    return cut_words(touched.select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
+                     .unionByName(rest), window)
+
+
+def cells_of(rows: DataFrame, column: str) -> np.ndarray:
+    """Like `bitmap`, for hashes that tasks have at hand: the cell is the hash itself modulo BITS."""
+    names = rows.select(F.pmod(F.col(column), F.lit(BITS)).alias("cell"))
+    found = names.groupBy((F.col("cell") / 8).cast("int").alias("byte")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("cell") % 8).cast("int"))).alias("flags")).toArrow()
+    out = np.zeros(BITS // 8, np.uint8)
+    out[found["byte"].to_numpy()] = found["flags"].to_numpy()
+    return np.unpackbits(out, bitorder="little").astype(bool)

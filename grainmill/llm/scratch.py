@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from grainmill.session import cut_lineage, ensure_checkpoint_dir
 
@@ -15,3 +21,44 @@ def shared_folder(spark: SparkSession) -> str:
 def freeze(df: DataFrame) -> DataFrame:
     """Rows written once to the shared folder: reads after a lost executor do not compute them anew."""
     return cut_lineage(df)
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Like `freeze`, as compressed Parquet: for many narrow rows, or columns that are read apart."""
+    path = f"{shared_folder(df.sparkSession)}/rows-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+BITS = 1 << 24
+
+
+def bit(column: Column) -> Column:
+    """A value's place in a `bitmap`."""
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """Which of BITS cells the column's values fall into: two megabytes, whatever the input.
+
+    A clear cell proves that a value is absent, so rows can be passed over before a join; a set one proves nothing.
+    """
+    place = bit(F.col(column))
+    rows = (values.select((place / 8).cast("int").alias("byte"), F.call_function("shiftleft", F.lit(1), (place % 8).cast("int")).alias("flag"))
+            .groupBy("byte").agg(F.bit_or("flag").alias("flags")).toArrow())
+    out = np.zeros(BITS // 8, np.uint8)
+    out[rows["byte"].to_numpy()] = rows["flags"].to_numpy()
+    return np.unpackbits(out, bitorder="little").astype(bool)
+
+
+def passed(df: DataFrame, key: str, cells: np.ndarray, present: bool) -> DataFrame:
+    """Rows of `df` whose `key` falls into a set (or clear) cell."""
+    sent = df.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(held[batch.column(batch.num_columns - 1).to_numpy()] == present))
+
+    place = bit(F.col(key)).alias("  cell")
+    return df.select("*", place).mapInArrow(run, df.select("*", place).schema).drop("  cell")
