@@ -7,9 +7,10 @@ ends. Each symbol carries the interval of words that decided it; a symbol is con
 lies inside. A window's anchor is the smallest of its consistent symbols on the highest level that has one (level 0,
 the words, always does), so equal windows have equal anchors.
 
-Spark then names what is shared: an anchor matters if two different texts have it; the windows with such an anchor
-get 95-bit fingerprints, whose smallest document comes from one grouped minimum. Equal texts are one representative
-from the start. A hot passage is a few hot keys of pre-aggregated minima; nothing is gathered by key.
+Spark then names what is shared, in rounds: an anchor matters if two different texts have it. Runs of windows with
+such an anchor are named by all their words, and equal runs keep one document, the smallest. Where an anchor has
+different runs, the windows of those documents get 95-bit fingerprints, whose smallest document decides. Equal texts
+are one from the start. A hot passage is a few hot keys of pre-aggregated minima; nothing is gathered by key.
 
 A word goes if a window of `window` words that covers it also starts in a document with a smaller id. Null and empty
 texts have no words. Rows without an id are neither shortened nor count as earlier. Ids name documents: repeated rows
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.scratch import BITS, bitmap, passed, store
-from grainmill.llm.text import Words, mix, prefix_sums, slices, span_hashes
+from grainmill.llm.text import Slice, Words, mix, prefix_sums, slices, span_hashes
 
 WINDOW, LEVELS = 50, 5
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -128,9 +129,9 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     return starts, found
 
 
-def window_prints(hashes: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each window's words; 64 and 31 bits of them are kept."""
-    return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, starts + window) for salt in (11, 23))
+def window_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run of words; 64 and 31 bits of them are kept."""
+    return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, ends) for salt in (11, 23))
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -158,18 +159,63 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, n long, a long, b long, anchors array<long>")
 
 
+def region_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
+    """(doc, start, windows, anchor, ra, rb, name): the runs of windows with one anchor, for anchors in set cells.
+
+    ra and rb are hashes of all words of the run's windows; name is that of this run in this document. Input is
+    (doc, text, mark), with mark a hash of doc.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(sent.value).astype(bool)
+        for part in slices(batches, "text"):
+            words, hashes, starts, last, found = regions(part, window)
+            keep = held[cell(found)]
+            starts, last, found = starts[keep], last[keep], found[keep]
+            ra, rb = window_prints(hashes, starts, last + window)
+            row = words.row[starts]
+            yield pa.RecordBatch.from_pydict({
+                "doc": part.batch.column(0).take(pa.array(row)),
+                "start": pa.array((starts - words.first[row]).astype(np.int32)),
+                "windows": pa.array((last - starts + 1).astype(np.int32)), "anchor": pa.array(found.view(np.int64)),
+                "ra": pa.array(ra.view(np.int64)), "rb": pa.array((rb & np.uint64(0x7FFFFFFF)).astype(np.int32)),
+                "name": pa.array(region_names(part, words, starts, ra).view(np.int64))})
+
+    kind = docs.schema["doc"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc {kind}, start int, windows int, anchor long, ra long, rb int, name long")
+
+
+def regions(part: Slice, window: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their hashes, and first window, last window and anchor of the runs of windows with one anchor."""
+    words = Words(part.data, part.offsets)
+    hashes = words.hashes(part.data)
+    starts, found = anchors(words, hashes, window)
+    change = np.ones(len(found), bool)
+    change[1:] = (found[1:] != found[:-1]) | (words.row[starts][1:] != words.row[starts][:-1])
+    at = np.flatnonzero(change)
+    return words, hashes, starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts, found[at]
+
+
+def region_names(part: Slice, words: Words, starts: np.ndarray, ra: np.ndarray) -> np.ndarray:
+    mark = part.column("mark").view(np.uint64)
+    return mix(ra ^ mix(mark[words.row[starts]]))
+
+
 def window_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
-    """(doc, start, fa, fb) of the windows whose anchor falls into a set cell; input is (doc, text)."""
+    """(doc, start, fa, fb) of the windows of runs whose name falls into a set cell; input is (doc, text, mark)."""
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(sent.value).astype(bool)
         for part in slices(batches, "text"):
-            words = Words(part.data, part.offsets)
-            hashes = words.hashes(part.data)
-            starts, found = anchors(words, hashes, window)
-            starts = starts[held[cell(found)]]
-            fa, fb = window_prints(hashes, starts, window)
+            words, hashes, starts, last, found = regions(part, window)
+            ra, _ = window_prints(hashes, starts, last + window)
+            keep = held[cell(region_names(part, words, starts, ra))]
+            starts, size = starts[keep], (last - starts + 1)[keep]
+            first = np.concatenate(([0], np.cumsum(size)))
+            starts = np.arange(first[-1]) + np.repeat(starts - first[:-1], size)
+            fa, fb = window_prints(hashes, starts, starts + window)
             row = words.row[starts]
             yield pa.RecordBatch.from_pydict({
                 "doc": part.batch.column(0).take(pa.array(row)),
@@ -196,10 +242,11 @@ def cut_words(docs: DataFrame, window: int) -> DataFrame:
                     gone[first] += 1
                     gone[last] -= 1
                 elif starts.is_valid:
-                    at = first + starts.values.to_numpy()
-                    at = at[at + window <= last]
+                    at = first + starts.values.field("start").to_numpy()
+                    end = at + starts.values.field("windows").to_numpy() - 1 + window
+                    at, end = at[end <= last], end[end <= last]
                     np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+                    np.add.at(gone, end, -1)
             kept = np.cumsum(gone)[:-1] == 0
             raw, texts, removed = part.data.tobytes(), [], []
             for first, last in zip(words.first[:-1], words.first[1:], strict=True):
@@ -225,12 +272,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     group = owned.groupBy("a", "b", "n").agg(F.min("doc").alias("doc"))
     spread = (owned.select("a", F.explode("anchors").alias("anchor"))
               .groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low != high"))
-    # Windows are passed over by the cell of their anchor; the grouped minimum below is exact.
-    windows = store(window_rows(texts.filter("doc is not null"), window, cells_of(spread, "anchor")))
+    # Rows are passed over by cells of fixed-size bitmaps; the grouped minima below are exact.
+    marked = texts.filter("doc is not null").withColumn("mark", F.xxhash64("doc"))
+    runs = store(region_rows(marked, window, cells_of(spread, "anchor")))
+    # Runs with equal words: all but the first document's go as a whole, and that one stands for them.
+    contents = store(runs.groupBy("ra", "rb").agg(
+        F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("name", "doc").alias("name"),
+        F.min("anchor").alias("anchor")))
+    whole = runs.join(contents.filter("least < most").select("ra", "rb", "least"), ["ra", "rb"]).filter("doc > least") \
+        .select("doc", "start", "windows")
+    # Where an anchor has runs with different words, the windows of their first documents are compared one by one.
+    varied = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("anchor")
+    windows = store(window_rows(marked, window, cells_of(contents.join(varied, "anchor", "left_semi"), "name")))
     least = (windows.groupBy("fa", "fb").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
              .filter("least < most").select("fa", "fb", "least"))
-    starts = (windows.join(least, ["fa", "fb"]).filter("doc > least")
-              .groupBy("doc").agg(F.collect_set("start").alias("starts")))
+    single = windows.join(least, ["fa", "fb"]).filter("doc > least").select("doc", "start", F.lit(1).alias("windows"))
+    starts = (whole.unionByName(single).groupBy("doc")
+              .agg(F.collect_set(F.struct("start", "windows")).alias("starts")))
     copies = (owned.select("a", "b", "n", "doc")
               .join(group.withColumnRenamed("doc", "first"), ["a", "b", "n"]).filter("doc > first")
               .select("doc", F.lit(True).alias("copy")).distinct())
@@ -238,7 +296,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
     cells = bitmap(facts, "doc")
     touched = passed(texts, "doc", cells, True).join(facts, "doc", "left")
     rest = passed(texts, "doc", cells, False).select(
-        "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast("array<int>").alias("starts"))
+        "doc", "text", F.lit(False).alias("copy"), F.lit(None).cast(facts.schema["starts"].dataType).alias("starts"))
     return cut_words(touched.select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "starts")
                      .unionByName(rest), window)
 
