@@ -28,7 +28,7 @@ from grainmill.llm.repeats import cell, cells_of
 from grainmill.llm.scratch import store
 from grainmill.llm.text import BYTE_VALUES, Slice, buffers, mix, prefix_sums, rows_of, slices, span_hashes
 
-LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 4000, 3 << 20
+LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 1500, 1 << 20
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -125,24 +125,25 @@ def suffix_ranks(data: np.ndarray, row: np.ndarray, ends: np.ndarray, longest: i
         inside = place + k < ends
         code = (code << np.uint64(9)) | np.where(inside, data[np.minimum(place + k, n - 1)].astype(np.uint64) + np.uint64(1),
                                                 np.uint64(0))
-    signs = row + 1  # ends sort before all bytes, and differ from text to text
-    order = np.lexsort((np.where(place + 7 > ends, signs, 0), code))
-    code, sign = code[order], np.where(place + 7 > ends, signs, 0)[order]
+    signs = row + 1  # ends sort before all bytes, and differ from text to text from the second width on
+    order = np.argsort(code)
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, (code[1:] != code[:-1]) | (sign[1:] != sign[:-1])))
-    ranks, width, base = [(7, rank)], 7, int(row[-1]) + 2
+    rank[order] = np.cumsum(np.append(False, code[order][1:] != code[order][:-1]))
+    ranks, width, base = [(7, rank.astype(np.int32))], 7, int(row[-1]) + 2
     while width <= longest:
         step = np.where(place + width < ends, rank[np.minimum(place + width, n - 1)] + base, signs)
         key = rank * (n + base) + step
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.append(False, key[order][1:] != key[order][:-1])
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         width *= 2
-        ranks.append((width, rank))
+        ranks.append((width, rank.astype(np.int32)))
         if new[1:].all():
             break
-    return np.argsort(rank, kind="stable"), ranks
+    order = np.empty(n, np.int64)
+    order[rank] = place
+    return order, ranks
 
 
 def match_lengths(left: np.ndarray, right: np.ndarray, data: np.ndarray, ends: np.ndarray,
