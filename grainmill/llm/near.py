@@ -5,9 +5,10 @@ threshold is missed by all bands with probability 5e-8. Candidates are compared
 soon as the posterior chance (uniform prior) that its similarity reaches the threshold falls below `MISS`.
 Survivors are confirmed on their full shingle sets.
 
-Equal sets are one representative from the start. Inside a band, pairs are made only between a pivot (the smallest
-member) and the others, and only while their components differ: once a pivot's links are known it leaves the band,
-and a band whose members lie in one component is done. Bands of `TINY` rows or fewer are compared in one round.
+Equal sets are one representative from the start. Inside a band, pairs are made only between pivots (first the
+smallest member, then members outside the largest component, MOST_PIVOTS a round) and the others, and only while
+their components differ: once a pivot's links are known it leaves the band, and a band whose members lie in one
+component is done. Bands of `TINY` rows or fewer are compared in one round.
 No pair that could join two components stays unseen, and the pairs grow with the rows, not with their square.
 
 Rows without a word are linked with nothing. A row with a null id has a null component and is kept. Rows with the
@@ -24,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.components import components
-from grainmill.llm.scratch import freeze
+from grainmill.llm.scratch import bitmap, freeze, passed, store
 from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix
 
-BANDS, BAND_SIZE, STEP, MISS, TINY = 32, 4, 16, 1e-6, 8
+BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS = 32, 4, 16, 1e-6, 8, 32
 SIZE = BANDS * BAND_SIZE
 _RNG = np.random.default_rng(7041)
 _TIMES = _RNG.integers(1, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -150,47 +151,65 @@ def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def pivot_pairs(members: DataFrame) -> DataFrame:
-    """(u, v) with v the smallest member of a bucket and u any other of another component."""
-    least = members.groupBy("bucket").agg(F.min_by(F.struct("doc", "component"), "doc").alias("pivot"))
-    return (members.join(least, "bucket").filter(F.col("component") != F.col("pivot.component"))
-            .select(F.col("doc").alias("u"), F.col("pivot.doc").alias("v")))
+def pivots_of(members: DataFrame) -> DataFrame:
+    """(bucket, doc, component): members to compare with all others, outside the largest component of their bucket.
+
+    They are all of these where they are MOST_PIVOTS at most, so that the bucket is done; else that many by a hash.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
+                                      (F.sum("n") - F.max("n")).alias("outside"))
+    out = members.join(top, "bucket").filter("component != main")
+    crowd = (out.filter(F.col("outside") > MOST_PIVOTS)
+             .groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(MOST_PIVOTS)).alias("part"))
+             .agg(F.min_by(F.struct("doc", "component"), "doc").alias("pivot")))
+    few = out.filter(F.col("outside") <= MOST_PIVOTS).select("bucket", "doc", "component")
+    return few.union(crowd.select("bucket", "pivot.doc", "pivot.component"))
+
+
+def pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(u, v), u > v: each pivot with the members of its bucket that lie in other components."""
+    pivots = pivots.select("bucket", F.col("doc").alias("pivot"), F.col("component").alias("own"))
+    return (members.join(pivots, "bucket").filter("component != own")
+            .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str = "doc_id", text: str = "text",
                     ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`; sets of `size`-word shingles."""
-    made = freeze(signatures(docs, key, text, size))
+    made = store(signatures(docs, key, text, size))
     equal = (made.filter("n_shingles > 0 and doc is not null").groupBy("a", "b", "n_shingles")
              .agg(F.min("doc").alias("doc"), F.first("minima").alias("minima")))
-    apart = freeze(equal)
+    apart = store(equal)
     rows = bands(apart)
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    active = freeze(rows.join(shared, "bucket"))
-    wanted = active.select("doc").distinct()
-    full = freeze(sets(docs.join(wanted, docs[key] == wanted["doc"], "left_semi"), key, text, size)
-                  .dropDuplicates(["doc"]))
+    active = store(rows.join(shared, "bucket"))
+    # Sets are made of the documents in shared buckets, and of the few others that fall into their bitmap's cells.
+    wanted = passed(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc",
+                    bitmap(active, "doc"), True)
+    full = store(sets(wanted, "doc", "text", size).dropDuplicates(["doc"]))
 
     tiny = active.filter(F.col("members") <= TINY)
     pairs = tiny.select("bucket", F.col("doc").alias("u")).join(
         tiny.select("bucket", F.col("doc").alias("v")), "bucket").filter("u > v").select("u", "v")
     members = active.filter(F.col("members") > TINY).select("bucket", "doc", F.col("doc").alias("component"))
-    pairs = pairs.union(pivot_pairs(members)).distinct()
+    pivots = members.groupBy("bucket").agg(F.min("doc").alias("doc"), F.min("component").alias("component"))
+    pairs = pairs.union(pivot_pairs(members, pivots)).distinct()
     links = None
     while True:
         found = confirmed(beside(likely(beside(pairs, apart, "minima"), percent), full, "shingles"), percent)
         links = components(found if links is None else links.union(found))
         # The pivots leave; what is left matters where two components still meet.
-        pivots = members.groupBy("bucket").agg(F.min("doc").alias("doc"))
         labels = links.select(F.col("u").alias("doc"), F.col("v").alias("label"))
-        members = (members.join(pivots, ["bucket", "doc"], "left_anti").join(labels, "doc", "left")
-                   .select("bucket", "doc", F.coalesce("label", "doc").alias("component")))
+        members = (members.join(pivots.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+                   .join(labels, "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("component")))
         mixed = (members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .filter("low != high").select("bucket"))
         members = freeze(members.join(mixed, "bucket", "left_semi"))
         if not members.take(1):
             break
-        pairs = pivot_pairs(members).distinct()
+        pivots = freeze(pivots_of(members))
+        pairs = pivot_pairs(members, pivots)
     label = links.select(F.col("u").alias("same"), F.col("v").alias("label"))
     group = equal_ids(apart).join(label, "same", "left").select(
         "a", "b", "n_shingles", F.coalesce("label", "same").alias("component"))
