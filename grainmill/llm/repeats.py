@@ -7,7 +7,8 @@ ends. Each symbol carries the interval of words that decided it; a symbol is con
 lies inside. A window's anchor is the smallest of its consistent symbols on the highest level that has one (level 0,
 the words, always does), so equal windows have equal anchors.
 
-Spark then names what is shared, in rounds: an anchor matters if two different texts have it. Runs of windows with
+Spark then names what is shared, in rounds: an anchor, or a run of GRAM words chosen by its hash, matters if two
+different texts have it; windows with one that does not are in no other text. Runs of windows with
 such an anchor are named by all their words, and equal runs keep one document, the smallest. Where an anchor has
 different runs, the windows of those documents get 95-bit fingerprints, whose smallest document decides. Equal texts
 are one from the start. A hot passage is a few hot keys of pre-aggregated minima; nothing is gathered by key.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from grainmill.llm.scratch import BITS, bitmap, passed, store
 from grainmill.llm.text import Slice, Words, mix, prefix_sums, slices, span_hashes
 
-WINDOW, LEVELS = 50, 5
+WINDOW, LEVELS, GRAM, ONE_IN = 50, 5, 16, 10
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,6 +130,15 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     return starts, found
 
 
+def chosen_grams(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and names of the runs of GRAM words whose hash is divisible by ONE_IN: content chooses them."""
+    size = min(GRAM, window)
+    places = words.gram_starts(size)
+    names = span_hashes(prefix_sums(mix(hashes + np.uint64(61))), places, places + size)
+    own = names % np.uint64(ONE_IN) == 0
+    return places[own], mix(names[own])
+
+
 def window_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each run of words; 64 and 31 bits of them are kept."""
     return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, ends) for salt in (11, 23))
@@ -146,7 +156,10 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             change = np.ones(len(found), bool)
             row = words.row[starts]
             change[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
-            found, row = found[change], row[change]
+            places, grams = chosen_grams(words, hashes, window)
+            found, row = np.append(found[change], grams), np.append(row[change], words.row[places])
+            order = np.argsort(row, kind="stable")
+            found, row = found[order], row[order]
             cut = np.searchsorted(row, np.arange(part.rows + 1))
             lists = [np.unique(found[x:y]).view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
             sizes = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
@@ -168,11 +181,9 @@ def region_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).astype(bool)
+        held = np.unpackbits(sent.value).view(bool)
         for part in slices(batches, "text"):
-            words, hashes, starts, last, found = regions(part, window)
-            keep = held[cell(found)]
-            starts, last, found = starts[keep], last[keep], found[keep]
+            words, hashes, starts, last, found = regions(part, window, held)
             ra, rb = window_prints(hashes, starts, last + window)
             row = words.row[starts]
             yield pa.RecordBatch.from_pydict({
@@ -186,13 +197,24 @@ def region_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, start int, windows int, anchor long, ra long, rb int, name long")
 
 
-def regions(part: Slice, window: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their hashes, and first window, last window and anchor of the runs of windows with one anchor."""
+def regions(part: Slice, window: int, held: np.ndarray,
+            ) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their hashes, and first window, last window and anchor of the runs of windows with one anchor.
+
+    Left out are windows whose anchor, or one of whose chosen grams, has a clear cell: no other text has it.
+    """
     words = Words(part.data, part.offsets)
     hashes = words.hashes(part.data)
     starts, found = anchors(words, hashes, window)
+    places, grams = chosen_grams(words, hashes, window)
+    alone = np.zeros(len(hashes) + 1, np.int32)
+    alone[places[~held[cell(grams)]] + 1] = 1
+    alone = np.cumsum(alone)  # before each word
+    keep = held[cell(found)] & (alone[starts + window - min(GRAM, window) + 1] == alone[starts])
+    starts, found = starts[keep], found[keep]
     change = np.ones(len(found), bool)
-    change[1:] = (found[1:] != found[:-1]) | (words.row[starts][1:] != words.row[starts][:-1])
+    change[1:] = (found[1:] != found[:-1]) | (starts[1:] != starts[:-1] + 1) | (
+        words.row[starts][1:] != words.row[starts][:-1])
     at = np.flatnonzero(change)
     return words, hashes, starts[at], starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts, found[at]
 
@@ -202,16 +224,16 @@ def region_names(part: Slice, words: Words, starts: np.ndarray, ra: np.ndarray)
     return mix(ra ^ mix(mark[words.row[starts]]))
 
 
-def window_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
-    """(doc, start, fa, fb) of the windows of runs whose name falls into a set cell; input is (doc, text, mark)."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
+def window_rows(docs: DataFrame, window: int, cells: np.ndarray, named: np.ndarray) -> DataFrame:
+    """(doc, start, fa, fb) of the windows of runs (as in `region_rows`) whose name falls into a cell of `named`."""
+    sent = docs.sparkSession.sparkContext.broadcast((np.packbits(cells), np.packbits(named)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).astype(bool)
+        held, wanted = (np.unpackbits(x).view(bool) for x in sent.value)
         for part in slices(batches, "text"):
-            words, hashes, starts, last, found = regions(part, window)
+            words, hashes, starts, last, found = regions(part, window, held)
             ra, _ = window_prints(hashes, starts, last + window)
-            keep = held[cell(region_names(part, words, starts, ra))]
+            keep = wanted[cell(region_names(part, words, starts, ra))]
             starts, size = starts[keep], (last - starts + 1)[keep]
             first = np.concatenate(([0], np.cumsum(size)))
             starts = np.arange(first[-1]) + np.repeat(starts - first[:-1], size)
@@ -274,7 +296,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
               .groupBy("anchor").agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low != high"))
     # Rows are passed over by cells of fixed-size bitmaps; the grouped minima below are exact.
     marked = texts.filter("doc is not null").withColumn("mark", F.xxhash64("doc"))
-    runs = store(region_rows(marked, window, cells_of(spread, "anchor")))
+    cells = cells_of(spread, "anchor")
+    runs = store(region_rows(marked, window, cells))
     # Runs with equal words: all but the first document's go as a whole, and that one stands for them.
     contents = store(runs.groupBy("ra", "rb").agg(
         F.min("doc").alias("least"), F.max("doc").alias("most"), F.min_by("name", "doc").alias("name"),
@@ -283,7 +306,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", t
         .select("doc", "start", "windows")
     # Where an anchor has runs with different words, the windows of their first documents are compared one by one.
     varied = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("contents")).filter("contents > 1").select("anchor")
-    windows = store(window_rows(marked, window, cells_of(contents.join(varied, "anchor", "left_semi"), "name")))
+    windows = store(window_rows(marked, window, cells, cells_of(contents.join(varied, "anchor", "left_semi"), "name")))
     least = (windows.groupBy("fa", "fb").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
              .filter("least < most").select("fa", "fb", "least"))
     single = windows.join(least, ["fa", "fb"]).filter("doc > least").select("doc", "start", F.lit(1).alias("windows"))

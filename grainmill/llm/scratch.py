@@ -30,7 +30,7 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BITS = 1 << 24
+BITS = 1 << 26
 
 
 def bit(column: Column) -> Column:
@@ -39,7 +39,7 @@ def bit(column: Column) -> Column:
 
 
 def bitmap(values: DataFrame, column: str) -> np.ndarray:
-    """Which of BITS cells the column's values fall into: two megabytes, whatever the input.
+    """Which of BITS cells the column's values fall into: eight megabytes, whatever the input.
 
     A clear cell proves that a value is absent, so rows can be passed over before a join; a set one proves nothing.
     """
@@ -56,7 +56,7 @@ def passed(df: DataFrame, key: str, cells: np.ndarray, present: bool) -> DataFra
     sent = df.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).astype(bool)
+        held = np.unpackbits(sent.value).view(bool)
         for batch in batches:
             yield batch.filter(pa.array(held[batch.column(batch.num_columns - 1).to_numpy()] == present))
 
