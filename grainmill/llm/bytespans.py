@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.repeats import cell, cells_of
-from grainmill.llm.scratch import store
+from grainmill.llm.scratch import Cells, store
 from grainmill.llm.text import BYTE_VALUES, Slice, buffers, mix, prefix_sums, rows_of, slices, span_hashes
 
 LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 1500, 1 << 20
@@ -96,7 +96,7 @@ def cuts(texts: DataFrame, length: int, cells: np.ndarray) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).view(bool)
+        held = Cells(sent.value)
         for part in slices(batches, "text"):
             row, first, last, name = anchors(part.data, part.offsets, length)
             keep = held[cell(name)]
@@ -321,7 +321,7 @@ def split(named: DataFrame, cells: np.ndarray, present: bool) -> DataFrame:
     sent = named.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).view(bool)
+        held = Cells(sent.value)
         for batch in batches:
             yield batch.filter(pa.array(held[cell(batch.column(2).to_numpy().view(np.uint64))] == present))
 

@@ -6,7 +6,8 @@ soon as the posterior chance (uniform prior) that its similarity reaches the thr
 Survivors are confirmed on their full shingle sets.
 
 Equal sets are one representative from the start. Inside a band, pairs are made only between pivots (first the
-smallest member, then members outside the largest component, MOST_PIVOTS a round) and the others, and only while
+smallest member, then for a few turns two members of the largest component, then all members outside it,
+MOST_PIVOTS a round) and the others, and only while
 their components differ: once a pivot's links are known it leaves the band, and a band whose members lie in one
 component is done. Bands of `TINY` rows or fewer are compared in one round.
 No pair that could join two components stays unseen, and the pairs grow with the rows, not with their square.
@@ -28,7 +29,7 @@ from grainmill.llm.components import components
 from grainmill.llm.scratch import bitmap, freeze, passed, store
 from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix
 
-BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS = 32, 4, 16, 1e-6, 8, 32
+BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 32, 4, 16, 1e-6, 8, 32, 3
 SIZE = BANDS * BAND_SIZE
 _RNG = np.random.default_rng(7041)
 _TIMES = _RNG.integers(1, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -167,6 +168,18 @@ def pivots_of(members: DataFrame) -> DataFrame:
     return few.union(crowd.select("bucket", "pivot.doc", "pivot.component"))
 
 
+def sampled_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(u, v), u > v: members outside the largest component of their bucket with two members of it, by a hash."""
+    sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    tagged = members.join(top, "bucket")
+    order = F.xxhash64("bucket", "doc", F.lit(turn))
+    chosen = (tagged.filter("component = main").groupBy("bucket", F.pmod(order, F.lit(2)).alias("part"))
+              .agg(F.min_by("doc", order).alias("pivot")))
+    return (tagged.filter("component != main").select("bucket", "doc").join(chosen, "bucket")
+            .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).distinct())
+
+
 def pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     """(u, v), u > v: each pivot with the members of its bucket that lie in other components."""
     pivots = pivots.select("bucket", F.col("doc").alias("pivot"), F.col("component").alias("own"))
@@ -195,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
     members = active.filter(F.col("members") > TINY).select("bucket", "doc", F.col("doc").alias("component"))
     pivots = members.groupBy("bucket").agg(F.min("doc").alias("doc"), F.min("component").alias("component"))
     pairs = pairs.union(pivot_pairs(members, pivots)).distinct()
-    links = None
+    links, turn = None, 0
     while True:
         found = confirmed(beside(likely(beside(pairs, apart, "minima"), percent), full, "shingles"), percent)
         links = components(found if links is None else links.union(found))
@@ -208,8 +221,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
         members = freeze(members.join(mixed, "bucket", "left_semi"))
         if not members.take(1):
             break
-        pivots = freeze(pivots_of(members))
-        pairs = pivot_pairs(members, pivots)
+        # A few links join most of what belongs together; only what is still apart then meets all pivots.
+        turn += 1
+        if turn <= SAMPLED_TURNS:
+            pivots, pairs = pivots.limit(0), sampled_pairs(members, turn)
+        else:
+            pivots = freeze(pivots_of(members))
+            pairs = pivot_pairs(members, pivots)
     label = links.select(F.col("u").alias("same"), F.col("v").alias("label"))
     group = equal_ids(apart).join(label, "same", "left").select(
         "a", "b", "n_shingles", F.coalesce("label", "same").alias("component"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.scratch import BITS, bitmap, passed, store
+from grainmill.llm.scratch import BITS, Cells, bitmap, passed, store
 from grainmill.llm.text import Slice, Words, mix, prefix_sums, slices, span_hashes
 
 WINDOW, LEVELS, GRAM, ONE_IN = 50, 5, 16, 10
@@ -181,7 +181,7 @@ def region_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).view(bool)
+        held = Cells(sent.value)
         for part in slices(batches, "text"):
             words, hashes, starts, last, found = regions(part, window, held)
             ra, rb = window_prints(hashes, starts, last + window)
@@ -197,7 +197,7 @@ def region_rows(docs: DataFrame, window: int, cells: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, f"doc {kind}, start int, windows int, anchor long, ra long, rb int, name long")
 
 
-def regions(part: Slice, window: int, held: np.ndarray,
+def regions(part: Slice, window: int, held: Cells,
             ) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, their hashes, and first window, last window and anchor of the runs of windows with one anchor.
 
@@ -229,7 +229,7 @@ def window_rows(docs: DataFrame, window: int, cells: np.ndarray, named: np.ndarr
     sent = docs.sparkSession.sparkContext.broadcast((np.packbits(cells), np.packbits(named)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, wanted = (np.unpackbits(x).view(bool) for x in sent.value)
+        held, wanted = map(Cells, sent.value)
         for part in slices(batches, "text"):
             words, hashes, starts, last, found = regions(part, window, held)
             ra, _ = window_prints(hashes, starts, last + window)

@@ -33,6 +33,16 @@ def store(df: DataFrame) -> DataFrame:
 BITS = 1 << 26
 
 
+class Cells:
+    """Cells of a bitmap by number, left packed: eight megabytes in a worker, not sixty-four."""
+
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        return ((self.packed[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1).astype(bool)
+
+
 def bit(column: Column) -> Column:
     """A value's place in a `bitmap`."""
     return F.pmod(F.xxhash64(column), F.lit(BITS))
@@ -56,7 +66,7 @@ def passed(df: DataFrame, key: str, cells: np.ndarray, present: bool) -> DataFra
     sent = df.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).view(bool)
+        held = Cells(sent.value)
         for batch in batches:
             yield batch.filter(pa.array(held[batch.column(batch.num_columns - 1).to_numpy()] == present))
 
