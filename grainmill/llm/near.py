@@ -1,7 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification and exact links.
 
-Signatures of 128 minima are cut into 32 bands of 4; rows that agree in a band are candidates. A pair at the
-threshold is missed by all bands with probability 5e-8. Candidates are compared 16 minima at a time; a pair goes as
+Signatures of 240 minima are cut into 40 bands of 6; rows that agree in a band are candidates. A pair at the
+threshold is missed by all bands with probability 5e-6, one at 0.85 with 4e-9. Candidates are compared 24 minima at a
+time, of which one byte each is kept; a pair goes as
 soon as the posterior chance (uniform prior) that its similarity reaches the threshold falls below `MISS`.
 Survivors are confirmed on their full shingle sets.
 
@@ -29,7 +30,7 @@ from grainmill.llm.components import components
 from grainmill.llm.scratch import bitmap, freeze, passed, store
 from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix
 
-BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 32, 4, 16, 1e-6, 8, 32, 3
+BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 40, 6, 24, 1e-6, 8, 32, 3
 SIZE = BANDS * BAND_SIZE
 _RNG = np.random.default_rng(7041)
 _TIMES = _RNG.integers(1, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -51,7 +52,7 @@ def shingle_sets(part: Slice, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, n_shingles, a, b: 128 bits of the set, minima) for every row."""
+    """(doc, n_shingles, a, b: 128 bits of the set, minima: one byte each, bands: names) for every row."""
     def judge(part: Slice) -> dict:
         values, first = shingle_sets(part, size)
         counts = np.diff(first)
@@ -61,13 +62,17 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
             at = first[filled]
             for k in range(SIZE):
                 minima[filled, k] = np.minimum.reduceat(low * _TIMES[k] + _PLUS[k], at)
-        out = {"n_shingles": counts, "minima": [m.tobytes() for m in minima]}
+        names = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (part.rows, BANDS))
+        for k in range(BAND_SIZE):
+            names = mix(names * np.uint64(0x100000001B3) + minima[:, k * BANDS:(k + 1) * BANDS])
+        out = {"n_shingles": counts, "minima": [m.tobytes() for m in minima.astype(np.uint8)],
+               "bands": [m.tobytes() for m in names]}
         for name, salt in (("a", 1), ("b", 2)):
             sums = np.concatenate(([0], np.cumsum(mix(values + np.uint64(salt)), dtype=np.uint64)))
             out[name] = (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
         return out
 
-    fields = {"n_shingles": "long", "a": "long", "b": "long", "minima": "binary"}
+    fields = {"n_shingles": "long", "a": "long", "b": "long", "minima": "binary", "bands": "binary"}
     return map_text(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text", fields, judge, ["doc"])
 
 
@@ -85,16 +90,13 @@ def bands(rows: DataFrame) -> DataFrame:
     """(bucket, doc): one row for each band of each signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            minima = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, BAND_SIZE)
-            bucket = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), minima.shape[:2])
-            for k in range(BAND_SIZE):
-                bucket = mix(bucket * np.uint64(0x100000001B3) + minima[:, :, k])
+            names = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
             yield pa.RecordBatch.from_pydict({
-                "bucket": pa.array(bucket.ravel().view(np.int64)),
+                "bucket": pa.array(names),
                 "doc": batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))})
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.select("doc", "minima").mapInArrow(run, f"bucket long, doc {kind}")
+    return rows.select("doc", "bands").mapInArrow(run, f"bucket long, doc {kind}")
 
 
 def least_matches(percent: int) -> list[tuple[int, int]]:
@@ -103,7 +105,8 @@ def least_matches(percent: int) -> list[tuple[int, int]]:
     out = []
     for seen in range(STEP, SIZE + 1, STEP):
         for matches in range(seen + 1):
-            log = matches * np.log(s) + (seen - matches) * np.log1p(-s)
+            same = s + (1 - s) / 256  # bytes of different minima agree by chance
+            log = matches * np.log(same) + (seen - matches) * np.log1p(-same)
             p = np.exp(log - log.max())
             if p[s >= percent / 100].sum() >= MISS * p.sum():
                 out.append((seen, matches))
@@ -117,7 +120,7 @@ def likely(pairs: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, SIZE)
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SIZE)
                            for k in (2, 3))
             alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
             for seen, least in table:
@@ -146,10 +149,13 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """(u, v, left, right): `column` of both ends."""
-    for end, name in (("u", "left"), ("v", "right")):
-        pairs = pairs.join(rows.select(F.col("doc").alias(end), F.col(column).alias(name)), end)
-    return pairs
+    """(u, v, left, right): `column` of both ends; rows of other documents are passed over before the shuffle."""
+    pairs = store(pairs)
+    ends = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc")))
+    near = passed(rows.select("doc", column), "doc", bitmap(ends, "doc"), True)
+    for end, name in (("v", "right"), ("u", "left")):
+        pairs = pairs.join(near.select(F.col("doc").alias(end), F.col(column).alias(name)), end)
+    return pairs.select("u", "v", "left", "right")
 
 
 def pivots_of(members: DataFrame) -> DataFrame:
@@ -191,10 +197,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
                     ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of `docs`; sets of `size`-word shingles."""
     made = store(signatures(docs, key, text, size))
-    equal = (made.filter("n_shingles > 0 and doc is not null").groupBy("a", "b", "n_shingles")
-             .agg(F.min("doc").alias("doc"), F.first("minima").alias("minima")))
-    apart = store(equal)
-    rows = bands(apart)
+    apart = store(made.filter("n_shingles > 0 and doc is not null").groupBy("a", "b", "n_shingles")
+                  .agg(F.min("doc").alias("doc")))
+    rows = bands(made.join(apart, ["a", "b", "n_shingles", "doc"], "left_semi"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     active = store(rows.join(shared, "bucket"))
     # Sets are made of the documents in shared buckets, and of the few others that fall into their bitmap's cells.
@@ -210,7 +215,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
     pairs = pairs.union(pivot_pairs(members, pivots)).distinct()
     links, turn = None, 0
     while True:
-        found = confirmed(beside(likely(beside(pairs, apart, "minima"), percent), full, "shingles"), percent)
+        found = confirmed(beside(likely(beside(pairs, made, "minima"), percent), full, "shingles"), percent)
         links = components(found if links is None else links.union(found))
         # The pivots leave; what is left matters where two components still meet.
         labels = links.select(F.col("u").alias("doc"), F.col("v").alias("label"))
