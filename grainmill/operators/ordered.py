@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from ..session import MAX_GROUP_ROWS, cut_lineage, setting
 
 STRETCH = "__stretch"
-MAX_STRETCHES = 8192
 
 
 def _check(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> None:
@@ -51,7 +50,7 @@ def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
 def _stretch(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], rows: int) -> DataFrame:
     """Cut the (key, order) sequence into balanced stretches and freeze the cut."""
     limit = setting(df.sparkSession, MAX_GROUP_ROWS)
-    parts = min(MAX_STRETCHES, max(2, 2 * ceil(rows / limit)))
+    parts = max(2, 2 * ceil(rows / limit))
     ranged = df.repartitionByRange(parts, *keys, *order_by)
     return cut_lineage(ranged.withColumn(STRETCH, F.spark_partition_id()))
 

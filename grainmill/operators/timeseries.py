@@ -100,17 +100,20 @@ def residual_anomalies(df: DataFrame, value: str, period: int, keys: Sequence[st
 
 
 def changepoints(df: DataFrame, value: str, keys: Sequence[str], order_by: Sequence[str],
-                 penalty: float = CHANGE_PENALTY, max_depth: int = 8) -> DataFrame:
+                 penalty: float = CHANGE_PENALTY, max_depth: int | None = None) -> DataFrame:
     """(keys, segment, position, gain): mean shifts by binary segmentation.
 
     One round splits every open segment of every series at its best point, if that lowers
-    the squared error by more than the penalty; the next round looks at both halves.
+    the squared error by more than the penalty; the next round looks at both halves. It goes on until no
+    segment splits, or for `max_depth` rounds.
     """
     numbered = number_rows(df.filter(F.col(value).isNotNull()), keys, order_by, "position")
     base = numbered.select(*keys, "position", F.col(value).cast("double").alias("__v"))
     segmented = base.withColumn("segment", F.lit(1).cast("bigint"))
     found = None
-    for _ in range(max_depth):
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         group = [*keys, "segment"]
         totals = segmented.groupBy(*group).agg(
             F.count(F.lit(1)).alias("__n"), F.sum("__v").alias("__t"), F.min("position").alias("__p0"))

@@ -12,7 +12,7 @@ from .profile import require_columns, top_values
 
 MAX_CATEGORIES = 20       # fixed value: categories shown in a chart
 MAX_POINTS = 1000         # fixed value: points shown in a chart
-PAGE_SIZES = (100, 1000)  # fixed values: default and largest page
+PAGE_SIZE = 100           # fixed value: default page
 DRIVER_ROWS = 100_000     # offset + limit up to here is one bounded top-k
 
 
@@ -38,7 +38,7 @@ def top_with_other(df: DataFrame, column: str, value: str, k: int = MAX_CATEGORI
                  .groupBy("category").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
 
 
-def page(df: DataFrame, order_by: Sequence[str], number: int, size: int = PAGE_SIZES[0],
+def page(df: DataFrame, order_by: Sequence[str], number: int, size: int = PAGE_SIZE,
          after: Sequence[object] | None = None) -> DataFrame:
     """Page `number` (from 1) in key order.
 
@@ -47,7 +47,8 @@ def page(df: DataFrame, order_by: Sequence[str], number: int, size: int = PAGE_S
     row numbers rather than an offset held in one task.
     """
     require_columns(df, order_by)
-    size = min(size, PAGE_SIZES[1])
+    if not (number >= 1 and size >= 1):
+        raise ValueError("page number and size begin at 1")
     if after is not None:
         beyond, equal = F.lit(False), F.lit(True)
         for c, v in zip(order_by, after):
@@ -61,7 +62,7 @@ def page(df: DataFrame, order_by: Sequence[str], number: int, size: int = PAGE_S
     return numbered.filter(F.col("__rn").between(first + 1, first + size)).drop("__rn")
 
 
-def page_info(df: DataFrame, size: int = PAGE_SIZES[0]) -> DataFrame:
+def page_info(df: DataFrame, size: int = PAGE_SIZE) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_rows"),
                   F.ceil(F.count(F.lit(1)) / size).alias("pages"))
 

@@ -22,7 +22,7 @@ def sql_literal(df: DataFrame, c: str, dialect: str = "postgresql") -> Column:
     if kind == "boolean":
         text = F.upper(text)
     elif kind in ("double", "float"):
-        text = F.when(~F.isnan(c), text)
+        text = F.when(~F.isnan(c) & ~F.abs(c).isin(float("inf")), text)  # SQL has no literal for these
     elif kind not in ("tinyint", "smallint", "int", "bigint") and not kind.startswith("decimal"):
         text = F.replace(text, F.lit("'"), F.lit("''"))
         if dialect == "mysql":

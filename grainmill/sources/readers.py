@@ -122,20 +122,31 @@ def read_json(spark: SparkSession, path: Paths, lines: bool | None = None,
     return flatten(df)
 
 
+_XML_SKIPPED = re.compile(r"<\?.*?\?>|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>", re.S)
+
+
 def guess_row_tag(spark: SparkSession, paths: list[str]) -> str:
-    """Name of the first element inside the root."""
-    head = "\n".join(r["value"] for r in spark.read.text(paths).limit(50).collect())
-    tags = re.findall(r"<([A-Za-z_][\w.:-]*)", head)
-    if len(tags) < 2:
-        raise ValueError("no record element found")
-    return tags[1]
+    """Name of the first element inside the root; prolog, comments and doctype are passed over, whatever their length."""
+    text = ""
+    for row in spark.read.text(paths).toLocalIterator():
+        text += row["value"] + "\n"
+        # Only what is not inside an open comment or instruction counts.
+        plain = _XML_SKIPPED.sub("", text)
+        plain = re.split(r"<\?|<!--|<!DOCTYPE|<!\[CDATA\[", plain)[0]
+        tags = re.findall(r"<([A-Za-z_][\w.:-]*)", plain)
+        if len(tags) > 1:
+            return tags[1]
+    raise ValueError("no record element found")
 
 
 def read_xml(spark: SparkSession, path: Paths, record_tag: str | None = None) -> DataFrame:
-    """One row per record element; child elements are text columns."""
+    """One row per record element; child elements are text columns. A tag that matches nothing is an error."""
     tag = record_tag or guess_row_tag(spark, _list(path))
-    return (spark.read.format("xml").option("rowTag", tag).option("inferSchema", False)
-            .option("excludeAttribute", True).load(path))
+    out = (spark.read.format("xml").option("rowTag", tag).option("inferSchema", False)
+           .option("excludeAttribute", True).load(path))
+    if not out.columns:
+        raise ValueError(f"no element <{tag}> found")
+    return out
 
 
 def read_parquet(spark: SparkSession, path: Paths) -> DataFrame:
