@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_POWERS.get("up", ())) < n:
+    if "up" not in _POWERS or len(_POWERS["up"]) < n:
         size = max(n, SLICE_BYTES + 1)
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, np.uint64)
