@@ -29,6 +29,7 @@ from grainmill.llm.scratch import Cells, store
 from grainmill.llm.text import BYTE_VALUES, Slice, buffers, mix, prefix_sums, rows_of, slices, span_hashes
 
 LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 1500, 1 << 20
+PART_BYTES = 1 << 19  # every byte of a slice has a dozen numbers while anchors are found
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -52,8 +53,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         return none, none, none, none.astype(np.uint64)
     place = np.arange(len(data) - gram + 1)
     names = span_hashes(prefix_sums(BYTE_VALUES[data]), place, place + gram)
-    order = (names & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
-    least = sliding_least(order, length - gram + 1)
+    least = sliding_least((names & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64), length - gram + 1)
+    del place
     first = np.concatenate(([0], np.cumsum(sizes)))
     starts = np.arange(first[-1]) + np.repeat(offsets[:-1] - first[:-1], sizes)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -67,7 +68,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """(a, b, n, anchors): 128 bits and size of each text, and its anchors, repeated ones twice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PART_BYTES):
             row, _, _, name = anchors(part.data, part.offsets, length)
             cut = np.searchsorted(row, np.arange(part.rows + 1))
             lists = []
@@ -97,7 +98,7 @@ def cuts(texts: DataFrame, length: int, cells: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells(sent.value)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PART_BYTES):
             row, first, last, name = anchors(part.data, part.offsets, length)
             keep = held[cell(name)]
             row, first, last, name = row[keep], first[keep], last[keep], name[keep]
@@ -221,7 +222,7 @@ def shard_marks(length: int):
 def hot_rows(rows: DataFrame, length: int) -> DataFrame:
     """(ca, cb, offset, fa, fb): each window of the cuts with 128 bits of its bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "cut"):
+        for part in slices(batches, "cut", PART_BYTES):
             sizes = np.maximum(np.diff(part.offsets) - length + 1, 0)
             first = np.concatenate(([0], np.cumsum(sizes)))
             row = rows_of(first)
@@ -239,7 +240,7 @@ def hot_rows(rows: DataFrame, length: int) -> DataFrame:
 def cut_bytes(docs: DataFrame, length: int, kept: bool) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) from (doc, text, copies, spans)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", PART_BYTES):
             gone = np.zeros(len(part.data) + 1, np.int64)
             for r, (copy, spans) in enumerate(zip(part.batch.column(2).to_pylist(), part.batch.column(3), strict=True)):
                 first, last = part.offsets[r], part.offsets[r + 1]
@@ -334,7 +335,7 @@ def name_schema(texts: DataFrame) -> str:
 
 def named_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the 128 bits of each text."""
-    for part in slices(batches, "text"):
+    for part in slices(batches, "text", PART_BYTES):
         a, b = text_names(part)
         yield pa.RecordBatch.from_pydict({"doc": part.batch.column(0), "text": part.batch.column(1),
                                           "a": pa.array(a), "b": pa.array(b)})
