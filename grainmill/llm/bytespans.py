@@ -28,7 +28,7 @@ from grainmill.llm.repeats import cell, cells_of
 from grainmill.llm.scratch import Cells, store
 from grainmill.llm.text import BYTE_VALUES, Slice, buffers, mix, prefix_sums, rows_of, slices, span_hashes
 
-LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 1500, 1 << 20
+LENGTH, GRAM, HOT_CUTS, SHARD_BYTES = 400, 32, 1500, 1 << 19
 PART_BYTES = 1 << 19  # every byte of a slice has a dozen numbers while anchors are found
 
 
@@ -113,9 +113,19 @@ def cuts(texts: DataFrame, length: int, cells: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "a long, b long, start long, windows long, anchor long, cut binary")
 
 
+def ranks_of(keys: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Dense rank of each key, and whether all keys differ."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(False, ordered[1:] != ordered[:-1])
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32)
+    return rank, bool(new[1:].all())
+
+
 def suffix_ranks(data: np.ndarray, row: np.ndarray, ends: np.ndarray, longest: int,
                  ) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """Suffix order of texts laid end to end (`ends` for each place), and equality ranks of the first 8, 16 ... bytes.
+    """Suffix order of texts laid end to end (`ends` for each place), and equality ranks of the first 7, 21 ... bytes.
 
     Every text ends in a sign of its own, so suffixes are compared within their texts.
     """
@@ -127,20 +137,20 @@ def suffix_ranks(data: np.ndarray, row: np.ndarray, ends: np.ndarray, longest: i
         code = (code << np.uint64(9)) | np.where(inside, data[np.minimum(place + k, n - 1)].astype(np.uint64) + np.uint64(1),
                                                 np.uint64(0))
     signs = row + 1  # ends sort before all bytes, and differ from text to text from the second width on
-    order = np.argsort(code)
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, code[order][1:] != code[order][:-1]))
-    ranks, width, base = [(7, rank.astype(np.int32))], 7, int(row[-1]) + 2
+    rank, _ = ranks_of(code)
+    ranks, width, base = [(7, rank)], 7, int(row[-1]) + 2
+    bits = int(n + base).bit_length()
+    parts = 3 if 3 * bits <= 63 else 2  # ranks that fit into one key
     while width <= longest:
-        step = np.where(place + width < ends, rank[np.minimum(place + width, n - 1)] + base, signs)
-        key = rank * (n + base) + step
-        order = np.argsort(key)
-        new = np.append(False, key[order][1:] != key[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        width *= 2
-        ranks.append((width, rank.astype(np.int32)))
-        if new[1:].all():
+        key = rank.astype(np.int64)
+        for k in range(1, parts):
+            at = place + k * width
+            # Past its end, a text has its sign; what follows the sign no longer matters.
+            key = (key << bits) + np.where(at < ends, rank[np.minimum(at, n - 1)] + base, signs)
+        rank, apart = ranks_of(key)
+        width *= parts
+        ranks.append((width, rank))
+        if apart:
             break
     order = np.empty(n, np.int64)
     order[rank] = place
@@ -149,10 +159,10 @@ def suffix_ranks(data: np.ndarray, row: np.ndarray, ends: np.ndarray, longest: i
 
 def match_lengths(left: np.ndarray, right: np.ndarray, data: np.ndarray, ends: np.ndarray,
                   ranks: list[tuple[int, np.ndarray]]) -> np.ndarray:
-    """Common prefix of pairs of suffixes: the widths of equal ranks, largest first, then single bytes."""
+    """Common prefix of pairs of suffixes: the widths of equal ranks, largest first and twice each, then single bytes."""
     begin, left, right = left, left.copy(), right.copy()
     last_left, last_right = ends[left], ends[right]
-    for width, rank in reversed(ranks):
+    for width, rank in [x for x in reversed(ranks) for _ in range(2)]:
         fits = (left + width <= last_left) & (right + width <= last_right)
         fits[fits] = rank[left[fits]] == rank[right[fits]]
         left, right = left + width * fits, right + width * fits
