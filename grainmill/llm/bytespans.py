@@ -247,8 +247,8 @@ def hot_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("ca", "cb", "cut").mapInArrow(run, "ca long, cb long, offset int, fa long, fb long")
 
 
-def cut_bytes(docs: DataFrame, length: int, kept: bool) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) from (doc, text, copies, spans)."""
+def cut_run(length: int, kept: bool):
+    """Function of batches: (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) from (doc, text, copy, spans)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", PART_BYTES):
             gone = np.zeros(len(part.data) + 1, np.int64)
@@ -275,9 +275,12 @@ def cut_bytes(docs: DataFrame, length: int, kept: bool) -> DataFrame:
                        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in left])}
             yield pa.RecordBatch.from_pydict(columns | ({"kept": pa.array(left, pa.binary())} if kept else {}))
 
+    return run
+
+
+def cut_schema(docs: DataFrame, kept: bool) -> str:
     kind = docs.schema["doc"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-                           + ", kept binary" * kept)
+    return f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text",
@@ -319,24 +322,30 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, key: str = "doc
     copies = group.filter("copies > 1").select("a", "b", F.lit(True).alias("copy"))
     facts = store(copies.join(spans, ["a", "b"], "full_outer"))
     cells = cells_of(facts, "a")
-    named_texts = texts.mapInArrow(named_run, name_schema(texts))
-    touched = split(named_texts, cells, True).join(facts, ["a", "b"], "left")
-    rest = split(named_texts, cells, False).withColumn("copy", F.lit(False)).withColumn(
-        "spans", F.lit(None).cast(facts.schema["spans"].dataType))
-    columns = ["doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans"]
-    return cut_bytes(touched.select(columns).unionByName(rest.select(columns)), length, kept)
+    # One worker a task names, passes over and, for texts that lose nothing, finishes the rows.
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(cells))
+    schema, cut = cut_schema(texts, kept), cut_run(length, kept)
+    touched = texts.mapInArrow(split_run(sent, True), name_schema(texts)).join(facts, ["a", "b"], "left")
+    touched = touched.select("doc", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    rest = split_run(sent, False)
 
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rest(batches):
+            yield pa.RecordBatch.from_pydict({
+                "doc": batch.column(0), "text": batch.column(1),
+                "copy": pa.array(np.zeros(batch.num_rows, bool)), "spans": pa.nulls(batch.num_rows)})
+
+    return touched.mapInArrow(cut, schema).unionByName(texts.mapInArrow(lambda batches: cut(whole(batches)), schema))
 
-def split(named: DataFrame, cells: np.ndarray, present: bool) -> DataFrame:
-    """Rows of (doc, text, a, b) whose `a` falls into a set (or clear) cell."""
-    sent = named.sparkSession.sparkContext.broadcast(np.packbits(cells))
 
+def split_run(sent, present: bool):
+    """Function of (doc, text) batches: (doc, text, a, b) of rows whose `a` falls into a set (or clear) cell."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells(sent.value)
-        for batch in batches:
+        for batch in named_run(batches):
             yield batch.filter(pa.array(held[cell(batch.column(2).to_numpy().view(np.uint64))] == present))
 
-    return named.mapInArrow(run, named.schema)
+    return run
 
 
 def name_schema(texts: DataFrame) -> str:
