@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from .ordered import fill_ordered
 from .profile import missing, nan_to_null, numeric_columns, one_pass, require_columns, text_columns
-from .quantiles import exact_quantiles, modes
+from .quantiles import exact_quantiles, modes, number_modes
 
 STRATEGIES = ("mean", "median", "mode", "ffill", "bfill", "knn", "auto")
 # Missing shares that decide the automatic strategy, and the neighbour count.
@@ -53,11 +54,14 @@ def fill_values(df: DataFrame, plan: Mapping[str, str]) -> dict[str, object]:
     if medians:
         values.update({c: v[0] for c, v in exact_quantiles(df, medians, [0.5]).items()})
     moded = [c for c, s in plan.items() if s == "mode"]
-    numbers = set(numeric_columns(df))
-    for group, as_text in (([c for c in moded if c in numbers], False),
-                           ([c for c in moded if c not in numbers], True)):
-        if group:
-            values.update({r["column"]: r["mode"] for r in modes(clean, group, as_text).collect()})
+    kinds = {f.name: f.dataType for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    numbers, others = [c for c in moded if c in kinds], [c for c in moded if c not in kinds]
+    for r in number_modes(clean, numbers).collect() if numbers else ():
+        kind = kinds[r["column"]]
+        made = Decimal if isinstance(kind, T.DecimalType) else int if isinstance(kind, T.IntegralType) else float
+        values[r["column"]] = made(r["mode"])
+    for r in modes(clean, others).collect() if others else ():
+        values[r["column"]] = r["mode"]
     return values
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .quantiles import as_double, exact_quantiles, modes, value_counts
+from .quantiles import as_double, exact_quantiles, modes, number_modes, value_counts
 
 COLUMNS_PER_PASS = 100  # keeps one aggregate inside code-generation limits
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -27,6 +28,10 @@ def datetime_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))]
 
 
+def boolean_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if isinstance(f.dataType, T.BooleanType)]
+
+
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     absent = [c for c in columns if c not in df.columns]
     if absent:
@@ -103,6 +108,9 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     """mean, median, mode, variance, std, skewness, kurtosis: one row per numeric column."""
     columns = list(columns or numeric_columns(df))
     require_columns(df, columns)
+    if not columns:
+        return _literal_table(df, [], "column string, n bigint, mean double, variance double, std double, "
+                                      "skewness double, kurtosis double, median double, mode double")
     moments = one_pass(df, {c: {
         "n": F.count(as_double(df, c)),
         "mean": F.avg(as_double(df, c)),
@@ -115,12 +123,15 @@ def numeric_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     median = F.create_map(*[x for c in columns
                             for x in (F.lit(c), F.lit(medians[c][0]).cast("double"))])
     return (moments.withColumn("median", median[F.col("column")])
-                   .join(modes(df, columns, as_text=False).drop("freq"), "column", "left"))
+                   .join(number_modes(df, columns).select(
+                       "column", F.col("mode").cast("double").alias("mode")), "column", "left"))
 
 
 def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mean, median and mode of timestamps, as text to the second."""
     columns = list(columns or datetime_columns(df))
+    if not columns:
+        return _literal_table(df, [], "column string, mean string, median string, mode string")
     medians = exact_quantiles(df, columns, [0.5])
     mean = one_pass(df, {c: {"mean": F.avg(as_double(df, c))} for c in columns})
     median = F.create_map(*[x for c in columns
@@ -138,6 +149,8 @@ def datetime_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
 def categorical_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """mode, its frequency and the number of distinct values per text column."""
     columns = list(columns or text_columns(df))
+    if not columns:
+        return _literal_table(df, [], "column string, mode string, freq bigint, n_distinct bigint")
     best = (value_counts(df, columns).groupBy("column")
             .agg(F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("b"),
                  F.count(F.lit(1)).alias("n_distinct")))
@@ -187,29 +200,75 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
               .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k))
 
 
-def full_profile(df: DataFrame) -> DataFrame:
-    """(column, metric, value): every statistic of every column in long form."""
+def histograms(df: DataFrame, ends: dict[str, tuple[float, float]], bins: int = 10) -> DataFrame:
+    """(column, bin, lower, upper, n): `histogram` of many columns in one scan, given their smallest and largest."""
+    lows, widths = {}, {}
+    for c, (lo, hi) in ends.items():
+        lows[c] = lo - 0.5 if lo == hi else lo
+        widths[c] = (1.0 if lo == hi else hi - lo) / bins
+    hits = F.array(*[F.struct(F.lit(c).alias("column"), F.least(
+        F.floor((as_double(df, c) - lows[c]) / widths[c]), F.lit(bins - 1)).cast("int").alias("bin")) for c in ends])
+    counts = (df.select(F.explode(hits).alias("h")).select("h.*").filter("bin is not null")
+              .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n")))
+    frame = _literal_table(df, [(c, i, lows[c] + i * widths[c], lows[c] + (i + 1) * widths[c])
+                                for c in ends for i in range(bins)],
+                           "column string, bin int, lower double, upper double")
+    return frame.join(counts, ["column", "bin"], "left").fillna(0, ["n"])
+
+
+def top_counts(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
+    """(column, place, value, n): the most frequent values of each column as text, ties by that text.
+
+    The rank filter keeps `k` rows of every task before the shuffle by column.
+    """
+    counts = value_counts(df, columns)
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    return (counts.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+            .select("column", "place", "value", "n"))
+
+
+def full_profile(df: DataFrame, bins: int = 10, k: int = 10) -> DataFrame:
+    """(column, metric, value): every statistic of every column in long form.
+
+    Histograms are the metrics bin_1, lower_1, upper_1 and so on, frequent values top_1 and top_n_1 and so on.
+    """
     def melt(wide: DataFrame) -> DataFrame:
         metrics = [c for c in wide.columns if c != "column"]
         pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("string").alias("value"))
                           for m in metrics])
         return wide.select("column", F.explode(pairs).alias("p")).select("column", "p.*")
 
-    parts = [missing_counts(df)]
-    numbers, texts, dates = numeric_columns(df), text_columns(df), datetime_columns(df)
+    def numbered(rows: DataFrame, place: Column, names: dict[str, str]) -> DataFrame:
+        pairs = F.array(*[F.struct(F.concat(F.lit(m), place.cast("string")).alias("metric"),
+                                   F.col(c).cast("string").alias("value")) for c, m in names.items()])
+        return rows.select("column", F.explode(pairs).alias("p")).select("column", "p.*")
+
+    if not df.columns:
+        return _literal_table(df, [], "column string, metric string, value string")
+    numbers, texts, dates, flags = numeric_columns(df), text_columns(df), datetime_columns(df), boolean_columns(df)
+    parts = [melt(missing_counts(df))]
     if numbers:
-        parts.append(numeric_profile(df, numbers).drop("n"))
+        parts.append(melt(numeric_profile(df, numbers).drop("n")))
         found = exact_quantiles(df, numbers, QUARTILES)
         rows = [(c, *found[c]) for c in numbers]
-        parts.append(_literal_table(
-            df, rows, "column string, min double, q25 double, q50 double, q75 double, max double"))
-    if texts:
-        parts.append(categorical_profile(df, texts))
+        parts.append(melt(_literal_table(
+            df, rows, "column string, min double, q25 double, q50 double, q75 double, max double")))
+        ends = {c: (v[0], v[-1]) for c, v in found.items() if v[0] is not None and isfinite(v[-1] - v[0])}
+        if ends:
+            parts.append(numbered(histograms(df, ends, bins), F.col("bin") + 1,
+                                  {"n": "bin_", "lower": "lower_", "upper": "upper_"}))
+    if texts or flags:
+        parts.append(melt(categorical_profile(df, [*texts, *flags])))
+    if flags:
+        parts.append(melt(one_pass(df, {c: {"mean": F.avg(F.col(c).cast("int"))} for c in flags})))
     if dates:
-        parts.append(datetime_profile(df, dates))
-    out = melt(parts[0])
+        parts.append(melt(datetime_profile(df, dates)))
+    counted = [*numbers, *texts, *flags, *dates]
+    if counted:
+        parts.append(numbered(top_counts(nan_to_null(df), counted, k), F.col("place"), {"value": "top_", "n": "top_n_"}))
+    out = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(melt(part))
+        out = out.unionByName(part)
     return out
 
 
@@ -220,15 +279,21 @@ def profile_json(profile: DataFrame) -> DataFrame:
 
 
 def describe_all(df: DataFrame) -> DataFrame:
-    """count, unique, top, freq, mean, std, min, quartiles, max of every column, as text."""
-    numbers, texts = numeric_columns(df), text_columns(df)
+    """count, mean, std, min, quartiles and max of numbers and dates; unique, top, freq of text and booleans.
+
+    Dates and timestamps have their statistics in microseconds since 1970.
+    """
+    numbers = [*numeric_columns(df), *datetime_columns(df)]
+    texts = [*text_columns(df), *boolean_columns(df)]
+    names = ("min", "q25", "q50", "q75", "max")
+    if not numbers and not texts:
+        return _literal_table(df, [], "column string, count bigint, mean double, std double")
     stats = one_pass(df, {c: {
         "count": F.count(F.col(c) if c in texts else as_double(df, c)),
         "mean": (F.avg(as_double(df, c)) if c in numbers else F.lit(None).cast("double")),
         "std": (F.stddev_samp(as_double(df, c)) if c in numbers else F.lit(None).cast("double")),
     } for c in [*numbers, *texts]})
     found = exact_quantiles(df, numbers, QUARTILES)
-    names = ("min", "q25", "q50", "q75", "max")
     if numbers:
         spread = _literal_table(df, [(c, *found[c]) for c in numbers],
                                 "column string, " + ", ".join(f"{n} double" for n in names))

@@ -125,6 +125,33 @@ def modes(df: DataFrame, columns: Sequence[str], as_text: bool = True) -> DataFr
     return best.select("column", F.col("b.value").alias("mode"), (-F.col("b.neg")).alias("freq"))
 
 
+def number_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, mode, freq) of numbers counted in their own type; `mode` is text, so that no digit is lost.
+
+    Integers share one scan as bigint, floats one as double without NaN, and each decimal type has its own.
+    """
+    kinds: dict[str, list[str]] = {}
+    types = dict(df.dtypes)
+    for c in columns:
+        kind = types[c]
+        whole = kind in ("tinyint", "smallint", "int", "bigint")
+        kinds.setdefault("bigint" if whole else kind if kind.startswith("decimal") else "double", []).append(c)
+    parts = []
+    for kind, group in kinds.items():
+        plain = df.select(*[(as_double(df, c) if kind == "double" else F.col(c).cast(kind)).alias(f"c{i}")
+                            for i, c in enumerate(group)])
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("value")) for i in range(len(group))])
+        best = (plain.select(F.explode(pairs).alias("p")).select("p.*").filter("value is not null")
+                .groupBy("i", "value").agg(F.count(F.lit(1)).alias("n"))
+                .groupBy("i").agg(F.min(F.struct((-F.col("n")).alias("neg"), "value")).alias("b")))
+        parts.append(best.select(F.get(F.array(*[F.lit(c) for c in group]), F.col("i")).alias("column"),
+                                 F.col("b.value").cast("string").alias("mode"), (-F.col("b.neg")).alias("freq")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Exact distinct non-null values per column."""
     rows = (value_counts(df, columns).groupBy("column")

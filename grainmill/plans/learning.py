@@ -6,6 +6,7 @@ from ..ml import evaluate as E
 from ..ml import explain as X
 from ..ml import forecast as C
 from ..ml import models as M
+from ..operators.joins import attach_row
 from ..operators.windows import timeseries_folds
 from ..session import scratch_path
 from .profiling import union_all
@@ -48,50 +49,81 @@ def linear_predictions(spark, folder):
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("rf_predict")
+_SCORED = """select doc_id, quality, true as valid,
+  true as learned from labels join documents using (doc_id)"""
+
+
+def _facts(made, valid):
+    """Each row with two facts: its prediction is `valid`, and half the rows or more are predicted right (two classes)."""
+    right = made.agg((F.avg((F.col("prediction") == F.col("quality")).cast("double")) >= 0.5).alias("learned"))
+    return attach_row(made.select("doc_id", "quality", valid.alias("valid")), right)
+
+
+@query("rf_predict", _SCORED)
 def rf_predict(spark, folder):
+    """The forest's score is a probability and its prediction the likelier class."""
     data = labelled(spark, folder)
     model = M.TrendPredictor("rf", class_weight="balanced").fit(data, FEATURES, "quality", {"numTrees": 20})
-    return model.predict(data).select("doc_id", "quality", "prediction", "score")
+    score = F.col("score")
+    return _facts(model.predict(data), score.between(0, 1) & (
+        (F.col("prediction") == (score > 0.5).cast("double")) | (F.abs(score - 0.5) < 1e-9)))
 
 
-@query("rf_regression")
+@query("rf_regression", """
+select metric, true as holds from (values ('mse'), ('rmse'), ('mae'), ('r2'), ('mape')) t(metric)
+where exists (select 1 from orders)""")
 def rf_regression(spark, folder):
     data = table(spark, folder, "orders").select(
         "o_orderkey", "o_totalprice", F.month("o_orderdate").alias("month"), (F.col("o_custkey") % 7).alias("seg"))
     model = M.TrendPredictor("rf", "regression").fit(data, ["month", "seg"], "o_totalprice", {"numTrees": 10})
-    return model.evaluate(data, "o_totalprice")
+    found = model.evaluate(data, "o_totalprice")
+    # Errors are finite and not negative; trees fitted on these rows are no worse than the mean by more than 1%.
+    return found.select("metric", F.when(F.col("metric") == "r2", F.col("value").between(-0.01, 1.0))
+                        .otherwise((F.col("value") >= 0) & (F.col("value") < float("inf"))).alias("holds"))
 
 
-@query("gbt_predict")
+@query("gbt_predict", _SCORED)
 def gbt_predict(spark, folder):
     data = labelled(spark, folder)
     model = M.TrendPredictor("gb").fit(data, FEATURES, "quality", {"maxIter": 5})
-    return model.predict(data).select("doc_id", "quality", "prediction")
+    return _facts(model.predict(data), F.col("prediction").isin(0.0, 1.0))
 
 
-@query("mlp_predict")
+@query("mlp_predict", _SCORED)
 def mlp_predict(spark, folder):
     data = labelled(spark, folder)
     model = M.TrendPredictor("nn").fit(data, FEATURES, "quality", {"maxIter": 20})
-    return model.predict(data).select("doc_id", "quality", "prediction")
+    return _facts(model.predict(data), F.col("prediction").isin(0.0, 1.0))
 
 
-@query("feature_selection")
+@query("feature_selection", """
+select 'constant' as feature, false as chosen, true as holds from labels having count(*) > 0
+union all select f, true, true from (values ('n_chars'), ('words'), ('lines'), ('digits')) t(f)""")
 def feature_selection(spark, folder):
     data = labelled(spark, folder).withColumn("constant", F.lit(1.0))
     model = M.TrendPredictor("rf").fit(data, [*FEATURES, "constant"], "quality", {"numTrees": 10},
                                        feature_selection=True)
-    return model.importances(spark)
-
-
-@query("grid_search")
+    # A constant cannot be chosen; the importances of those chosen are shares of one.
+    found = model.importances(spark)
+    total = found.agg((F.abs(F.sum("importance") - 1) < 1e-9).alias("whole"))
+    names = spark.createDataFrame([(f,) for f in [*FEATURES, "constant"]], "feature string")
+    return names.join(found, "feature", "left").join(F.broadcast(total)).select(
+        "feature", F.col("importance").isNotNull().alias("chosen"),
+        (F.col("whole") & F.coalesce(F.col("importance").between(0, 1), F.lit(True))).alias("holds"))
+
+
+@query("grid_search", """
+select count(*)::bigint as tried, 1::bigint as chosen, true as best_wins, true as in_range
+from range(3) where exists (select 1 from labels)""")
 def grid_search(spark, folder):
     data = labelled(spark, folder)
     model = M.TrendPredictor("rf").fit(data, FEATURES, "quality",
                                        grid={"maxDepth": [2, 4], "numTrees": [5, 10]}, n_iter=3)
     rows = [(str(sorted(c.items())), float(s), c == model.best_params) for c, s in model.search_scores]
-    return spark.createDataFrame(rows, "params string, score double, best boolean")
+    scored = spark.createDataFrame(rows, "params string, score double, best boolean")
+    return scored.agg(F.count_distinct("params").alias("tried"), F.count_if("best").alias("chosen"),
+                      (F.max(F.when(F.col("best"), F.col("score"))) == F.max("score")).alias("best_wins"),
+                      (F.min("score").between(0, 1) & F.max("score").between(0, 1)).alias("in_range"))
 
 
 @query("class_weights", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import profile as P
+from ..operators.quantiles import number_modes, value_counts
 from .registry import query, table
 
 LINEITEM = ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice "
@@ -22,12 +23,15 @@ def _round(df, digits, *columns):
     return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in columns})
 
 
-@query("profile_shape", """
-select column_name as "column", position, (select count(*) from orders)::bigint as n_rows
-from (values ('o_orderkey',0),('o_custkey',1),('o_orderstatus',2),('o_totalprice',3),
-             ('o_orderdate',4),('o_orderpriority',5)) t(column_name, position)""")
+_TYPES = {"BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz"}
+
+
+@query("profile_shape", union_all(
+    f"""select '{c}' as "column", case typeof(any_value({c})) {" ".join(f"when '{d}' then '{t}'" for d, t in _TYPES.items())}
+    end as type, {i}::int as position, count(*)::bigint as n_rows from orders"""
+    for i, c in enumerate("o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority".split())))
 def profile_shape(spark, folder):
-    return P.shape(table(spark, folder, "orders")).drop("type")
+    return P.shape(table(spark, folder, "orders"))
 
 
 EVENTS_GAPS = """(select event_id, ts, user_id, event_type,
@@ -136,14 +140,47 @@ def _full_sql():
     for c in texts:
         line(c, "freq", f"(select count(*) from part group by {c} order by 1 desc limit 1)::double", "")
         line(c, "n_distinct", f"count(distinct {c})::double")
-    return union_all(parts)
+    for c in numbers:
+        parts.append(f"""select '{c}', m || (i + 1), round(case m when 'bin_' then coalesce(n, 0)
+          when 'lower_' then lo + i * ((hi - lo) / 10) else lo + (i + 1) * ((hi - lo) / 10) end, 3) + 0.0
+          from range(10) r(i) cross join (values ('bin_'), ('lower_'), ('upper_')) k(m)
+          cross join (select min({c})::double lo, max({c})::double hi from part) e
+          left join (select least(floor(({c} - lo) / ((hi - lo) / 10)), 9)::int as b, count(*)::double n
+            from part, (select min({c})::double lo, max({c})::double hi from part) group by 1) h on b = i""")
+    for c in numbers + texts:
+        parts.append(f"""select '{c}', 'top_n_' || p, n::double from (select n, row_number() over (order by n desc) p from
+          (select count(*) n from part where {c} is not null group by {c})) where p <= 10""")
+    joined = union_all(parts)
+    tops = union_all([f"""select '{c}' as "column", 'top_' || p as metric, v as words from (select v, row_number() over
+          (order by n desc, v) p from (select {c}::varchar v, count(*) n from part where {c} is not null group by 1))
+          where p <= 10""" for c in ("p_partkey", "p_size", *texts)]
+                     + [f"""select '{c}', 'mode', {mode_sql('part', c, 'varchar')}""" for c in texts])
+    return f"""select "column", metric, value, null::varchar as words from ({joined}) a
+      union all select "column", metric, null, words from ({tops}) b"""
 
 
 @query("full_profile", _full_sql())
 def full_profile(spark, folder):
+    """Numbers rounded, other values as text; the texts of frequent prices are left to `top_n_`, as engines print doubles differently."""
     long = P.full_profile(table(spark, folder, "part"))
-    return (long.filter(~((F.col("metric") == "mode") & F.col("column").isin("p_name", "p_brand", "p_type")))
-                .withColumn("value", F.round(F.col("value").cast("double"), 3) + F.lit(0.0)))
+    shown = long.filter(~(F.col("metric").rlike("^top_[0-9]+$") & (F.col("column") == "p_retailprice")))
+    plain = F.col("metric").rlike("^top_[0-9]+$") | (
+        (F.col("metric") == "mode") & F.col("column").isin("p_name", "p_brand", "p_type"))
+    return shown.select("column", "metric",
+                        F.when(~plain, F.round(F.col("value").try_cast("double"), 3) + F.lit(0.0)).alias("value"),
+                        F.when(plain, F.col("value")).alias("words"))
+
+
+@query("exact_modes", """
+select 'big' as "column", v::varchar as mode, n::bigint as freq from (select l_orderkey + 9007199254740992 as v, count(*) n
+  from lineitem group by 1 order by 2 desc, 1 limit 1)
+union all select 'price', v::varchar, n from (select l_extendedprice::decimal(18,2) as v, count(*) n
+  from lineitem group by 1 order by 2 desc, 1 limit 1)""")
+def exact_modes(spark, folder):
+    """Modes of integers beyond 2^53 and of decimals, which doubles would merge."""
+    return number_modes(table(spark, folder, "lineitem").select(
+        (F.col("l_orderkey") + F.lit(9007199254740992)).alias("big"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("price")), ["big", "price"])
 
 
 def _describe_sql():
@@ -158,6 +195,12 @@ def _describe_sql():
         parts.append(f"""select '{c}', count({c})::bigint, null, null, null, null, null, null, null,
         count(distinct {c})::double, {mode_sql('customer', c, 'varchar')},
         (select count(*) from customer group by {c} order by 1 desc limit 1)::double from customer""")
+    parts.append("""select 'rich', count(c_acctbal), null, null, null, null, null, null, null, count(distinct c_acctbal > 5000)::double,
+        (select (c_acctbal > 5000)::varchar from customer group by 1 order by count(*) desc, 1 limit 1),
+        (select count(*) from customer group by c_acctbal > 5000 order by 1 desc limit 1)::double from customer""")
+    parts.append("""select 'opened', count(*), avg(d), stddev_samp(d), min(d), quantile_cont(d, 0.25), quantile_cont(d, 0.5),
+        quantile_cont(d, 0.75), max(d), null, null, null
+        from (select epoch_us(make_timestamp(c_custkey * 86400000000))::double as d from customer)""")
     inner = union_all(parts)
     return f"""select "column", "count", mean, std, round("min", 3) as "min", round(q25, 3) as q25,
       round(q50, 3) as q50, round(q75, 3) as q75, round("max", 3) as "max", "unique", top, freq
@@ -166,10 +209,19 @@ def _describe_sql():
 
 @query("describe_all", _describe_sql())
 def describe_all(spark, folder):
-    return _round(P.describe_all(table(spark, folder, "customer")), 3,
+    customers = table(spark, folder, "customer").withColumns({
+        "rich": F.col("c_acctbal") > 5000, "opened": F.date_from_unix_date(F.col("c_custkey").cast("int"))})
+    return _round(P.describe_all(customers), 3,
                   "mean", "std", "min", "q25", "q50", "q75", "max", "unique", "freq")
 
 
-@query("approx_distinct")
+@query("approx_distinct", union_all(
+    f"""select '{c}' as "column", true as close from lineitem having count(*) > 0"""
+    for c in LINEITEM))
 def approx_distinct(spark, folder):
-    return P.approx_distinct(table(spark, folder, "lineitem"))
+    """Whether each sketch is within four standard errors of the exact count."""
+    lineitem = table(spark, folder, "lineitem").select(*LINEITEM)
+    exact = value_counts(lineitem, LINEITEM).groupBy("column").agg(F.count(F.lit(1)).alias("exact"))
+    sketch = P.approx_distinct(lineitem, rsd=0.02)
+    return sketch.join(exact, "column").select(
+        "column", (F.abs(F.col("n_distinct") - F.col("exact")) <= 0.08 * F.col("exact")).alias("close"))
