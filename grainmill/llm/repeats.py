@@ -36,37 +36,45 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Level:
-    """Symbols of one level: name, first word, and the interval [lo, hi) of words that decided each."""
+    """Symbols of one level: name, row, the interval [lo, hi) of words that decided each, and its first word."""
 
-    def __init__(self, name: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray):
-        self.name, self.row, self.lo, self.hi = name, row, lo, hi
+    def __init__(self, name: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray):
+        self.name, self.row, self.lo, self.hi, self.first = name, row, lo, hi, first
 
 
 def merge(level: Level, head: np.ndarray, name: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Level:
     """A level of groups of neighbours; `head` begins each group, the rest is given for each symbol."""
     at = np.flatnonzero(head)
-    return Level(name[at], level.row[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at))
+    return Level(name[at], level.row[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), level.first[at])
 
 
-def runs(level: Level, border: tuple[np.ndarray, np.ndarray]) -> Level:
-    """Name the runs of equal symbols; a run is decided by its symbols and both neighbours."""
+def runs(level: Level, border: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> Level:
+    """Name the runs of equal symbols; a run, also of one symbol, is decided by its symbols and both neighbours.
+
+    A neighbour whose word next to a single symbol is not the symbol's word at its other end differs from it, whatever
+    else it holds: that one word is enough. Otherwise the whole neighbour has to be known.
+    """
     n = len(level.name)
-    same = (level.name[1:] == level.name[:-1]) & (level.row[1:] == level.row[:-1])
-    if not same.any():
+    if n == 0:
         return level
+    same = (level.name[1:] == level.name[:-1]) & (level.row[1:] == level.row[:-1])
     head = np.append(True, ~same)
     group = np.cumsum(head) - 1
     size = np.bincount(group)
     long = (size > 1)[group]
     lo, hi = level.lo.copy(), level.hi.copy()
-    at, last = np.flatnonzero(head), np.append(np.flatnonzero(head)[1:], n) - 1
+    at = np.flatnonzero(head)
+    last = np.append(at[1:], n) - 1
+    end = np.append(level.first[1:], len(hashes))  # after the last word of each symbol
+    before, begins, ends = hashes[level.first[at] - 1], hashes[level.first[at]], hashes[end[last] - 1]
     inside = (at > 0) & (level.row[at - 1] == level.row[at])
     left = np.where(inside, level.lo[at - 1], border[0][level.row[at]])
+    lo[at] = np.where((size > 1) | ~inside | (before == ends), left, np.minimum(lo[at], level.first[at] - 1))
     after = np.minimum(last + 1, n - 1)
     inside = (last < n - 1) & (level.row[after] == level.row[last])
     right = np.where(inside, level.hi[after], border[1][level.row[last]])
-    lo[at] = np.where(size > 1, left, lo[at])
-    hi[last] = np.where(size > 1, right, hi[last])
+    follows = hashes[np.minimum(end[last], len(hashes) - 1)]
+    hi[last] = np.where((size > 1) | ~inside | (follows == begins), right, np.maximum(hi[last], end[last] + 1))
     name = np.where(long, mix(level.name * _M + size[group].astype(np.uint64)), level.name)
     return merge(level, head, name, lo, hi)
 
@@ -111,11 +119,11 @@ def anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
     n = len(hashes)
     border = words.first[:-1] - 1, words.first[1:] + 1
     place = np.arange(n)
-    level = Level(hashes, words.row, place, place + 1)
+    level = Level(hashes, words.row, place, place + 1, place)
     found, missing = np.zeros(len(starts), np.uint64), np.ones(len(starts), bool)
     levels = [level]
     for k in range(LEVELS):
-        level = pairs(runs(level, border), border, 2 * k + 1)
+        level = pairs(runs(level, border, hashes), border, 2 * k + 1)
         levels.append(level)
     for k, level in reversed(list(enumerate(levels))):
         ask = starts[missing]

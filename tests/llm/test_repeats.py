@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from grainmill.llm import repeats
+from grainmill.llm.text import Words
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -53,3 +54,37 @@ def test_empty_and_clashing_names(spark):
     rows = [(None, "w " * 60, "x", 1), (1, "w " * 60, "x", 1), (2, "w " * 60, None, None)]
     out = {r.doc_id: r.n_removed for r in repeats.remove_repeats(spark.createDataFrame(rows, schema)).collect()}
     assert out == {None: 0, 1: 0, 2: 60}
+
+
+def edge_texts(rng, passages):
+    """Pairs of texts with a passage of 50 words, whose first and last words stand outside it in only one copy."""
+    out = []
+    for k in range(passages):
+        passage = [f"w{n}" for n in rng.integers(0, 30, 50)]
+        fill = lambda: [f"z{n}" for n in rng.integers(0, 10**6, 12)]
+        out.append(" ".join([*fill(), *passage[-int(rng.integers(1, 4)):], *fill()[:2], *passage, *fill()]))
+        edge = [passage[:1] * int(rng.integers(0, 3)), passage[-1:] * int(rng.integers(1, 3))]
+        out.append(" ".join([*fill(), *edge[0], *passage, *edge[1], *fill()]))
+    return out
+
+
+def test_equal_windows_have_equal_anchors():
+    texts = edge_texts(np.random.default_rng(1), 3000)
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    words = Words(data := np.frombuffer(b"".join(raw), np.uint8), offsets)
+    starts, found = repeats.anchors(words, words.hashes(data), 50)
+    known, lost, shared = {}, 0, 0
+    split = [t.split(" ") for t in texts]
+    for at, anchor in zip(starts.tolist(), found.tolist(), strict=True):
+        row = words.row[at]
+        window = tuple(split[row][at - words.first[row]:at - words.first[row] + 50])
+        shared += window in known
+        lost += known.setdefault(window, anchor) != anchor
+    assert shared >= 3000 and lost == 0
+
+
+def test_words_repeated_beside_one_copy(spark):
+    rows = list(enumerate(edge_texts(np.random.default_rng(2), 400)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(repeats.remove_repeats(docs)) == brute(rows)
