@@ -80,3 +80,8 @@ def test_scores_match_one_text_at_a_time():
             out += gru.log_shares(p, h, np.array([s]))[0]
             last = s
         assert value == pytest.approx(out, rel=1e-4)
+
+
+def test_network_is_not_cut():
+    """Sizes below which the held-out score was given up for time."""
+    assert gru.SYMBOLS >= 256 and gru.STATE >= 24 and lm.LEAST_UPDATES >= 300
