@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from grainmill.llm import bytespans, decontaminate, html, lines, lm, near, packing, quality, repeats, urls
+from grainmill.llm import audit, bytespans, decontaminate, html, lines, lm, near, packing, quality, repeats, urls
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -62,3 +61,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_texts(table(spark, folder, "documents"))
+
+
+@query("op13_filter_interaction_audit", audit.oracle("documents", "labels"))
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
