@@ -24,6 +24,7 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +124,7 @@ def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for begin in range(0, batch.num_rows, PARTS_AT_ONCE):
                 some = batch.slice(begin, PARTS_AT_ONCE)
                 lists = some.column(1)
-                row, flat = pa.compute.list_parent_indices(lists).to_numpy(), lists.flatten()
+                row, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
                 fails, good, toxic, n = (flat.field(name).to_numpy() for name in ("fails", "good", "toxic", "n"))
                 tensors = []
                 for mark in (np.ones_like(n), good, toxic):

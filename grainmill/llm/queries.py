@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from grainmill.llm import audit, bytespans, decontaminate, html, lines, lm, near, packing, quality, repeats, urls
+from grainmill.llm import audit, bytespans, decontaminate, fingerprints, html, lines, lm, near, packing, quality, repeats, spelling, urls
 from grainmill.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,3 +66,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_filter_interaction_audit", audit.oracle("documents", "labels"))
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, folder, "documents"))
+
+
+@query("op11_document_fingerprints")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, folder, "documents"))
