@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import segments as G
 from ..operators import timeseries as T
 from .registry import query, table
 
@@ -106,6 +107,38 @@ def changepoints_deep(spark, folder):
     return _round(out, 2, "gain")
 
 
+def _segments_sql(penalty, least, jump):
+    """Recursive SQL over the places of the grid: the best cost of every beginning, tried with every last change."""
+    cost = f"""list_transform(range(0, k + 1), lambda i: f[i + 1] + q[t + 1] - q[{jump} * i + 1]
+      - power(s[t + 1] - s[{jump} * i + 1], 2) / (t - {jump} * i) + {penalty} + case when t - {jump} * i < {least} then 1e300 else 0 end)"""
+    return f"""
+with recursive c as (select event_type, hour, sum(v) over w as s, sum(v * v) over w as q from {HOURLY}
+  window w as (partition by event_type order by hour)),
+l as (select event_type, count(*) as n, list_prepend(0.0, list(s order by hour)) as s, list_prepend(0.0, list(q order by hour)) as q
+  from c group by 1),
+r as (select event_type, 0::bigint as k, [0.0::double] as f, [0::bigint] as b from l
+  union all select event_type, k + 1, list_append(f, list_min(cost)::double), list_append(b, list_position(cost, list_min(cost)) - 1)
+  from (select r.*, {cost} as cost from (select r.*, l.s, l.q, least(l.n, (k + 1) * {jump}) as t from r join l using (event_type)
+    where k * {jump} < l.n) r)),
+ends as (select event_type, arg_max(b, k) as b, max(k) as k from r group by 1),
+w as (select event_type, b, k, b[k + 1] as j from ends union all select event_type, b, j, b[j + 1] from w where j > 0)
+select event_type, (j * {jump} + 1)::bigint as first, least(n, k * {jump})::bigint as last,
+  round((s[least(n, k * {jump}) + 1] - s[j * {jump} + 1]) / (least(n, k * {jump}) - j * {jump}), 4) as level
+from w join l using (event_type)"""
+
+
+@query("changepoints_optimal", _segments_sql(10.0, 2, 5))
+def changepoints_optimal(spark, folder):
+    out = G.optimal_segments(hourly(spark, folder), "v", ["event_type"], ["hour"])
+    return _round(out.drop("error"), 4, "level")
+
+
+@query("changepoints_every_hour", _segments_sql(200000.0, 1, 1))
+def changepoints_every_hour(spark, folder):
+    out = G.optimal_segments(hourly(spark, folder), "v", ["event_type"], ["hour"], 200000.0, 1, 1)
+    return _round(out.drop("error"), 4, "level")
+
+
 @query("kpss_stat", f"""
 with e as (select event_type, hour, v - avg(v) over (partition by event_type) as e from {HOURLY}),
 s as (select event_type, e, sum(e) over (partition by event_type order by hour) as s from e)
