@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import segments as G
+from ..operators import stationarity as S
 from ..operators import timeseries as T
 from .registry import query, table
 
@@ -162,3 +163,67 @@ def adf_stat(spark, folder):
 @query("adf_lagged")
 def adf_lagged(spark, folder):
     return _round(T.adf(hourly(spark, folder), "v", ["event_type"], ["hour"], lags=2), 3, "statistic")
+
+
+_GRAM = """{name} as (select event_type, list(cells order by i) as m from (select event_type, i, list(c order by j) as cells
+  from (select event_type, i, j, sum(x[i] * x[j]) as c from (select event_type, x, unnest(range(1, len(x) + 1)) as i from {rows}),
+    unnest(range(1, len(x) + 1)) u(j) group by 1, 2, 3) group by 1, 2) group by 1)"""
+_ELIMINATED = """{name} as (select event_type, 0::bigint as k, m from {gram} union all
+  select event_type, k + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j:
+    case when i = k + 1 then m[i][j] else m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] end)) from {name} where k < len(m) - 2)"""
+# Every number of lags is fitted by eliminating one column after another; the best is fitted again to its own rows.
+_ADF_BY_AIC = f"""
+with recursive y as (select event_type, count(*) as n, least(ceil(12 * power(count(*) / 100.0, 0.25)), count(*) // 2 - 2)::bigint as most,
+  list(v order by hour) as y from (select event_type, hour, v - avg(v) over (partition by event_type) as v from {HOURLY}) group by 1),
+wide as (select event_type, list_concat([1.0, y[t - 1]], list_transform(range(1, most + 1), lambda j: y[t - j] - y[t - j - 1]), [y[t] - y[t - 1]]) as x
+  from (select *, unnest(range(most + 2, n + 1)) as t from y)),
+{_GRAM.format(name="gram", rows="wide")}, {_ELIMINATED.format(name="fits", gram="gram")},
+best as (select event_type, arg_min(k - 2, ((n - most - 1) * ln(m[len(m)][len(m)]) + 2 * k, k))::bigint as p
+  from fits join y using (event_type) where k >= 2 group by 1),
+own as (select event_type, list_concat([1.0], list_transform(range(1, p + 1), lambda j: y[t - j] - y[t - j - 1]), [y[t - 1], y[t] - y[t - 1]]) as x
+  from (select *, unnest(range(p + 2, n + 1)) as t from y join best using (event_type))),
+{_GRAM.format(name="gram2", rows="own")}, {_ELIMINATED.format(name="fit2", gram="gram2")},
+last as (select event_type, n, p, n - p - 1 as obs, m[p + 2][p + 2] as a, m[p + 2][p + 3] as b, m[p + 3][p + 3] as c
+  from fit2 join best using (event_type) join y using (event_type) where k = p + 1)
+select event_type, n::bigint as n, p as n_lags, obs::bigint as n_obs, round(b / a / sqrt((c - b * b / a) / (obs - p - 2) / a), 5) as statistic,
+  round(-3.43035 - 6.5393 / obs - 16.786 / power(obs, 2) - 79.433 / power(obs, 3), 6) as crit_1,
+  round(-2.86154 - 2.8903 / obs - 4.234 / power(obs, 2) - 40.040 / power(obs, 3), 6) as crit_5,
+  round(-2.56677 - 1.5384 / obs - 2.809 / power(obs, 2), 6) as crit_10 from last"""
+
+
+@query("adf_by_aic", _ADF_BY_AIC)
+def adf_by_aic(spark, folder):
+    out = S.adf_test(hourly(spark, folder), "v", ["event_type"], ["hour"])
+    return _round(_round(out.drop("pvalue", "stationary"), 5, "statistic"), 6, "crit_1", "crit_5", "crit_10")
+
+
+_KPSS_AUTO = f"""
+with e as (select event_type, count(*) as n, list(v order by hour) as e from
+  (select event_type, hour, v - m - coalesce(b, 0) * (t - (c + 1) / 2) as v from
+    (select event_type, hour, v, avg(v) over w as m, {{slope}} as b, row_number() over (partition by event_type order by hour) as t,
+       count(*) over w as c from {HOURLY} window w as (partition by event_type))) group by 1),
+p as (select *, list_transform(range(0, floor(power(n, 2.0 / 9))::bigint + 1), lambda k:
+  list_sum(list_transform(range(k + 1, n + 1), lambda i: e[i] * e[i - k]))) as c from e),
+s as (select *, c[1] / n + list_sum(c[2:]) / (n / 2) as s0, list_sum(list_transform(range(1, len(c)), lambda k: k * c[k + 1])) / (n / 2) as s1 from p),
+l as (select *, least(floor(1.1447 * power(power(s1 / s0, 2), 1.0 / 3) * power(n, 1.0 / 3)), n - 1)::bigint as lags from s),
+d as (select event_type, n, lags, (c[1] + 2 * coalesce(list_sum(list_transform(range(1, lags + 1), lambda k: (1 - k / (lags + 1)) *
+  list_sum(list_transform(range(k + 1, n + 1), lambda i: e[i] * e[i - k])))), 0)) / n as spread, e from l),
+r as (select event_type, sum(s * s) as squares from (select event_type, sum(v) over (partition by event_type order by i) as s
+  from (select event_type, unnest(e) as v, generate_subscripts(e, 1) as i from e)) group by 1)
+select event_type, n::bigint as n, lags as n_lags, round(squares / power(n, 2) / spread, 5) as statistic, {{limit}}::double as crit_5
+from d join r using (event_type)"""
+_NUMBERED = f"(select *, row_number() over (partition by event_type order by hour) as t from {HOURLY})"
+
+
+@query("kpss_auto", _KPSS_AUTO.format(slope="0", limit="0.463"))
+def kpss_auto(spark, folder):
+    out = S.kpss_test(hourly(spark, folder), "v", ["event_type"], ["hour"])
+    return _round(out.select("event_type", "n", "n_lags", "statistic", "crit_5"), 5, "statistic")
+
+
+@query("kpss_trend", _KPSS_AUTO.format(
+    slope=f"(select regr_slope(x.v, x.t) from {_NUMBERED} x where x.event_type = h.event_type)", limit="0.146").replace(
+    f"from {HOURLY} window", f"from {HOURLY} h window"))
+def kpss_trend(spark, folder):
+    out = S.kpss_test(hourly(spark, folder), "v", ["event_type"], ["hour"], "ct")
+    return _round(out.select("event_type", "n", "n_lags", "statistic", "crit_5"), 5, "statistic")
