@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import segments as G
 from ..operators import stationarity as S
+from ..operators import stl as L
 from ..operators import timeseries as T
 from .registry import query, table
 
@@ -227,3 +228,72 @@ def kpss_auto(spark, folder):
 def kpss_trend(spark, folder):
     out = S.kpss_test(hourly(spark, folder), "v", ["event_type"], ["hour"], "ct")
     return _round(out.select("event_type", "n", "n_lags", "statistic", "crit_5"), 5, "statistic")
+
+
+def _lines_sql(name, source, span, ends=0):
+    """CTE (g, i, v): weighted lines through the nearest rows of `source` (g, i, y, w), carried on by `ends` places."""
+    return f"""{name} as materialized (
+select g, i, case when sqrt(greatest(sxx / sw - power(sx / sw, 2), 0)) > 0.001 * (k - 1)
+    then sy / sw - sx / sw / (sxx / sw - power(sx / sw, 2)) * (sxy / sw - sx / sw * sy / sw) else sy / sw end as v
+from (select g, i, k, sum(w) as sw, sum(w * x) as sx, sum(w * x * x) as sxx, sum(w * y) as sy, sum(w * x * y) as sxy
+  from (select p.g, p.i, p.k, s.i - p.i as x, s.y, s.w * case when abs(s.i - p.i) <= 0.001 * h then 1
+      when abs(s.i - p.i) <= 0.999 * h then power(1 - power(abs(s.i - p.i) / h, 3), 3) else 0 end as w
+    from (select *, greatest(i - a, a + {span} - 1 - i) as h from (select g, i, k, greatest(0, least(i - {span // 2}, k - {span})) as a
+      from (select g, k, unnest(range(-{ends}, k + {ends})) as i from (select g, count(*) as k from {source} group by 1)))) p
+    join {source} s on s.g = p.g and s.i between p.a and p.a + {span} - 1) group by 1, 2, 3))"""
+
+
+def _stl_sql(source, period, inner, outer):
+    """CTEs that decompose (t, y), t from 0; the last one is `parts` (t, y, trend, seasonal)."""
+    seasonal, trend, low = L.spans(period)
+    steps, weights, before = [f"w0 as (select t, 1.0 as w from {source})"], "w0", f"(select t, 0.0 as v from {source})"
+    for o in range(outer + 1):
+        for r in range(inner):
+            x = f"{o}_{r}"
+            steps += [
+                f"d{x} as materialized (select t % {period} as g, t // {period} as i, y - b.v as y, w from {source} join {before} b using (t) join {weights} using (t))",
+                _lines_sql(f"c{x}", f"d{x}", seasonal, 1),
+                f"e{x} as (select (i + 1) * {period} + g as t, v from c{x})",
+                *(f"{new}{x} as materialized (select t, avg(v) over (order by t rows between current row and {width - 1} following) as v from {old}{x} qualify count(*) over (order by t rows between current row and {width - 1} following) = {width})"
+                  for new, old, width in (("f", "e", period), ("h", "f", period), ("m", "h", 3))),
+                f"s{x} as materialized (select 0 as g, t as i, v as y, 1.0 as w from m{x})",
+                _lines_sql(f"l{x}", f"s{x}", low),
+                f"q{x} as materialized (select l.i as t, e.v - l.v as v from l{x} l join e{x} e on e.t = l.i + {period})",
+                f"u{x} as materialized (select 0 as g, t as i, y - q.v as y, w from {source} join q{x} q using (t) join {weights} using (t))",
+                _lines_sql(f"n{x}", f"u{x}", trend), f"t{x} as materialized (select i as t, v from n{x})"]
+            before = f"t{x}"
+        steps.append(f"r{o} as materialized (select t, abs(y - a.v - b.v) as r, 6 * median(abs(y - a.v - b.v)) over () as h from {source} join {before} a using (t) join q{x} b using (t))")
+        steps.append(f"w{o + 1} as materialized (select t, case when r <= 0.001 * h then 1.0 when r <= 0.999 * h then power(1 - power(r / h, 2), 2) else 0.0 end as w from r{o})")
+        last, weights = weights, f"w{o + 1}"
+    steps.append(f"parts as (select t, y, a.v as trend, b.v as seasonal, w as weight from {source} join {before} a using (t) join q{x} b using (t) join {last} using (t))")
+    return ",\n".join(steps)
+
+
+_DAYS = f"days as materialized (select row_number() over (order by day) - 1 as t, day, v as y from {DAILY})"
+
+
+@query("stl_daily", f"""
+with {_DAYS}, {_stl_sql("days", 7, 2, 2)}
+select day, round(trend, 4) as trend, round(seasonal, 4) as seasonal, round(p.y - trend - seasonal, 4) as resid,
+  round(weight, 5) + 0.0 as weight from parts p join days using (t)""")
+def stl_daily(spark, folder):
+    out = L.stl_decompose(daily(spark, folder), "v", 7, [], ["day"], outer=2)
+    return _round(_round(out.drop("v"), 4, "trend", "seasonal", "resid"), 5, "weight")
+
+
+@query("stl_anomalies", f"""
+with {_DAYS}, {_stl_sql("days", 7, 2, 1)},
+e as (select day, p.y - trend - seasonal as resid from parts p join days using (t)),
+z as (select day, resid, (resid - (select avg(resid) from e)) / (select stddev_pop(resid) from e) as z from e)
+select day, round(resid, 4) as resid, round(z, 4) as zscore from z where abs(z) > 2.5""")
+def stl_anomalies(spark, folder):
+    out = L.stl_anomalies(daily(spark, folder), "v", 7, [], ["day"], 2.5, outer=1)
+    return _round(out, 4, "resid", "zscore")
+
+
+@query("changepoints_of_trend")
+def changepoints_of_trend(spark, folder):
+    """Change points of the robust trend, with the full number of rounds."""
+    trend = L.stl_decompose(daily(spark, folder), "v", 7, [], ["day"])
+    out = G.optimal_segments(trend, "trend", [], ["day"], 2_000_000.0)
+    return _round(out.drop("error"), 3, "level")
