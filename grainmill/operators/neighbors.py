@@ -1,124 +1,44 @@
-"""Exact nearest neighbours as joins on a shrinking grid, and what is built on them.
+"""Exact nearest neighbours of weighted points, and what is built on them: imputation, outlier factors, oversampling.
 
-No pair of rows is formed unless it can matter. Points are counted per grid cell. Starting
-from one cell, each round swaps a query's cells for their non-empty children and drops those
-whose bounding box lies beyond the k-th guaranteed distance. What is left in the end is a
-handful of small cells per query, and only their points are compared. Copies of a point are
-one weighted point, so a crowd of equal rows costs as much as one.
+The search itself is in `kdsearch`. Copies of a point are one weighted point, so a crowd of equal rows costs as much as
+one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, cut_lineage, setting
+from ..session import cut_lineage
 from .joins import join_groups
+from .kdsearch import kd_search
+from .ordered import number_rows
 from .profile import nan_to_null, numeric_columns, require_columns
 
-FINEST_BITS = 50        # about the resolution of a double over the whole extent
-LEVELS_PER_PASS = 8
-LEAF_POINTS = 32
-BITS_PER_ROUND = {1: 4, 2: 2, 3: 1}  # at most 16 children per cell and round
 LOF_NEIGHBORS, LOF_THRESHOLD = 20, 1.5   # fixed values
 LOF_TINY = 1e-10                         # fixed value: keeps the density finite
 SMOTE_NEIGHBORS = 5                      # fixed value
 
 
-def _sum(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
-
-
-def _cell_sizes(located: DataFrame, dims: int, finest: int,
-                levels: Sequence[int]) -> dict[int, tuple[int, int]]:
-    """level: (points in its fullest cell, number of non-empty cells), in one grouped count."""
-    every = F.explode(F.array(*[F.lit(v) for v in levels])).alias("level")
-    cells = [F.expr(f"shiftright(__f{g}, {finest} - level)").alias(f"__g{g}") for g in range(dims)]
-    counts = (located.select(*[f"__f{g}" for g in range(dims)], every)
-              .groupBy("level", *cells).agg(F.count(F.lit(1)).alias("n"))
-              .groupBy("level").agg(F.max("n").alias("top"), F.count(F.lit(1)).alias("cells")))
-    return {r["level"]: (r["top"], r["cells"]) for r in counts.collect()}
+def _coordinates(columns: Sequence[str]):
+    """The columns as one array of numbers, NaN for a gap."""
+    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in columns])
 
 
 def nearest(queries: DataFrame, points: DataFrame, coords: Sequence[str], k: int) -> DataFrame:
     """(q, p, dist, w): for each query the closest points whose weights reach `k`.
 
     `queries` has columns q and coords; `points` has p, coords and the weight w. Ids are
-    unique; ties go to the smaller p. Exact in any number of dimensions: the grid uses the
-    three widest, the boxes use all of them.
+    unique; ties go to the smaller p. Exact in any number of dimensions.
     """
-    spark = points.sparkSession
-    extent = points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{t}_{i}") for i, c in enumerate(coords)
-                                                       for t, f in (("lo", F.min), ("hi", F.max))]).first()
-    wide = sorted((extent[f"hi_{i}"] - extent[f"lo_{i}"], -i) for i in range(len(coords))
-                  ) if extent["n"] else []
-    grid = [-i for width, i in wide[::-1] if width > 0][:3]
-    located = points
-    levels: list[int] = []
-    sizes: dict[int, tuple[int, int]] = {}
-    if grid:
-        step = BITS_PER_ROUND[len(grid)]
-        finest = FINEST_BITS - FINEST_BITS % step
-        span = wide[-1][0]
-        located = points.withColumns({f"__f{g}": F.least(
-            F.floor((F.col(coords[i]) - extent[f"lo_{i}"]) / span * 2.0 ** finest),
-            F.lit(2 ** finest - 1)) for g, i in enumerate(grid)})
-        every = range(step, finest + 1, step)
-        for start in range(0, len(every), LEVELS_PER_PASS):
-            if levels and sizes[levels[-1]][0] <= LEAF_POINTS:
-                break
-            sizes.update(_cell_sizes(located, len(grid), finest, every[start:start + LEVELS_PER_PASS]))
-            for level in every[start:start + LEVELS_PER_PASS]:
-                levels.append(level)
-                if sizes[level][0] <= LEAF_POINTS:
-                    break
-    frontier = queries.select("q", *coords)
-    limit = setting(spark, BROADCAST_ROWS)
-
-    def at(level: int) -> list[Column]:
-        return [F.shiftright(f"__f{g}", finest - level).alias(f"__n{g}") for g in range(len(grid))]
-
-    for level in levels:
-        boxes = located.groupBy(*at(level)).agg(
-            F.sum("w").alias("__w"),
-            *[f(c).alias(f"__{t}{i}") for i, c in enumerate(coords)
-              for t, f in (("lo", F.min), ("hi", F.max))])
-        if level == levels[0]:  # at most 16 cells: written into the plan, no join
-            first = F.array(*[F.struct(*[F.lit(r[c]).cast(t).alias(c) for c, t in boxes.dtypes])
-                              for r in boxes.collect()])
-            opened = frontier.withColumn("__b", F.explode(first)).select("*", "__b.*").drop("__b")
-        else:
-            side = F.broadcast(boxes) if sizes[level][1] <= limit else boxes
-            opened = frontier.join(side, reduce(lambda a, b: a & b, [
-                frontier[f"__g{g}"] == F.shiftright(side[f"__n{g}"], step) for g in range(len(grid))]))
-        low = [F.col(c) - F.col(f"__hi{i}") for i, c in enumerate(coords)]
-        high = [F.col(f"__lo{i}") - F.col(c) for i, c in enumerate(coords)]
-        gap = [F.greatest(a, b, F.lit(0.0)) for a, b in zip(low, high)]
-        reach = [F.greatest(F.abs(F.col(c) - F.col(f"__lo{i}")), F.abs(F.col(c) - F.col(f"__hi{i}")))
-                 for i, c in enumerate(coords)]
-        joined = opened.withColumns({
-            "__near": _sum([g * g for g in gap]), "__far": _sum([r * r for r in reach])})
-        by_far = (Window.partitionBy("q").orderBy("__far", *[f"__n{g}" for g in range(len(grid))])
-                        .rowsBetween(Window.unboundedPreceding, 0))
-        bounded = joined.withColumn("__cum", F.sum("__w").over(by_far)).withColumn(
-            "__bound", F.min(F.when(F.col("__cum") >= k, F.col("__far"))).over(Window.partitionBy("q")))
-        frontier = bounded.filter(F.col("__bound").isNull() | (F.col("__near") <= F.col("__bound"))).select(
-            "q", *coords, *[F.col(f"__n{g}").alias(f"__g{g}") for g in range(len(grid))])
-    leaves = located.select("p", "w", *[F.col(c).alias(f"__p{i}") for i, c in enumerate(coords)],
-                            *(at(levels[-1]) if levels else []))
-    on = reduce(lambda a, b: a & b, [frontier[f"__g{g}"] == leaves[f"__n{g}"] for g in range(len(grid))],
-                F.lit(True))
-    # without a grid all points are equal, hence one point after weighting
-    diffs = [F.col(c) - F.col(f"__p{i}") for i, c in enumerate(coords)]
-    pairs = frontier.join(leaves, on).select("q", "p", "w", _sum([d * d for d in diffs]).alias("__d2"))
-    order = Window.partitionBy("q").orderBy("__d2", "p")
-    best = pairs.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= k)
-    before = F.coalesce(F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return best.withColumn("__before", before).filter(F.col("__before") < k).select(
-        "q", "p", F.sqrt("__d2").alias("dist"), F.least("w", F.lit(k) - F.col("__before")).alias("w"))
+    asked = cut_lineage(queries.select("q", _coordinates(coords).alias("x")).withColumn("qid", F.monotonically_increasing_id()))
+    held = cut_lineage(number_rows(points.select("p", _coordinates(coords).alias("x"), F.col("w").cast("bigint").alias("w")),
+                                   [], ["p"], "rank"))
+    found = kd_search(asked, held, len(coords), k)
+    return found.join(asked.select("qid", "q"), "qid").join(held.select("rank", "p"), "rank").select(
+        "q", "p", "dist", F.least("w", F.lit(k) - F.col("before")).alias("w"))
 
 
 # -- imputation -------------------------------------------------------------------------------
@@ -127,57 +47,32 @@ def knn_impute(df: DataFrame, columns: Sequence[str], row_id: Sequence[str], k:
     """Fill each missing value with the mean of the k nearest rows that have it.
 
     Distances use the columns both rows have, scaled up for those they lack; ties go by
-    `row_id`; with no usable neighbour the column mean is used. Rows are grouped by which
-    columns they have, and each pair of such groups is one neighbour search.
+    `row_id`; with no usable neighbour the column mean is used. All patterns of gaps are one search.
     """
     columns = list(columns)
     require_columns(df, [*columns, *row_id])
     if not row_id:
         raise ValueError("row_id is required to break ties between neighbours")
     base = nan_to_null(df)
-    values = base.select(F.struct(*row_id).alias("p"), *[F.col(c).cast("double").alias(c) for c in columns])
-    pattern = _sum([F.col(c).isNotNull().cast("int") * (1 << i) for i, c in enumerate(columns)])
-    values = values.withColumn("__mask", pattern)
-    masks = sorted(r["__mask"] for r in values.select("__mask").distinct().collect())
-    means = values.agg(*[F.avg(c).alias(c) for c in columns]).first().asDict()
-    full = (1 << len(columns)) - 1
-    filled = None
-    for have in (m for m in masks if m != full):
-        queries = values.filter(F.col("__mask") == have).select(*columns).distinct()
-        for other in masks:
-            common = [c for i, c in enumerate(columns) if have & other & (1 << i)]
-            new = [c for i, c in enumerate(columns) if other & ~have & (1 << i)]
-            if not common or not new:
-                continue
-            place = Window.partitionBy(*common).orderBy("p")
-            donors = (values.filter(F.col("__mask") == other).withColumn("__r", F.row_number().over(place))
-                      .filter(F.col("__r") <= k))  # only the first k of equal rows can be chosen
-            keyed = queries.select(F.struct(*columns).alias("q"), *common)
-            asked = keyed.groupBy(*common).agg(F.first("q").alias("__any")).select(
-                F.struct(*common).alias("q"), *common)
-            near = nearest(asked, donors.select("p", *common, F.lit(1).alias("w")), common, k)
-            near = near.withColumn("dist", F.col("dist") * (len(columns) / len(common)) ** 0.5)
-            valued = near.join(donors.select("p", *new), "p").withColumnRenamed("q", "__c")
-            back = keyed.select("q", F.struct(*common).alias("__c")).join(valued, "__c").select(
-                "q", "p", "dist", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))
-                                                      for c in new])).alias("e")).select("q", "p", "dist", "e.*")
-            filled = back if filled is None else filled.unionByName(back)
-    out = base
-    if filled is not None:
-        best = Window.partitionBy("q", "c").orderBy("dist", "p")
-        chosen = filled.withColumn("__r", F.row_number().over(best)).filter(F.col("__r") <= k)
-        answers = (chosen.groupBy("q", "c").agg(F.avg("v").alias("v"))
-                   .groupBy("q").agg(*[F.max(F.when(F.col("c") == c, F.col("v"))).alias(f"__a_{c}")
-                                       for c in columns])
-                   .select(*[F.col(f"q.{c}").alias(f"__k_{c}") for c in columns],
-                           *[f"__a_{c}" for c in columns]))
-        keys = [f"__k_{c}" for c in columns]
-        rows = base.withColumns({f"__k_{c}": F.col(c).cast("double") for c in columns})
-        out = join_groups(rows, cut_lineage(answers), keys).drop(*keys)
-    else:
-        out = out.withColumns({f"__a_{c}": F.lit(None).cast("double") for c in columns})
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__a_{c}"), F.lit(means[c]))
-                            for c in columns}).drop(*[f"__a_{c}" for c in columns])
+    rows = base.select(F.struct(*row_id).alias("p"), _coordinates(columns).alias("x"))
+    means = base.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns]).first().asDict()
+    # Only the first k of equal rows can be chosen; a crowd of them is thinned in shares before it meets.
+    share = F.pmod(F.xxhash64("p"), F.lit(64))
+    thin = rows
+    for group in ([F.col("x"), share], [F.col("x")]):
+        place = F.row_number().over(Window.partitionBy(*group).orderBy("p"))
+        thin = thin.withColumn("__r", place).filter(F.col("__r") <= k).drop("__r")
+    held = cut_lineage(number_rows(thin.filter(F.exists("x", lambda v: ~F.isnan(v))), [], ["p"], "rank").withColumn(
+        "w", F.lit(1).cast("bigint")))
+    gappy = rows.filter(F.exists("x", F.isnan)).select("x").distinct()
+    asked = cut_lineage(gappy.withColumn("qid", F.monotonically_increasing_id()))
+    found = kd_search(asked, held, len(columns), k, fill=True)
+    answers = (found.groupBy("qid", "c").agg(F.avg("v").alias("v"))
+               .groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("c", "v"))).alias("__a"))
+               .join(asked, "qid").select(F.col("x").alias("__x"), "__a"))
+    out = join_groups(base.withColumn("__x", _coordinates(columns)), cut_lineage(answers), ["__x"])
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at("__a", F.lit(i)), F.lit(means[c]))
+                            for i, c in enumerate(columns)}).drop("__x", "__a")
 
 
 # -- local outlier factor ----------------------------------------------------------------------
@@ -229,8 +124,6 @@ def smote(df: DataFrame, label: str, features: Sequence[str], row_id: Sequence[s
     A synthetic row lies between a minority row and one of its k nearest of the same class;
     which neighbour and how far follow from a hash of (row, copy, seed).
     """
-    from .ordered import number_rows
-
     features = list(features)
     base = df.dropna(subset=[label, *features]).select(
         F.struct(*row_id).alias("p"), F.col(label).alias("label"),

@@ -66,10 +66,19 @@ def anomaly_isolation_forest(spark, folder):
                                  ["l_quantity", "l_extendedprice", "l_discount"], 0.6)
 
 
-@query("oversample_smote")
+@query("oversample_smote", """
+with d as (select quality, l.n_chars, l.words from (select quality, n_chars, len(string_split(text, ' ')) as words from labels
+    join documents using (doc_id)) l),
+c as (select quality, count(*) as n, max(count(*)) over () as most from d group by 1)
+select quality, false as synthetic, n::bigint as n, n::bigint as in_range from c union all
+select quality, true, (most - n)::bigint, (most - n)::bigint from c where n < most and n > 1""")
 def oversample_smote(spark, folder):
+    """Rows by class and origin, and how many of them lie within the ranges of their class."""
     labels = table(spark, folder, "labels").join(
-        table(spark, folder, "documents").select("doc_id", "n_chars", F.length("text").alias("chars"),
-                                                 F.size(F.split("text", " ")).alias("words")), "doc_id")
-    out = N.smote(labels, "quality", ["n_chars", "words"], ["doc_id"])
-    return out.groupBy("quality", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+        table(spark, folder, "documents").select("doc_id", "n_chars", F.size(F.split("text", " ")).alias("words")), "doc_id")
+    ranges = labels.groupBy(F.col("quality").alias("q")).agg(
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("n_chars", "words") for f in (F.min, F.max)])
+    out = N.smote(labels, "quality", ["n_chars", "words"], ["doc_id"]).join(F.broadcast(ranges), F.col("quality") == F.col("q"))
+    inside = F.col("n_chars").between(F.col("min_n_chars"), F.col("max_n_chars")) & F.col("words").between(
+        F.col("min_words"), F.col("max_words"))
+    return out.groupBy("quality", "synthetic").agg(F.count(F.lit(1)).alias("n"), F.count_if(inside).alias("in_range"))
