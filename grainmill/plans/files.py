@@ -75,33 +75,52 @@ def scan_xml(spark, folder):
 
 
 def _mixed_folder(spark, folder):
-    """A folder of folders with the same tables in several formats, and files of no known type."""
+    """A folder of folders with the same tables in several formats and JSON shapes, and files that are broken or of no known type."""
     base = scratch_path(spark, "mixed")
     customer, supplier = table(spark, folder, "customer"), table(spark, folder, "supplier")
     customer.repartition(3).write.csv(f"{base}/customers", header=True)
     customer.repartition(2).write.parquet(f"{base}/columnar")
     supplier.repartition(1).write.json(f"{base}/suppliers")
-    supplier.write.format("xml").option("rowTag", "supplier").option("rootTag", "all").save(f"{base}/xml")
-    table(spark, folder, "nation").select("n_name").write.text(f"{base}/plain")
+    supplier.repartition(1).write.format("xml").option("rowTag", "supplier").option("rootTag", "all").save(f"{base}/xml")
+    table(spark, folder, "nation").select("n_name").repartition(1).write.text(f"{base}/plain")
+    region = table(spark, folder, "region").agg(F.collect_list(F.struct("r_regionkey", "r_name")).alias("regions"))
+    nation = table(spark, folder, "nation").agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("nations"))
+    region.select(F.to_json("regions")).repartition(1).write.text(f"{base}/list")
+    both = region.join(nation)  # one row each
+    both.select(F.to_json(F.struct("regions", "nations"))).repartition(1).write.text(f"{base}/lists")
+    both.select(F.to_json(F.struct(F.struct(F.size("regions").alias("n")).alias("region")))).repartition(1).write.text(f"{base}/object")
+    both.select(F.lit('{"broken": [1, 2')).repartition(1).write.text(f"{base}/broken")
+    both.select(F.lit("PAR1 and no more")).repartition(1).write.text(f"{base}/cut")
     return base
 
 
-@query("file_catalog")
+@query("file_catalog", """
+select 'csv' as type, 'c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment' as shape, 3::bigint as files, 0::bigint as broken
+union all select 'json', 'lines', 1, 0 union all select 'json', 'list', 1, 0 union all select 'json', 'lists', 1, 0
+union all select 'json', 'object', 1, 0 union all select 'json', null, 1, 1
+union all select 'parquet', 'some columns', 2, 0 union all select 'parquet', null, 1, 1
+union all select 'unknown', null, 1, 0 union all select 'xml', 'supplier', 1, 0""")
 def file_catalog(spark, folder):
-    found = catalog.file_catalog(spark, _mixed_folder(spark, folder)).filter("length > 0")
-    return found.groupBy("type").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    found = catalog.file_catalog(spark, _mixed_folder(spark, folder)).filter("length > 0 and extension <> 'crc'")
+    shape = F.when((F.col("type") == "parquet") & F.col("shape").startswith("c_custkey"), "some columns").otherwise(F.col("shape"))
+    return found.groupBy("type", shape.alias("shape")).agg(
+        F.count(F.lit(1)).alias("files"), F.count("error").alias("broken"))
 
 
 @query("batch_ingest_report", """
-select 'csv' as type, 'ok' as status, count(*)::bigint as n_rows from customer
-union all select 'parquet', 'ok', count(*) from customer
-union all select 'xml', 'ok', count(*) from supplier
-union all select 'unknown', 'failed', 0 from region group by 1, 2""")
+select 'csv' as type, 'ok' as status, 3::bigint as files, count(*)::bigint as n_rows from customer
+union all select 'parquet', 'ok', 2, count(*) from customer
+union all select 'parquet', 'failed', 1, 0
+union all select 'xml', 'ok', 1, count(*) from supplier
+union all select 'json', 'ok', 4, (select count(*) from supplier) + 2 * (select count(*) from region) + (select count(*) from nation) + 1
+union all select 'json', 'failed', 1, 0
+union all select 'unknown', 'failed', 1, 0""")
 def batch_ingest_report(spark, folder):
     base = _mixed_folder(spark, folder)
     _, report = catalog.batch_ingest(spark, base)
-    return (report.filter("type <> 'json'").groupBy("type", "status")
-            .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows")))
+    report = report.filter(~F.col("file").rlike("_SUCCESS$|[.]crc$"))
+    return report.groupBy("type", "status").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("n_rows"))
 
 
 @query("insert_statements", """

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .readers import read_any
+from ..operators.topk import union_by_name
+from ..session import cut_lineage
+from .heads import FIELDS, UNREACHABLE, empty_files, file_heads, plain_path, through_spark
+from .readers import flatten, read_csv, read_xml, union_lists
 
-SNIFF_BYTES = 4096
-SNIFF_LIMIT = 8 * 1024 * 1024  # larger files are typed by extension; their bytes are not read
 # Type per extension.
 EXTENSIONS = {
     "csv": "csv",
@@ -21,84 +22,92 @@ EXTENSIONS = {
     "sql": "sqldump",
 }
 REPORT = "file string, type string, status string, rows bigint, error string"
-
-
-def sniff(head: Column) -> Column:
-    """Type from the first bytes of a file; null when nothing fits."""
-    text = F.regexp_replace(F.decode(head, "ISO-8859-1"), r"^[\sï»¿]+", "")
-    lead = F.substring(text, 1, 1)
-    return (F.when(text.startswith("PAR1"), "parquet")
-             .when(text.startswith("%PDF"), "pdf")
-             .when(text.startswith("PK\x03\x04") | text.startswith("ÐÏ\u0011à"), "excel")
-             .when(lead == "<", "xml")
-             .when(lead.isin("{", "["), "json")
-             .when(text.rlike(r"(?is)^.{0,2000}\b(create\s+table|insert\s+into)\b"), "sqldump")
-             .when(text.rlike(r"^[^\r\n]*[,;\t|]"), "csv"))
+CORRUPT = "__corrupt"
 
 
 def file_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """(file, length, extension, sniffed, type); the content has the last word."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.filter(F.col("length") <= SNIFF_LIMIT).select(
-        "path", "length", sniff(F.substring("content", 1, SNIFF_BYTES)).alias("sniffed"))
-    large = files.filter(F.col("length") > SNIFF_LIMIT).select(
-        "path", "length", F.lit(None).cast("string").alias("sniffed"))
+    """(file, length, extension, sniffed, shape, error, type); the content has the last word.
+
+    `shape` is the JSON shape, the CSV header, the columns of a Parquet file or the record tag of XML. `error` says what
+    is wrong with a file. Files of any size are typed by their content.
+    """
+    heads = cut_lineage(file_heads(spark, path))
+    seen = heads.select("file", F.coalesce(F.col("error").startswith(UNREACHABLE), F.lit(False)).alias("unread")).collect()
+    unread = [r["file"] for r in seen if r["unread"]]
+    empty = empty_files(spark, path, [r["file"] for r in seen])
+    if empty:
+        heads = heads.unionByName(spark.createDataFrame([(f, 0, None, None, None) for f in empty], f"file string, length bigint, {FIELDS}"))
+    if unread:
+        again = through_spark(spark, unread)
+        heads = heads.join(again.select("file"), "file", "left_anti").unionByName(again)
     kinds = F.create_map(*[x for k, v in EXTENSIONS.items() for x in (F.lit(k), F.lit(v))])
-    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    extension = F.lower(F.regexp_extract("file", r"\.([A-Za-z0-9]+)$", 1))
     by_name = F.try_element_at(kinds, extension)
-    return small.unionAll(large).select(
-        F.col("path").alias("file"), "length", extension.alias("extension"), "sniffed",
+    return heads.select(
+        "file", "length", extension.alias("extension"), "sniffed", "shape", "error",
         F.coalesce("sniffed", F.when(F.col("length") > 0, by_name), F.lit("unknown")).alias("type"))
 
 
 def batch_ingest(spark: SparkSession, path: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(frame per type, report). One read per type; a group that fails is retried per file.
+    """(frame per type, report). One read for each type and shape, however many files there are.
 
-    Every frame has a `source_file` column. The report lists each file once, failures included.
+    Every frame has a `source_file` column. The report lists each file once. A file whose head or footer is broken, and
+    a JSON document that is broken anywhere, fails alone; malformed lines of a file of lines are left out and counted.
     """
-    listing = file_catalog(spark, path).select("file", "type").orderBy("file").collect()
-    frames: dict[str, DataFrame] = {}
+    listing = file_catalog(spark, path).orderBy("file").collect()
+    frames: dict[str, list[DataFrame]] = {}
     report: list[tuple] = []
-
-    def load(kind: str, files: list[str]) -> DataFrame:
-        df = read_any(spark, files, kind)
-        return df.withColumn("source_file", F.input_file_name()) if kind == "xml" else (
-            df.withColumn("source_file", F.col("_metadata.file_path")))
-
-    def count(df: DataFrame) -> dict[str, int]:
-        rows = df.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()
-        return {_name(r["source_file"]): r["n"] for r in rows}
-
-    for kind in sorted({r["type"] for r in listing}):
-        files = [r["file"] for r in listing if r["type"] == kind]
+    groups: dict[tuple[str, str | None], list[str]] = {}
+    for r in listing:
+        kind = r["type"]
         if kind not in ("csv", "parquet", "json", "xml"):
-            report += [(f, kind, "failed", None, "unsupported file type") for f in files]
+            report.append((r["file"], kind, "failed", None, "unsupported file type"))
+        elif r["error"] is not None and not r["error"].startswith(UNREACHABLE):
+            report.append((r["file"], kind, "failed", None, r["error"]))
+        elif r["sniffed"] is None and not r["error"]:
+            report.append((r["file"], kind, "failed", None, f"content is not {kind}"))
+        else:
+            groups.setdefault((kind, r["shape"]), []).append(r["file"])
+    pending = sorted(groups.items(), key=lambda g: (g[0][0], g[0][1] or ""))
+    while pending:
+        (kind, shape), files = pending.pop(0)
+        try:
+            good, bad = _load(spark, kind, shape, files)
+            rows = {plain_path(r["source_file"]): r["n"] for r in good.groupBy("source_file").agg(F.count(F.lit(1)).alias("n")).collect()}
+        except Exception as error:  # what no head shows: halve the group until the file is found
+            if len(files) > 1:
+                half = len(files) // 2
+                pending += [((kind, shape), files[:half]), ((kind, shape), files[half:])]
+            else:
+                report.append((files[0], kind, "failed", None, str(error).split("\n")[0][:300]))
             continue
-        # JSON files may each have another shape, so they are read one by one
-        groups = [[f] for f in files] if kind == "json" else [files]
-        good: list[DataFrame] = []
-        while groups:
-            group = groups.pop()
-            try:
-                df = load(kind, group) if kind != "json" else read_any(spark, group[0], kind).withColumn(
-                    "source_file", F.lit(group[0]))
-                rows = count(df)
-            except Exception as error:
-                if len(group) > 1:
-                    groups += [[f] for f in group]
-                else:
-                    report.append((group[0], kind, "failed", None, str(error).split("\n")[0][:300]))
-                continue
-            good.append(df)
-            report += [(f, kind, "ok", rows.get(_name(f), 0), None) for f in group]
-        if good:
-            out = good[0]
-            for df in good[1:]:
-                out = out.unionByName(df, allowMissingColumns=True)
-            frames[kind] = out
-    return frames, spark.createDataFrame(report, REPORT)
-
-
-def _name(path: str) -> str:
-    """Path without scheme, as the readers spell it differently (file:/x, file:///x)."""
-    return "/" + path.split(":", 1)[-1].lstrip("/")
+        frames.setdefault(kind, []).append(good)
+        for f in files:
+            wrong = bad.get(plain_path(f), 0)
+            if wrong and shape != "lines":
+                report.append((f, kind, "failed", None, "malformed document"))
+            else:
+                report.append((f, kind, "ok", rows.get(plain_path(f), 0), f"{wrong} malformed lines" if wrong else None))
+    return {k: union_by_name(v) for k, v in sorted(frames.items())}, spark.createDataFrame(report, REPORT)
+
+
+def _load(spark: SparkSession, kind: str, shape: str | None, files: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The rows of files of one shape, and how many malformed records each file has."""
+    source = F.col("_metadata.file_path").alias("source_file")
+    if kind == "csv":
+        return read_csv(spark, files, source_file="source_file"), {}
+    if kind == "parquet":
+        return spark.read.parquet(*files).select("*", source), {}
+    if kind == "xml":
+        return read_xml(spark, files, shape).withColumn("source_file", F.input_fileplain_path()), {}
+    raw = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=shape != "lines").json(files)
+    raw = raw.select("*", source)
+    bad: dict[str, int] = {}
+    if CORRUPT in raw.columns:
+        raw = cut_lineage(raw)
+        broken = raw.filter(F.col(CORRUPT).isNotNull()).groupBy("source_file").agg(F.count(F.lit(1)).alias("n"))
+        bad = {plain_path(r["source_file"]): r["n"] for r in broken.collect()}
+        raw = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    if shape == "lists":
+        return union_lists(raw, keep=["source_file"]), bad
+    return (flatten(raw) if shape == "object" else raw), bad

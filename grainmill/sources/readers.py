@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.topk import union_by_name
+from .heads import file_heads, record_tag
 
 FORMATS = ("csv", "json", "xml", "parquet")
 Paths = str | Sequence[str]
@@ -20,60 +19,47 @@ def _list(path: Paths) -> list[str]:
     return [path] if isinstance(path, str) else list(path)
 
 
-def _non_utf8_files(spark: SparkSession, paths: list[str]) -> tuple[list[str], list[str]]:
-    """(valid, invalid) files, judged line by line on splittable input."""
-    lines = spark.read.text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("ok"))
-    rows = lines.groupBy("file").agg(F.bool_and("ok").alias("ok")).collect()
-    return [r["file"] for r in rows if r["ok"]], [r["file"] for r in rows if not r["ok"]]
+def _decoded(name: str, shown: str | None = None):
+    """Text that was read byte by byte: UTF-8 where its bytes are valid UTF-8, else Latin-1 as it stands."""
+    column = F.col(f"`{name}`")
+    return F.coalesce(F.try_validate_utf8(F.encode(column, "ISO-8859-1").cast("string")), column).alias(shown or name)
+
+
+def _decoded_name(name: str) -> str:
+    try:
+        return name.encode("latin-1").decode("utf-8").removeprefix("\ufeff")
+    except UnicodeError:
+        return name
 
 
 def read_csv(spark: SparkSession, path: Paths, schema: T.StructType | str | None = None,
-             encoding: str | None = None, corrupt_column: str | None = None,
+             encoding: str | None = None, corrupt_column: str | None = None, source_file: str | None = None,
              **options: str) -> DataFrame:
-    """CSV with a header. Without `encoding`, files that are not UTF-8 are read as Latin-1.
+    """CSV with a header. Without `encoding`, text that is not UTF-8 is taken as Latin-1, value by value in one scan.
 
     `corrupt_column` keeps malformed lines in that column instead of dropping fields silently.
+    `source_file` names a column for the file of each row.
     Pass a schema for large inputs: inference reads the data twice.
     """
-    paths = _list(path)
-
-    def read(files: list[str], charset: str) -> DataFrame:
-        reader = spark.read.options(header=True, encoding=charset, mode="PERMISSIVE", **options)
-        shape = schema
-        if shape is None and corrupt_column is None:
-            return reader.option("inferSchema", True).csv(files)
-        if shape is None:
-            shape = reader.option("inferSchema", True).csv(files).schema
-        elif isinstance(shape, str):
-            shape = spark.createDataFrame([], shape).schema
-        if corrupt_column:
-            shape = T.StructType([*shape.fields, T.StructField(corrupt_column, T.StringType())])
-            reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
-        return reader.schema(shape).csv(files)
-
-    if encoding is not None:
-        return read(paths, encoding)
-    valid, invalid = _non_utf8_files(spark, paths)
-    if not invalid:
-        return read(paths, "UTF-8")
-    frames = [read(invalid, "ISO-8859-1")] + ([read(valid, "UTF-8")] if valid else [])
-    return union_by_name(frames)
-
-
-def _json_shape(spark: SparkSession, paths: list[str]) -> str:
-    """'lines' for one record per line, else the first character of the document."""
-    head = (spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"))
-            .filter(F.col("value").rlike(r"\S")).limit(2).collect())
-    if not head:
-        return ""
-    if len(head) == 2 and head[0]["file"] == head[1]["file"]:
-        try:
-            if isinstance(json.loads(head[0]["value"]), dict):
-                return "lines"
-        except ValueError:
-            pass
-    return head[0]["value"].lstrip()[0]
+    files = _list(path)
+    # Latin-1 keeps every byte as one character, and no byte of a longer UTF-8 character is a delimiter.
+    reader = spark.read.options(header=True, encoding=encoding or "ISO-8859-1", mode="PERMISSIVE", **options)
+    shape = schema
+    if isinstance(shape, str):
+        shape = spark.createDataFrame([], shape).schema
+    if shape is None:
+        shape = reader.option("inferSchema", True).csv(files).schema
+    names = {f.name: f.name if schema is not None or encoding is not None else _decoded_name(f.name) for f in shape.fields}
+    if corrupt_column:
+        shape = T.StructType([*shape.fields, T.StructField(corrupt_column, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        names[corrupt_column] = corrupt_column
+    out = reader.schema(shape).csv(files)
+    columns = [_decoded(f.name, names[f.name]) if encoding is None and isinstance(f.dataType, T.StringType)
+               else F.col(f"`{f.name}`").alias(names[f.name]) for f in shape.fields]
+    if source_file:
+        columns.append(F.col("_metadata.file_path").alias(source_file))
+    return out.select(columns)
 
 
 def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
@@ -90,53 +76,52 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
                        for path in leaves(df.schema.fields, ())])
 
 
-def union_lists(df: DataFrame) -> DataFrame:
-    """One row per record of every list column, stacked by field name."""
-    frames = [df.select(F.explode(F.col(f"`{f.name}`")).alias("r")).select("r.*")
-              for f in df.schema.fields]
+def union_lists(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per record of every list column, stacked by field name; `keep` columns go along."""
+    frames = [df.select(*keep, F.explode(F.col(f"`{f.name}`")).alias("r")).select("r.*", *keep)
+              for f in df.schema.fields if f.name not in keep]
     return union_by_name(frames)
 
 
-def _is_record_list(kind: T.DataType) -> bool:
-    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
-
-
 def read_json(spark: SparkSession, path: Paths, lines: bool | None = None,
               schema: T.StructType | str | None = None) -> DataFrame:
-    """An array of records, an object of record lists (stacked), or one object (flattened).
+    """An array of records, an object of record lists (stacked), or one object (flattened), for each file its own.
 
     One record per line is recognised (or declared by `lines=True`); it splits, so prefer it
-    for large data. A malformed document is an error.
+    for large data. A malformed document is an error, malformed lines are rows of NULLs. Files of different shapes
+    are stacked by column name.
     """
     paths = _list(path)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    shape = "lines" if lines else _json_shape(spark, paths)
-    if lines or (lines is None and shape == "lines"):
-        return reader.json(paths)
-    df = reader.options(multiLine=True, mode="FAILFAST").json(paths)
-    if shape != "{":
-        return df
-    fields = df.schema.fields
-    if fields and all(_is_record_list(f.dataType) for f in fields):
-        return union_lists(df)
-    return flatten(df)
 
-
-_XML_SKIPPED = re.compile(r"<\?.*?\?>|<!--.*?-->|<!\[CDATA\[.*?\]\]>|<!DOCTYPE[^>\[]*(?:\[.*?\])?[^>]*>", re.S)
+    def read(files: list[str], **options: str | bool) -> DataFrame:
+        reader = spark.read.options(**options)
+        return (reader if schema is None else reader.schema(schema)).json(files)
+
+    if lines:
+        return read(paths)
+    if lines is not None:
+        groups = {"list": paths}
+    else:
+        found = file_heads(spark, paths).filter("length > 0").select("file", "shape").collect()
+        groups: dict[str, list[str]] = {}
+        for r in found:  # what could not be looked at is read as one document and fails or not
+            groups.setdefault(r["shape"] if r["shape"] in ("lines", "lists", "object") else "list", []).append(r["file"])
+        if len(groups) <= 1:
+            groups = {shape: paths for shape in groups or ("list",)}
+    frames = []
+    for shape, files in sorted(groups.items()):
+        if shape == "lines":
+            frames.append(read(files))
+        else:
+            df = read(files, multiLine=True, mode="FAILFAST")
+            frames.append({"lists": union_lists, "object": flatten}.get(shape, lambda d: d)(df))
+    return union_by_name(frames)
 
 
 def guess_row_tag(spark: SparkSession, paths: list[str]) -> str:
     """Name of the first element inside the root; prolog, comments and doctype are passed over, whatever their length."""
-    text = ""
-    for row in spark.read.text(paths).toLocalIterator():
-        text += row["value"] + "\n"
-        # Only what is not inside an open comment or instruction counts.
-        plain = _XML_SKIPPED.sub("", text)
-        plain = re.split(r"<\?|<!--|<!DOCTYPE|<!\[CDATA\[", plain)[0]
-        tags = re.findall(r"<([A-Za-z_][\w.:-]*)", plain)
-        if len(tags) > 1:
-            return tags[1]
-    raise ValueError("no record element found")
+    lines = spark.read.text(paths).toLocalIterator()
+    return record_tag((row["value"] + "\n").encode() for row in lines)
 
 
 def read_xml(spark: SparkSession, path: Paths, record_tag: str | None = None) -> DataFrame:
