@@ -99,7 +99,7 @@ def _load(spark: SparkSession, kind: str, shape: str | None, files: list[str]) -
     if kind == "parquet":
         return spark.read.parquet(*files).select("*", source), {}
     if kind == "xml":
-        return read_xml(spark, files, shape).withColumn("source_file", F.input_fileplain_path()), {}
+        return read_xml(spark, files, shape).withColumn("source_file", F.input_file_name()), {}
     raw = spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, multiLine=shape != "lines").json(files)
     raw = raw.select("*", source)
     bad: dict[str, int] = {}
