@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from grainmill.llm.text import (BYTE_VALUES, LOWER, Slice, Words, distinct_in_rows, gram_hashes, gram_starts_of,
                                 map_text, mix, prefix_sums, row_sums, slices, span_hashes)
@@ -162,7 +163,7 @@ def fit_head(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.n
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id",
         sample_rows: int = SAMPLE_ROWS) -> dict[str, Head | None]:
-    """Both heads from at most `sample_rows` labelled documents; the sample's sparse features reach the driver."""
+    """Both heads from at most `sample_rows` labelled documents, trained in one task; the driver sees their weights."""
     chosen = (labels.filter(F.col(key).isNotNull()).groupBy(key)
               .agg(F.min("quality").cast("double").alias("quality"), F.max("toxic").cast("double").alias("toxic"))
               .orderBy(F.xxhash64(key), key).limit(sample_rows))
@@ -183,22 +184,30 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 "id": pa.array(part.column(key)), "quality": part.batch.column(2), "toxic": part.batch.column(3),
                 "columns": pa.array(columns, pa.binary()), "values": pa.array(values, pa.binary())})
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, features_schema).sort_by("id")
+        columns = [np.frombuffer(b.as_buffer(), np.int32) for b in rows["columns"]]
+        values = [np.frombuffer(b.as_buffer(), np.float32) for b in rows["values"]]
+        for name, (least, end) in HEADS.items():
+            label = rows[name].to_numpy()
+            have = np.flatnonzero(np.isfinite(label.astype(float))) if len(label) else np.zeros(0, int)
+            if len(have) == 0:
+                continue
+            row = np.repeat(np.arange(len(have), dtype=np.int32), [len(columns[i]) for i in have])
+            head = fit_head(row, np.concatenate([columns[i] for i in have]), np.concatenate([values[i] for i in have]),
+                            (label[have] > 0).astype(float), least, end)
+            if head:
+                yield pa.RecordBatch.from_pydict({"head": [name], "weights": pa.array([head.weights.tobytes()], pa.binary()),
+                                                  "bias": [head.bias], "slope": [head.slope], "shift": [head.shift]})
+
     kind = docs.schema[key].dataType.simpleString()
-    rows = (sample.select(key, "text", "quality", "toxic")
-            .mapInArrow(features, f"id {kind}, quality double, toxic double, columns binary, values binary")
-            .toArrow().sort_by("id"))
-    columns = [np.frombuffer(b.as_buffer(), np.int32) for b in rows["columns"]]
-    values = [np.frombuffer(b.as_buffer(), np.float32) for b in rows["values"]]
-    heads: dict[str, Head | None] = {}
-    for name, (least, end) in HEADS.items():
-        label = rows[name].to_numpy()
-        have = np.flatnonzero(np.isfinite(label.astype(float))) if len(label) else np.zeros(0, int)
-        if len(have) == 0:
-            heads[name] = None
-            continue
-        row = np.repeat(np.arange(len(have)), [len(columns[i]) for i in have])
-        heads[name] = fit_head(row, np.concatenate([columns[i] for i in have]),
-                               np.concatenate([values[i] for i in have]), (label[have] > 0).astype(float), least, end)
+    fields = f"id {kind}, quality double, toxic double, columns binary, values binary"
+    made = sample.select(key, "text", "quality", "toxic").mapInArrow(features, fields)
+    features_schema = to_arrow_schema(made.schema)
+    found = made.repartition(1).mapInArrow(train, "head string, weights binary, bias double, slope double, shift double").collect()
+    heads: dict[str, Head | None] = dict.fromkeys(HEADS)
+    for r in found:
+        heads[r["head"]] = Head(np.frombuffer(r["weights"], np.float32), r["bias"], r["slope"], r["shift"])
     return heads
 
 
