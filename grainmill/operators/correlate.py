@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .joins import attach_row, join_groups
-from .ordered import number_rows, running_totals
+from .joins import join_groups
+from .ordered import running_totals
 from .profile import numeric_columns, text_columns
 from .quantiles import as_double
 
@@ -18,6 +21,7 @@ PAIRS_PER_PASS = 60
 PAIR_SCHEMA = "c1 string, c2 string, r double"
 MULTICOLLINEAR_AT = 0.8   # fixed value
 TOP_DEPENDENCIES = 20     # fixed value
+CELLS_PER_TASK, MOST_BLOCKS = 500_000, 512  # Kendall: cells a task takes, blocks an axis is cut into
 
 
 def _columns(df: DataFrame, columns: Sequence[str] | None, ignore: Sequence[str]) -> list[str]:
@@ -88,52 +92,116 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None,
     return out
 
 
-def _kendall_pair(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Kendall tau-b without comparing pairs of rows.
+def discordant(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """Weight of the pairs of cells in which x grows and y falls.
 
-    Distinct (x, y) cells are counted first. Two cells are discordant when x grows and y
-    falls; on the dense ranks of y that is decided by the highest differing bit. So for each
-    bit, and each prefix above it, a running total over x of the cells with bit 1 counts
-    what the cells with bit 0 meet: n log n work in one grouped running total.
+    On the dense ranks of y the highest bit that differs decides. So for each bit, and each prefix above it, a running
+    total over x of the cells with bit 1 is what the cells with bit 0 meet: n log n work.
     """
-    cells = cut_lineage(df.select(as_double(df, x).alias("x"), as_double(df, y).alias("y")).dropna()
-                        .groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
-    ys = cells.groupBy("y").agg(F.sum("n").alias("n_y"))
-    ranked = number_rows(ys, [], ["y"], "rank")
-    levels = max(1, (max(ys.count(), 1) - 1).bit_length())
-    placed = join_groups(cells, ranked.select("y", (F.col("rank") - 1).alias("rank")), ["y"])
-    bits = placed.select("x", "n", "rank", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("bit"))
-    one = F.expr("shiftright(rank, bit) & 1") == 1
-    sides = bits.groupBy("bit", F.expr("shiftright(rank, bit + 1)").alias("prefix"), "x").agg(
-        F.sum(F.when(one, F.col("n")).otherwise(0.0)).alias("ones"),
-        F.sum(F.when(one, 0.0).otherwise(F.col("n"))).alias("zeros"))
-    met = running_totals(sides, ["bit", "prefix"], ["x"], {"before": F.col("ones")}, inclusive=False)
-    discordant = met.agg(F.coalesce(F.sum(F.col("zeros") * F.col("before")), F.lit(0.0)).alias("d"))
-
-    def ties(frame: DataFrame, n: str, name: str) -> DataFrame:
-        c = F.col(n)
-        return frame.agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0)).alias(name))
-
-    xs = cells.groupBy("x").agg(F.sum("n").alias("n_x"))
-    c = F.col("n")
-    whole = cells.agg(F.coalesce(F.sum(c * (c - 1) / 2), F.lit(0.0)).alias("txy"),
-                      F.coalesce(F.sum(c), F.lit(0.0)).alias("t"))
-    row = discordant
-    for one in (whole, ties(xs, "n_x", "tx"), ties(ys, "n_y", "ty")):
-        row = attach_row(row, one)
-    pairs = F.col("t") * (F.col("t") - 1) / 2
-    concordant = pairs - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
-    return row.select(F.lit(x).alias("c1"), F.lit(y).alias("c2"), F.try_divide(
-        concordant - F.col("d"),
-        F.sqrt(pairs - F.col("tx")) * F.sqrt(pairs - F.col("ty"))).alias("r"))
+    rank = np.unique(y, return_inverse=True)[1]
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        prefix, one = rank >> (bit + 1), (rank >> bit) & 1
+        order = np.lexsort((x, prefix))
+        ones = np.where(one[order] == 1, n[order], 0.0)
+        before = np.cumsum(ones) - ones
+        new_prefix = np.append(True, prefix[order][1:] != prefix[order][:-1])
+        new_x = new_prefix | np.append(True, x[order][1:] != x[order][:-1])
+        met = before[np.flatnonzero(new_x)[np.cumsum(new_x) - 1]] - before[np.flatnonzero(new_prefix)[np.cumsum(new_prefix) - 1]]
+        total += float(((n[order] - ones) * met).sum())
+    return total
+
+
+def crossing(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> float:
+    """The same for the cells of a table of blocks."""
+    ranks = [np.unique(v, return_inverse=True)[1] for v in (x, y)]
+    grid = np.zeros([int(r.max(initial=0)) + 1 for r in ranks])
+    np.add.at(grid, tuple(ranks), n)
+    lower = np.cumsum(grid, axis=0) - grid                          # smaller x, same y
+    above = np.cumsum(lower[:, ::-1], axis=1)[:, ::-1] - lower      # and larger y
+    return float((grid * above).sum())
 
 
 def kendall(df: DataFrame, columns: Sequence[str] | None = None,
             ignore: Sequence[str] = ()) -> DataFrame:
-    out = df.sparkSession.createDataFrame([], PAIR_SCHEMA)
-    for a, b in combinations(_columns(df, columns, ignore), 2):
-        out = out.unionByName(_kendall_pair(df, a, b))
-    return out
+    """(c1, c2, r): Kendall tau-b of all pairs of columns, pairwise complete, without comparing pairs of rows.
+
+    The distinct cells of all pairs are counted in one pass. Where they are many, both axes are cut into blocks, a
+    frequent value being a block of its own. Discordant pairs within a block of x or of y are counted block by block,
+    those in both are counted once less, and those in different blocks on both axes follow from the numbers of rows per
+    pair of blocks. The number of jobs does not depend on the number of columns.
+    """
+    columns = _columns(df, columns, ignore)
+    pairs = list(combinations(range(len(columns)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], PAIR_SCHEMA)
+    values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(k).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
+                     for k, (i, j) in enumerate(pairs)])
+    cells = cut_lineage(values.select(F.explode(rows).alias("c")).select("c.*").dropna()
+                        .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    most = cells.groupBy("pair").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0
+    if most <= CELLS_PER_TASK:
+        met = cells.groupBy("pair").applyInArrow(_counter(discordant), "pair int, d double")
+    else:
+        blocks = min(MOST_BLOCKS, -(-most // CELLS_PER_TASK))
+        shares = [k / blocks for k in range(1, blocks)] or [0.5]
+        found = values.agg(*[F.percentile_approx(f"v{i}", F.array(*[F.lit(s) for s in shares]), 100 * blocks).alias(f"v{i}")
+                             for i in range(len(columns))]).first()
+        cuts = [sorted(set(found[f"v{i}"] or ())) for i in range(len(columns))]
+        placed = cells.mapInArrow(partial(_blocks, pairs, cuts), "pair int, x double, y double, n double, xb int, yb int")
+        placed = cut_lineage(placed)
+        # Odd blocks hold one value: no pair of cells in them is discordant.
+        ways = F.array_compact(F.array(
+            F.when(F.col("xb") % 2 == 0, F.struct(F.lit(1.0).alias("sign"), F.col("xb").alias("a"), F.lit(-1).alias("b"))),
+            F.when(F.col("yb") % 2 == 0, F.struct(F.lit(1.0).alias("sign"), F.lit(-1).alias("a"), F.col("yb").alias("b"))),
+            F.when((F.col("xb") % 2 == 0) & (F.col("yb") % 2 == 0),
+                   F.struct(F.lit(-1.0).alias("sign"), F.col("xb").alias("a"), F.col("yb").alias("b")))))
+        inside = placed.select("pair", "x", "y", "n", F.explode(ways).alias("w")).select("pair", "x", "y", "n", "w.*")
+        near = inside.groupBy("pair", "sign", "a", "b").applyInArrow(_counter(discordant, signed=True), "pair int, d double")
+        table = placed.groupBy("pair", F.col("xb").cast("double").alias("x"), F.col("yb").cast("double").alias("y")).agg(F.sum("n").alias("n"))
+        far = table.groupBy("pair").applyInArrow(_counter(crossing), "pair int, d double")
+        met = near.unionByName(far)
+    pairs_of = F.col("n") * (F.col("n") - 1) / 2
+    sums = [met.groupBy("pair").agg(F.sum("d").alias("d")),
+            cells.groupBy("pair").agg(F.sum(pairs_of).alias("txy"), F.sum("n").alias("t")),
+            *[cells.groupBy("pair", side).agg(F.sum("n").alias("n")).groupBy("pair").agg(F.sum(pairs_of).alias(f"t{side}"))
+              for side in ("x", "y")]]
+    row = df.sparkSession.createDataFrame([(k, columns[i], columns[j]) for k, (i, j) in enumerate(pairs)], "pair int, c1 string, c2 string")
+    for one in sums:  # one row a pair
+        row = row.join(F.broadcast(one), "pair", "left")
+    whole = F.col("t") * (F.col("t") - 1) / 2
+    concordant = whole - F.col("tx") - F.col("ty") + F.col("txy") - F.col("d")
+    return row.select("c1", "c2", F.try_divide(
+        concordant - F.col("d"), F.sqrt(whole - F.col("tx")) * F.sqrt(whole - F.col("ty"))).alias("r"))
+
+
+def _counter(count: Callable, signed: bool = False) -> Callable:
+    """A function from the cells of a group to (pair, d)."""
+    def run(table: pa.Table) -> pa.Table:
+        sign = table["sign"][0].as_py() if signed else 1.0
+        d = sign * count(*(table[c].to_numpy() for c in ("x", "y", "n")))
+        return pa.table({"pair": table["pair"].combine_chunks().slice(0, 1), "d": pa.array([d])})
+
+    return run
+
+
+def _blocks(pairs: Sequence[tuple[int, int]], cuts: Sequence[Sequence[float]], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number the block of x and y: odd for a value that is a cut, even for what lies between two cuts."""
+    bounds = [np.array(c, float) for c in cuts]
+
+    def block(column: int, v: np.ndarray) -> np.ndarray:
+        left = np.searchsorted(bounds[column], v, "left")
+        return (left + np.searchsorted(bounds[column], v, "right")).astype(np.int32)
+
+    for batch in batches:
+        pair, x, y = (batch.column(k).to_numpy() for k in range(3))
+        placed = [np.zeros(len(pair), np.int32), np.zeros(len(pair), np.int32)]
+        for k in np.unique(pair).tolist():
+            own = pair == k
+            for side, (column, v) in enumerate(zip(pairs[k], (x, y))):
+                placed[side][own] = block(column, v[own])
+        yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, placed)], [*batch.schema.names, "xb", "yb"])
 
 
 def crosstab(df: DataFrame, x: str, y: str) -> DataFrame:

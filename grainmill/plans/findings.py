@@ -134,6 +134,21 @@ def corr_kendall(spark, folder):
     return _rounded(C.kendall(table(spark, folder, "lineitem"), LOW), 4, ["r"])
 
 
+_EXACT_TAU = """select '{a}' as c1, '{b}' as c2, round((p - tx - ty + txy - 2 * d) / (sqrt(p - tx) * sqrt(p - ty)), 6) + 0.0 as r from
+  (select (count(*) * (count(*) - 1) / 2)::double as p from {t}),
+  (select sum(n * (n - 1) / 2)::double as tx from (select count(*) n from {t} group by {a})),
+  (select sum(n * (n - 1) / 2)::double as ty from (select count(*) n from {t} group by {b})),
+  (select sum(n * (n - 1) / 2)::double as txy from (select count(*) n from {t} group by {a}, {b})),
+  (select count(*)::double as d from {t} u join {t} v on u.{a} < v.{a} and u.{b} > v.{b})"""
+_PRICES = ("c_custkey", "c_acctbal", "c_nationkey")
+
+
+@query("corr_kendall_wide", union_all(_EXACT_TAU.format(a=a, b=b, t="customer") for a, b in _pairs(_PRICES)))
+def corr_kendall_wide(spark, folder):
+    """Columns in which nearly every value is another one."""
+    return _rounded(C.kendall(table(spark, folder, "customer"), _PRICES), 6, ["r"])
+
+
 @query("crosstab", """
 select p_brand, p_type, count(*)::bigint as n from part group by 1, 2""")
 def crosstab(spark, folder):
