@@ -21,10 +21,11 @@ def _long(wide: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """(label, prediction, n)."""
-    return df.groupBy(F.col(label).cast("double").alias("label"),
-                      F.col(prediction).cast("double").alias("prediction")).agg(
-        F.count(F.lit(1)).alias("n"))
+    """(label, prediction, n); texts stay texts, other classes are doubles."""
+    kinds = dict(df.dtypes)
+    named = [F.col(c).cast("string" if kinds[label] == "string" else "double").alias(n)
+             for c, n in ((label, "label"), (prediction, "prediction"))]
+    return df.groupBy(*named).agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -44,8 +45,8 @@ def class_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, label: str, prediction: str,
-                           score: str | None = None) -> DataFrame:
-    """(metric, value): accuracy, support-weighted precision, recall and f1; AUC with a score."""
+                           score: str | None = None, positive: object = 1.0) -> DataFrame:
+    """(metric, value): accuracy, support-weighted precision, recall and f1; AUC of `positive` with a score."""
     per = class_report(df, label, prediction)
 
     def weighted(c: str) -> Column:
@@ -55,19 +56,19 @@ def classification_metrics(df: DataFrame, label: str, prediction: str,
                    *[weighted(c).alias(c) for c in ("precision", "recall", "f1")])
     out = _long(wide, ["accuracy", "precision", "recall", "f1"])
     if score is not None:
-        out = out.unionByName(roc_auc(df, label, score))
+        out = out.unionByName(roc_auc(df, label, score, positive))
     return out
 
 
-def _by_score(df: DataFrame, label: str, score: str) -> DataFrame:
-    positive = F.col(label).cast("double") == 1.0
+def _by_score(df: DataFrame, label: str, score: str, positive_class: object = 1.0) -> DataFrame:
+    positive = F.col(label).cast("string" if isinstance(positive_class, str) else "double") == F.lit(positive_class)
     return df.filter(F.col(score).isNotNull()).groupBy((-F.col(score).cast("double")).alias("__neg")).agg(
         F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, positive: object = 1.0) -> DataFrame:
     """Area under the curve by rank sums: rows are counted per score before any ordering."""
-    ranked = running_totals(_by_score(df, label, score), [], ["__neg"], {"__above": F.col("pos")},
+    ranked = running_totals(_by_score(df, label, score, positive), [], ["__neg"], {"__above": F.col("pos")},
                             inclusive=False)
     won = F.sum(F.col("neg") * (F.col("__above") + F.col("pos") / 2))
     return _long(ranked.agg(F.try_divide(won, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc")),

@@ -28,6 +28,7 @@ from . import evaluate
 SEED = 42                    # fixed value
 IMPORTANCE_ABOVE = 1e-5      # fixed value
 HIDDEN = (64, 32)            # fixed values: hidden layer sizes
+MOST_CLASSES = 1000
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -59,6 +60,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 class TrendPredictor:
     """fit / predict / evaluate over DataFrames; model_type is rf, gb or nn.
 
+    Classes may be numbers or texts; predictions are texts then, else doubles. `score` is the probability of the second
+    class in order. Class weights map classes to weights, or are "balanced"; a net takes none.
+    Rows are persisted on executors while training; a lost executor costs their recomputation, no result.
     Missing features are filled with training means, at fit and at predict time.
     """
 
@@ -68,12 +72,15 @@ class TrendPredictor:
             raise ValueError("model_type is rf, gb or nn; task is classification or regression")
         if model_type == "nn" and task == "regression":
             raise ValueError("the feed-forward net is available for classification only")
+        if model_type == "nn" and class_weight:
+            raise ValueError("the feed-forward net cannot weigh rows")
         self.model_type, self.task, self.seed, self.class_weight = model_type, task, seed, class_weight
         self.model: Model | None = None
         self.features: list[str] = []
         self.selected: list[str] = []
         self.means: dict[str, float] = {}
         self.best_params: dict[str, object] = {}
+        self.labels: list = []  # classes in order; the model knows their numbers
 
     def _estimator(self, classes: int, width: int, params: Mapping[str, object]):
         weighted = {"weightCol": "weight"} if self.class_weight else {}
@@ -85,20 +92,28 @@ class TrendPredictor:
         if self.model_type == "nn":
             return MultilayerPerceptronClassifier(layers=[width, *HIDDEN, classes], seed=self.seed, **params)
         boosted = GBTClassifier(seed=self.seed, **weighted, **params)
-        return boosted if classes <= 2 else OneVsRest(classifier=GBTClassifier(seed=self.seed, **params))
+        return boosted if classes <= 2 else OneVsRest(classifier=boosted, **weighted)
 
     def _prepare(self, df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
         clean, = drop_null_labels_fill_means(df, label, features)
-        data = assemble(clean, features).withColumn("label", F.col(label).cast("double"))
-        if self.task == "classification" and self.class_weight:
+        if self.task == "regression":
+            return assemble(clean, features).withColumn("label", F.col(label).cast("double"))
+        numbers = F.create_map(*[x for i, v in enumerate(self.labels) for x in (F.lit(v), F.lit(float(i)))])
+        data = assemble(clean, features).withColumn("label", F.element_at(numbers, F.col(label)))
+        if self.class_weight:
             weights = self.class_weight
             if weights == "balanced":
-                weights = {float(r[label]): r["weight"] for r in class_weights(clean, label).collect()}
-            pairs = [F.lit(float(x)) for kv in weights.items() for x in kv]
-            data = data.withColumn("weight", F.coalesce(
-                F.try_element_at(F.create_map(*pairs), F.col("label")), F.lit(1.0)))
+                weights = {r[label]: r["weight"] for r in class_weights(clean, label).collect()}
+            pairs = [x for i, v in enumerate(self.labels) for x in (F.lit(float(i)), F.lit(float(weights.get(v, 1.0))))]
+            data = data.withColumn("weight", F.element_at(F.create_map(*pairs), F.col("label")))
         return data
 
+    def _classes(self, df: DataFrame, label: str) -> list:
+        found = [r[0] for r in df.select(label).distinct().limit(MOST_CLASSES + 1).collect()]
+        if len(found) > MOST_CLASSES:
+            raise ValueError(f"{label} has over {MOST_CLASSES} classes: is this a regression?")
+        return sorted(found)
+
     def fit(self, df: DataFrame, features: Sequence[str], label: str, params: Mapping | None = None,
             feature_selection: bool = False, threshold: float = IMPORTANCE_ABOVE,
             grid: Mapping[str, Sequence] | None = None, n_iter: int = 10, folds: int = 3) -> TrendPredictor:
@@ -117,10 +132,10 @@ class TrendPredictor:
         features = self.features
         self.means = {c: m for c, m in kept.agg(*[F.avg(c).alias(c) for c in features])
                       .first().asDict().items() if m is not None}
-        data = self._prepare(kept, label, self.features)
-        classes = 0
         if self.task == "classification":
-            classes = int(data.agg(F.max("label")).first()[0]) + 1
+            self.labels = self._classes(kept, label)
+        data = self._prepare(kept, label, self.features)
+        classes = max(len(self.labels), 2)
         if feature_selection:
             scored = self._estimator(classes, len(self.features), dict(params or {})).fit(data)
             chosen = [i for i, v in enumerate(scored.featureImportances.toArray()) if v > threshold]
@@ -128,7 +143,7 @@ class TrendPredictor:
             data = VectorSlicer(inputCol="features", outputCol="picked", indices=chosen).transform(
                 data).drop("features").withColumnRenamed("picked", "features")
         self.best_params = dict(params or {})
-        if grid and self.model_type != "nn":
+        if grid:
             self.best_params = self._search(data, classes, grid, n_iter, folds)
         self.model = self._estimator(classes, len(self.selected), self.best_params).fit(data)
         return self
@@ -159,6 +174,10 @@ class TrendPredictor:
             F.col(c).cast("double"), F.lit(self.means.get(c, 0.0))) for c in self.selected})
         out = self.model.transform(assemble(named, [f"__f_{c}" for c in self.selected]))
         extra = [F.col("prediction")]
+        if self.task == "classification":
+            # numbers stay doubles, as Spark gives them
+            values = [v if isinstance(v, str) else float(v) for v in self.labels]
+            extra = [F.get(F.array(*[F.lit(v) for v in values]), F.col("prediction").cast("int")).alias("prediction")]
         if "probability" in out.columns:
             from pyspark.ml.functions import vector_to_array
 
@@ -174,5 +193,6 @@ class TrendPredictor:
         scored = self.predict(df).filter(F.col(label).isNotNull())
         if self.task == "regression":
             return evaluate.regression_metrics(scored, label, "prediction")
-        return evaluate.classification_metrics(scored, label, "prediction",
-                                               "score" if "score" in scored.columns else None)
+        two = len(self.labels) == 2 and "score" in scored.columns
+        second = self.labels[-1] if isinstance(self.labels[-1], str) else float(self.labels[-1])
+        return evaluate.classification_metrics(scored, label, "prediction", "score" if two else None, second)

@@ -6,6 +6,7 @@ from ..ml import evaluate as E
 from ..ml import explain as X
 from ..ml import forecast as C
 from ..ml import models as M
+from ..ml import treeshap as H
 from ..operators.joins import attach_row
 from ..operators.windows import timeseries_folds
 from ..session import scratch_path
@@ -355,6 +356,42 @@ def global_importance(spark, folder):
     return _round(X.global_importance(_line(spark, folder)), 3, "importance")
 
 
+@query("explanation_report", f"""
+select 'l_quantity' as feature, 'Feature ''l_quantity'': mean(|contribution|) = ' ||
+  printf('%.4f', avg(abs(b * (l_quantity - m)))) as line from lineitem, {LINEAR}""")
+def explanation_report(spark, folder):
+    return X.report_lines(_line(spark, folder))
+
+
+_ADD_UP = """
+select feature, count(*)::bigint as n, count(*)::bigint as adds_up from labels join documents using (doc_id),
+  (select unnest(['n_chars', 'words', 'lines', 'digits']) as feature) group by 1"""
+
+
+def _added(made, scored):
+    """Per feature: rows, and rows whose contributions and base add up to the model's output."""
+    sums = made.groupBy("doc_id").agg((F.sum("contribution") + F.min("base_value")).alias("total"))
+    right = sums.join(scored, "doc_id").select("doc_id", (F.abs(F.col("total") - F.col("output")) < 1e-9).alias("ok"))
+    return made.join(right, "doc_id").groupBy("feature").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("adds_up"))
+
+
+@query("shapley_forest", _ADD_UP)
+def shapley_forest(spark, folder):
+    data = labelled(spark, folder)
+    model = M.TrendPredictor("rf").fit(data, FEATURES, "quality", {"numTrees": 10})
+    scored = model.predict(data).select("doc_id", F.col("score").alias("output"))
+    return _added(H.tree_shapley(data, ["doc_id"], model), scored)
+
+
+@query("shapley_boosted", _ADD_UP)
+def shapley_boosted(spark, folder):
+    data = labelled(spark, folder)
+    model = M.TrendPredictor("gb", "regression").fit(data, FEATURES, "quality", {"maxIter": 5})
+    scored = model.predict(data).select("doc_id", F.col("prediction").alias("output"))
+    return _added(H.tree_shapley(data, ["doc_id"], model), scored)
+
+
 def _scorer(spark, folder):
     data = labelled(spark, folder)
     model = M.TrendPredictor("rf").fit(data, FEATURES, "quality", {"numTrees": 10})
