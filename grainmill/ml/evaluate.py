@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from hashlib import sha256
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,11 +176,45 @@ def backtest(df: DataFrame, fit: Fit, score: Score, n_splits: int) -> DataFrame:
 
 # -- history ------------------------------------------------------------------------------------
 
-def record_metrics(spark: SparkSession, path: str, run: str, ts: str, metrics: Mapping[str, float]) -> None:
-    """Append one run's metrics to a Parquet table."""
-    rows = [(ts, run, name, float(value)) for name, value in metrics.items()]
-    (spark.createDataFrame(rows, "ts string, run string, metric string, value double")
-     .withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.mode("append").parquet(path))
+METRIC_SCHEMA = "ts timestamp_ntz, run string, metric string, value double"
+
+
+def record_metrics(spark: SparkSession, path: str, run: str, ts: str, metrics: Mapping[str, float],
+                   expected_runs: int | None = None) -> None:
+    """Add one run's metrics to a folder of Parquet files, one for each run.
+
+    The file is written aside and then renamed, so readers see all of a run or nothing, and runs that are recorded at the
+    same time do not touch each other's files. Recording a run again adds nothing; other values for it are an error, as is
+    a number of runs other than `expected_runs`.
+    """
+    rows = [(ts, run, name, float(value)) for name, value in sorted(metrics.items())]
+    made = spark.createDataFrame(rows, "ts string, run string, metric string, value double").withColumn(
+        "ts", F.col("ts").cast("timestamp_ntz"))
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    target = jvm.org.apache.hadoop.fs.Path(folder, f"run-{sha256(run.encode()).hexdigest()[:32]}.parquet")
+    if system.exists(target):
+        if made.exceptAll(spark.read.parquet(target.toString())).union(
+                spark.read.parquet(target.toString()).exceptAll(made)).isEmpty():
+            return
+        raise ValueError(f"run {run} is recorded with other values")
+    if expected_runs is not None:
+        known = len([f for f in system.listStatus(folder) if f.getPath().getName().startswith("run-")]) if system.exists(folder) else 0
+        if known != expected_runs:
+            raise ValueError(f"{known} runs are recorded, expected {expected_runs}")
+    aside = jvm.org.apache.hadoop.fs.Path(folder, f"_aside-{uuid4().hex}")
+    made.coalesce(1).write.parquet(aside.toString())
+    part, = [f.getPath() for f in system.listStatus(aside) if f.getPath().getName().startswith("part-")]
+    renamed = system.rename(part, target)
+    system.delete(aside, True)
+    if not renamed and not system.exists(target):
+        raise OSError(f"{target.toString()} could not be written")
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(ts, run, metric, value) of all recorded runs."""
+    return spark.read.schema(METRIC_SCHEMA).parquet(path)
 
 
 def metric_drift(history: DataFrame) -> DataFrame:
