@@ -1,5 +1,7 @@
 """Queries on columns, types, validation, joins, SQL, top-k, paging and set operations."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..functions.scalars import get_safe
@@ -319,15 +321,15 @@ def json_get_safe(spark, folder):
         get_safe(F.col("props"), ["a", "b"], "none").alias("nested"))
 
 
-_KEY_COLUMNS = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_shipdate")
-_KEY_SETS = [(a,) for a in _KEY_COLUMNS] + [(a, b) for i, a in enumerate(_KEY_COLUMNS) for b in _KEY_COLUMNS[i + 1:]]
+_KEY_COLUMNS = ("conv_id", "turn", "role")
+_KEY_SETS = [c for n in (1, 2, 3) for c in combinations(_KEY_COLUMNS, n)]
 
 
 @query("minimal_keys", "with k as (" + union_all(
     f"select [{', '.join(repr(c) for c in s)}] as s, count(*)::bigint as n_rows, count(distinct ({', '.join(s)})) = count(*) as is_key "
-    f"from lineitem" for s in _KEY_SETS) + """)
+    f"from conversations" for s in _KEY_SETS) + """)
 select array_to_string(s, ',') as columns, n_rows from k where is_key and not exists (
   select 1 from k p where p.is_key and len(p.s) < len(k.s) and list_has_all(k.s, p.s))""")
 def minimal_keys(spark, folder):
-    found = Y.minimal_keys(table(spark, folder, "lineitem"), _KEY_COLUMNS, 2)
+    found = Y.minimal_keys(table(spark, folder, "conversations"), _KEY_COLUMNS)
     return found.select(F.array_join("columns", ",").alias("columns"), "n_rows")
