@@ -88,8 +88,8 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
 def text_names(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each row's bytes."""
     values = BYTE_VALUES[part.data]
-    return tuple(span_hashes(prefix_sums(v), part.offsets[:-1], part.offsets[1:]).view(np.int64)
-                 for v in (values, mix(values)))
+    return tuple(span_hashes(prefix_sums(v), part.offsets[:-1], part.offsets[1:], part.data, salt).view(np.int64)
+                 for salt, v in enumerate((values, mix(values))))
 
 
 def cuts(texts: DataFrame, length: int, cells: np.ndarray) -> DataFrame:

@@ -79,7 +79,7 @@ def duplicate_lines(part: Slice, words: Words) -> np.ndarray:
     if len(starts) > 1:
         new = np.append(True, starts[1:] != starts[:-1])
         starts, ends, row = starts[new], ends[new], row[new]
-    _, later = repeated_in_rows(span_hashes(prefix_sums(BYTE_VALUES[part.data]), starts, ends), row)
+    _, later = repeated_in_rows(span_hashes(prefix_sums(BYTE_VALUES[part.data]), starts, ends, part.data), row)
     return np.bincount(row[later], minlength=part.rows)
 
 

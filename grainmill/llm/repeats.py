@@ -149,7 +149,7 @@ def chosen_grams(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndar
 
 def window_prints(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each run of words; 64 and 31 bits of them are kept."""
-    return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, ends) for salt in (11, 23))
+    return tuple(span_hashes(prefix_sums(mix(hashes + np.uint64(salt))), starts, ends, hashes, salt) for salt in (11, 23))
 
 
 def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
@@ -159,7 +159,7 @@ def anchor_rows(docs: DataFrame, window: int) -> DataFrame:
             words = Words(part.data, part.offsets)
             hashes = words.hashes(part.data)
             starts, found = anchors(words, hashes, window)
-            a, b = (span_hashes(prefix_sums(mix(hashes + np.uint64(s))), words.first[:-1], words.first[1:])
+            a, b = (span_hashes(prefix_sums(mix(hashes + np.uint64(s))), words.first[:-1], words.first[1:], hashes, s)
                     for s in (31, 47))
             change = np.ones(len(found), bool)
             row = words.row[starts]

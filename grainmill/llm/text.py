@@ -8,6 +8,7 @@ document is a slice of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 21
+LONG_SPAN = 256
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -50,10 +52,23 @@ def prefix_sums(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span's content and length, the same wherever the content stands."""
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, content: np.ndarray | None = None,
+                salt: int = 0) -> np.ndarray:
+    """A hash of each span's content and length, the same wherever the content stands.
+
+    Sums modulo 2**64 are the same for some long sequences of two values, whatever the values. With `content`, spans of
+    LONG_SPAN values or more get a BLAKE2 hash of their values instead; `salt` names another one.
+    """
     down = powers(len(sums))[1]
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    if content is not None:
+        long = np.flatnonzero(ends - starts >= LONG_SPAN)
+        if len(long):
+            content, key = np.ascontiguousarray(content), salt.to_bytes(8, "little")
+            out[long] = np.frombuffer(b"".join([
+                hashlib.blake2b(content[a:b], digest_size=8, key=key).digest()
+                for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), np.uint64)
+    return out
 
 
 class Slice:
@@ -114,7 +129,7 @@ class Words:
         self.row = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        return span_hashes(prefix_sums(BYTE_VALUES[data]), self.starts, self.ends)
+        return span_hashes(prefix_sums(BYTE_VALUES[data]), self.starts, self.ends, data)
 
     def gram_starts(self, size: int) -> np.ndarray:
         """Indexes of the words at which a run of `size` words of one row begins."""
