@@ -12,7 +12,7 @@ from ..operators.windows import timeseries_folds
 from ..session import scratch_path
 from .profiling import union_all
 from .registry import query, table
-from .series import HOURLY, hourly
+from .series import HOURLY, hourly, solved_sql
 
 FEATURES = ["n_chars", "words", "lines", "digits"]
 
@@ -294,7 +294,19 @@ def forecast_ar1(spark, folder):
     return _round(C.forecast_ar(hourly(spark, folder), "v", ["event_type"], ["hour"], 12), 4, "forecast")
 
 
-@query("forecast_ar_differenced")
+_DIFFERENCES = f"""y as (select event_type, list(v order by hour) as y, count(*) as n from {HOURLY} group by 1),
+own as (select event_type, [1.0, y[t - 1] - y[t - 2], y[t - 2] - y[t - 3], y[t - 3] - y[t - 4], y[t] - y[t - 1]] as x
+  from (select *, unnest(range(5, n + 1)) as t from y)),
+"""
+
+
+@query("forecast_ar_differenced", f"""
+with {solved_sql("own", _DIFFERENCES)},
+path as (select event_type, 0 as step, [m[i][5] / m[i][i] for i in range(1, 5)] as b, y[n] as level,
+    [y[n] - y[n - 1], y[n - 1] - y[n - 2], y[n - 2] - y[n - 3]] as s from fit join y using (event_type)
+  union all select event_type, step + 1, b, level + made, list_prepend(made, s[1:2])
+  from (select *, b[1] + b[2] * s[1] + b[3] * s[2] + b[4] * s[3] as made from path where step < 12))
+select event_type, step, round(level, 4) + 0.0 as forecast from path where step > 0""")
 def forecast_ar_differenced(spark, folder):
     return _round(C.forecast_ar(hourly(spark, folder), "v", ["event_type"], ["hour"], 12, p=3, d=1), 4, "forecast")
 
@@ -306,7 +318,18 @@ def forecast_seasonal_naive(spark, folder):
     return C.forecast_seasonal_naive(hourly(spark, folder), "v", 24, ["event_type"], ["hour"], 48)
 
 
-@query("forecast_fourier")
+_WAVES = "sin(2 * pi() * {t} / 24), cos(2 * pi() * {t} / 24), sin(4 * pi() * {t} / 24), cos(4 * pi() * {t} / 24), sin(6 * pi() * {t} / 24), cos(6 * pi() * {t} / 24)"
+_WAVE_ROWS = f"""y as (select event_type, v, row_number() over (partition by event_type order by hour) as t,
+  count(*) over (partition by event_type) as n from {HOURLY}),
+own as (select event_type, [1.0, t - n / 2.0, {_WAVES.format(t="t")}, v] as x from y),
+"""
+
+
+@query("forecast_fourier", f"""
+with {solved_sql("own", _WAVE_ROWS)},
+ahead as (select event_type, h as step, m, [1.0, n + h - n / 2.0, {_WAVES.format(t="(n + h)")}] as x
+  from fit join (select distinct event_type, n from y) using (event_type), range(1, 25) r(h))
+select event_type, step::int as step, round(list_sum([m[i][9] / m[i][i] * x[i] for i in range(1, 9)]), 3) + 0.0 as forecast from ahead""")
 def forecast_fourier(spark, folder):
     return _round(C.forecast_fourier(hourly(spark, folder), "v", 24, ["event_type"], ["hour"], 24), 3, "forecast")
 

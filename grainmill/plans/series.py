@@ -161,17 +161,12 @@ def adf_stat(spark, folder):
     return _round(T.adf(hourly(spark, folder), "v", ["event_type"], ["hour"]), 3, "statistic")
 
 
-@query("adf_lagged")
-def adf_lagged(spark, folder):
-    return _round(T.adf(hourly(spark, folder), "v", ["event_type"], ["hour"], lags=2), 3, "statistic")
-
-
 _GRAM = """{name} as (select event_type, list(cells order by i) as m from (select event_type, i, list(c order by j) as cells
   from (select event_type, i, j, sum(x[i] * x[j]) as c from (select event_type, x, unnest(range(1, len(x) + 1)) as i from {rows}),
     unnest(range(1, len(x) + 1)) u(j) group by 1, 2, 3) group by 1, 2) group by 1)"""
 _ELIMINATED = """{name} as (select event_type, 0::bigint as k, m from {gram} union all
   select event_type, k + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j:
-    case when i = k + 1 then m[i][j] else m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] end)) from {name} where k < len(m) - 2)"""
+    case when i = k + 1 then m[i][j] else m[i][j] - m[i][k + 1] * m[k + 1][j] / m[k + 1][k + 1] end)) from {name} where k < len(m) - 1)"""
 # Every number of lags is fitted by eliminating one column after another; the best is fitted again to its own rows.
 _ADF_BY_AIC = f"""
 with recursive y as (select event_type, count(*) as n, least(ceil(12 * power(count(*) / 100.0, 0.25)), count(*) // 2 - 2)::bigint as most,
@@ -198,6 +193,25 @@ def adf_by_aic(spark, folder):
     return _round(_round(out.drop("pvalue", "stationary"), 5, "statistic"), 6, "crit_1", "crit_5", "crit_10")
 
 
+def solved_sql(rows, before=""):
+    """CTEs up to `fit` (event_type, m): the cross products of `rows` (event_type, x), all columns but the last eliminated."""
+    return f"""recursive {before}{_GRAM.format(name="gram", rows=rows)}, {_ELIMINATED.format(name="fits", gram="gram")},
+fit as (select event_type, arg_max(m, k) as m from fits group by 1)"""
+
+
+@query("adf_lagged", f"""
+with recursive y as (select event_type, count(*) as n, list(v order by hour) as y
+  from (select event_type, hour, v - avg(v) over (partition by event_type) as v from {HOURLY}) group by 1),
+own as (select event_type, [1.0, y[t - 1] - y[t - 2], y[t - 2] - y[t - 3], y[t - 1], y[t] - y[t - 1]] as x
+  from (select *, unnest(range(4, n + 1)) as t from y)),
+{_GRAM.format(name="gram", rows="own")}, {_ELIMINATED.format(name="fits", gram="gram")},
+last as (select event_type, n - 3 as obs, m[4][4] as a, m[4][5] as b, m[5][5] as c from fits join y using (event_type) where k = 3),
+t as (select event_type, obs, b / a / sqrt((c - b * b / a) / (obs - 4) / a) as t from last)
+select event_type, obs::bigint as n, round(t, 3) + 0.0 as statistic, t < -2.86 as stationary from t""")
+def adf_lagged(spark, folder):
+    return _round(T.adf(hourly(spark, folder), "v", ["event_type"], ["hour"], lags=2), 3, "statistic")
+
+
 _KPSS_AUTO = f"""
 with e as (select event_type, count(*) as n, list(v order by hour) as e from
   (select event_type, hour, v - m - coalesce(b, 0) * (t - (c + 1) / 2) as v from
