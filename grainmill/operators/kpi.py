@@ -39,6 +39,10 @@ STRONG, MODERATE, TOP_PAIRS = 0.9, 0.7, 3
 NO_RISK = "No significant risks detected based on available data."
 NO_OPPORTUNITY = "No clear opportunities identified; further domain analysis recommended."
 
+# Lines of the summary.
+KPI_HEAD = "Key KPIs identified:"
+NO_KPI = "No key performance indicators (KPIs) could be computed for this dataset."
+
 Template = Mapping[str, tuple]
 
 
@@ -83,8 +87,11 @@ def _aggregate(found: list[str], func: str | Callable[[list[str]], Column],
     raise ValueError(f"unknown KPI function: {func}")
 
 
-def insights(profile: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
-    """(kind, subject, message) from a numeric profile and ranked dependencies (both small)."""
+def insights(profile: DataFrame, dependencies: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """(kind, subject, message) from a numeric profile, ranked dependencies and (kpi, value) rows (all small).
+
+    With KPIs, a line of kind 'summary' for each and one above them.
+    """
     quoted = F.concat(F.lit("'"), F.col("column"), F.lit("'"))
 
     def rule(condition: Column, text: str) -> Column:
@@ -116,4 +123,11 @@ def insights(profile: DataFrame, dependencies: DataFrame | None = None) -> DataF
         F.when(F.col(kind) == 0, F.struct(F.lit(kind).alias("kind"), F.lit("").alias("subject"),
                                           F.lit(text).alias("message")))
         for kind, text in (("risk", NO_RISK), ("opportunity", NO_OPPORTUNITY))]))).alias("r"))
-    return found.unionByName(defaults.select("r.*"))
+    out = found.unionByName(defaults.select("r.*"))
+    if measured is None:
+        return out
+    head = measured.agg(F.when(F.count(F.lit(1)) > 0, KPI_HEAD).otherwise(NO_KPI).alias("message"))
+    lines = measured.select(F.col("kpi").alias("subject"), F.concat(
+        F.lit("- "), "kpi", F.lit(": "), F.format_number("value", 2)).alias("message"))
+    summary = head.select(F.lit("").alias("subject"), "message").unionByName(lines)
+    return out.unionByName(summary.withColumn("kind", F.lit("summary")))

@@ -206,8 +206,9 @@ def histograms(df: DataFrame, ends: dict[str, tuple[float, float]], bins: int =
     for c, (lo, hi) in ends.items():
         lows[c] = lo - 0.5 if lo == hi else lo
         widths[c] = (1.0 if lo == hi else hi - lo) / bins
-    hits = F.array(*[F.struct(F.lit(c).alias("column"), F.least(
-        F.floor((as_double(df, c) - lows[c]) / widths[c]), F.lit(bins - 1)).cast("int").alias("bin")) for c in ends])
+    # `least` passes over nulls, so they are kept out of it.
+    hits = F.array(*[F.struct(F.lit(c).alias("column"), F.when(as_double(df, c).isNotNull(), F.least(
+        F.floor((as_double(df, c) - lows[c]) / widths[c]), F.lit(bins - 1))).cast("int").alias("bin")) for c in ends])
     counts = (df.select(F.explode(hits).alias("h")).select("h.*").filter("bin is not null")
               .groupBy("column", "bin").agg(F.count(F.lit(1)).alias("n")))
     frame = _literal_table(df, [(c, i, lows[c] + i * widths[c], lows[c] + (i + 1) * widths[c])
@@ -253,9 +254,15 @@ def full_profile(df: DataFrame, bins: int = 10, k: int = 10) -> DataFrame:
         rows = [(c, *found[c]) for c in numbers]
         parts.append(melt(_literal_table(
             df, rows, "column string, min double, q25 double, q50 double, q75 double, max double")))
-        ends = {c: (v[0], v[-1]) for c, v in found.items() if v[0] is not None and isfinite(v[-1] - v[0])}
+        ends = {c: (v[0], v[-1]) for c, v in found.items() if v[0] is not None}
+        # A column that holds an infinity has the histogram of its other values.
+        finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c)) for c, v in ends.items() if not isfinite(v[1] - v[0])}
+        if finite:
+            inner = one_pass(df, {c: {"lo": F.min(v).cast("double"), "hi": F.max(v).cast("double")} for c, v in finite.items()}).collect()
+            ends |= {r["column"]: (r["lo"], r["hi"]) for r in inner}
+            ends = {c: v for c, v in ends.items() if v[0] is not None and isfinite(v[1] - v[0])}
         if ends:
-            parts.append(numbered(histograms(df, ends, bins), F.col("bin") + 1,
+            parts.append(numbered(histograms(df.withColumns(finite), ends, bins), F.col("bin") + 1,
                                   {"n": "bin_", "lower": "lower_", "upper": "upper_"}))
     if texts or flags:
         parts.append(melt(categorical_profile(df, [*texts, *flags])))

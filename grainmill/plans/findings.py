@@ -285,6 +285,20 @@ def insight_rules(spark, folder):
     return B.insights(P.numeric_profile(events, list(_SKEWS)), ranked)
 
 
+@query("insight_summary", """
+with k as (select unnest([{'k': 'Total Spend', 'v': sum(o_totalprice)}, {'k': 'Mean Order', 'v': avg(o_totalprice)},
+  {'k': 'Customers', 'v': count(distinct o_custkey)}]) as e from orders)
+select 'summary' as kind, '' as subject, 'Key KPIs identified:' as message
+union all select 'summary', e.k, '- ' || e.k || ': ' || format('{:,.2f}', e.v::double) from k
+union all select 'risk', '', 'No significant risks detected based on available data.'
+union all select 'opportunity', '', 'No clear opportunities identified; further domain analysis recommended.'""")
+def insight_summary(spark, folder):
+    orders = table(spark, folder, "orders")
+    measured = B.kpis(orders, "none", {"Total Spend": (("o_totalprice",), "sum"), "Mean Order": (("o_totalprice",), "mean"),
+                                       "Customers": (("o_custkey",), "nunique")})
+    return B.insights(P.numeric_profile(orders, ["o_orderkey"]), None, measured)
+
+
 # -- personal data ---------------------------------------------------------------------------
 def _quote(s):
     return s.replace("'", "''")

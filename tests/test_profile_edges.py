@@ -30,3 +30,17 @@ def test_full_profile_of_constants_and_nulls(spark):
     metrics = {(r["column"], r["metric"]): r["value"] for r in profile.full_profile(df).collect()}
     assert metrics["x", "lower_1"] == "4.5" and metrics["x", "bin_6"] == "2"
     assert ("y", "bin_1") not in metrics and metrics["y", "median"] is None
+
+
+def test_histogram_beside_an_infinity(spark):
+    from grainmill.operators.profile import full_profile
+    df = spark.createDataFrame([(float(k),) for k in range(10)] + [(float("inf"),), (None,)], "v double")
+    got = {r["metric"]: r["value"] for r in full_profile(df, bins=3).collect()}
+    assert [got[f"bin_{k}"] for k in (1, 2, 3)] == ["3", "3", "4"]
+
+
+def test_summary_without_kpis(spark):
+    from grainmill.operators import kpi, profile
+    df = spark.createDataFrame([(1.0,), (2.0,)], "v double")
+    lines = kpi.insights(profile.numeric_profile(df), None, kpi.kpis(df, "retail")).filter("kind = 'summary'").collect()
+    assert [r["message"] for r in lines] == [kpi.NO_KPI]
