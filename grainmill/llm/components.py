@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grainmill.llm.scratch import freeze
+from grainmill.llm.scratch import discard, store
 
 
 def _point(edges: DataFrame) -> DataFrame:
@@ -31,10 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    edges = freeze(edges.distinct())
+    edges = store(edges.distinct())
     before = state(edges)
     while before[0]:
-        edges = freeze(small_star(large_star(edges)))
+        further = store(small_star(large_star(edges)))
+        discard(edges)
+        edges = further
         now = state(edges)
         if now == before:
             break

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.components import components
-from grainmill.llm.scratch import bitmap, freeze, passed, store
+from grainmill.llm.scratch import bitmap, discard, passed, store
 from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix
 
 BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 40, 6, 24, 1e-6, 8, 32, 3
@@ -77,13 +77,13 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 
 def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, shingles: sorted 64-bit hashes)."""
+    """(doc, shingles: distinct 64-bit hashes)."""
     def judge(part: Slice) -> dict:
         values, first = shingle_sets(part, size)
-        return {"shingles": [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]}
+        return {"shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))}
 
     return map_text(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text",
-                    {"shingles": "binary"}, judge, ["doc"])
+                    {"shingles": "array<long>"}, judge, ["doc"])
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -134,28 +134,23 @@ def likely(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) whose full sets reach the similarity."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield batch.select([0, 1]).filter(pa.array(keep))
+    """Pairs (u, v) whose full sets reach the similarity; row by row, as batches of sets of long texts are large."""
+    both = F.size(F.array_intersect("left", "right"))
+    return pairs.filter((100 + percent) * both >= percent * (F.size("left") + F.size("right"))).select("u", "v")
 
-    kind = pairs.schema["u"].dataType.simpleString()
-    return pairs.select("u", "v", "left", "right").mapInArrow(run, f"u {kind}, v {kind}")
 
+def beside(pairs: DataFrame, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(u, v, left, right): `column` of both ends; rows of other documents are passed over before the shuffle.
 
-def beside(pairs: DataFrame, rows: DataFrame, column: str) -> DataFrame:
-    """(u, v, left, right): `column` of both ends; rows of other documents are passed over before the shuffle."""
-    pairs = store(pairs)
-    ends = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc")))
+    The second frame is what was stored on the way.
+    """
+    stored = store(pairs)
+    ends = stored.select(F.col("u").alias("doc")).union(stored.select(F.col("v").alias("doc")))
     near = passed(rows.select("doc", column), "doc", bitmap(ends, "doc"), True)
+    out = stored
     for end, name in (("v", "right"), ("u", "left")):
-        pairs = pairs.join(near.select(F.col("doc").alias(end), F.col(column).alias(name)), end)
-    return pairs.select("u", "v", "left", "right")
+        out = out.join(near.select(F.col("doc").alias(end), F.col(column).alias(name)), end)
+    return out.select("u", "v", "left", "right"), stored
 
 
 def pivots_of(members: DataFrame) -> DataFrame:
@@ -215,23 +210,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
     pairs = pairs.union(pivot_pairs(members, pivots)).distinct()
     links, turn = None, 0
     while True:
-        found = confirmed(beside(likely(beside(pairs, made, "minima"), percent), full, "shingles"), percent)
-        links = components(found if links is None else links.union(found))
+        # What a turn stored goes once what follows from it is stored.
+        minima, first = beside(pairs, made, "minima")
+        compared, second = beside(likely(minima, percent), full, "shingles")
+        found = confirmed(compared, percent)
+        before, links = links, components(found if links is None else links.union(found))
+        discard(before, first, second)
         # The pivots leave; what is left matters where two components still meet.
         labels = links.select(F.col("u").alias("doc"), F.col("v").alias("label"))
-        members = (members.join(pivots.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
-                   .join(labels, "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("component")))
-        mixed = (members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        left = (members.join(pivots.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+                .join(labels, "doc", "left").select("bucket", "doc", F.coalesce("label", "doc").alias("component")))
+        mixed = (left.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                  .filter("low != high").select("bucket"))
-        members = freeze(members.join(mixed, "bucket", "left_semi"))
+        former, members = members, store(left.join(mixed, "bucket", "left_semi"))
+        discard(former, pivots)
         if not members.take(1):
             break
         # A few links join most of what belongs together; only what is still apart then meets all pivots.
         turn += 1
         if turn <= SAMPLED_TURNS:
-            pivots, pairs = pivots.limit(0), sampled_pairs(members, turn)
+            pivots, pairs = members.select("bucket", "doc", "component").limit(0), sampled_pairs(members, turn)
         else:
-            pivots = freeze(pivots_of(members))
+            pivots = store(pivots_of(members))
             pairs = pivot_pairs(members, pivots)
     label = links.select(F.col("u").alias("same"), F.col("v").alias("label"))
     group = equal_ids(apart).join(label, "same", "left").select(

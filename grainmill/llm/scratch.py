@@ -27,7 +27,19 @@ def store(df: DataFrame) -> DataFrame:
     """Like `freeze`, as compressed Parquet: for many narrow rows, or columns that are read apart."""
     path = f"{shared_folder(df.sparkSession)}/rows-{uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete the files of `store` once all that was made of them is written itself."""
+    for df in stored:
+        path = getattr(df, "stored_at", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 BITS = 1 << 26
