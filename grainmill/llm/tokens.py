@@ -13,6 +13,7 @@ import numpy as np
 from grainmill.llm.text import Slice, Words
 
 CACHE_WORDS = 3_000_000
+ENCODE_WORDS = 4096
 _CACHES: dict[str, "WordCache"] = {}
 
 
@@ -35,9 +36,12 @@ class WordCache:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def add(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = self.encode(words)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+        parts = []
+        for begin in range(0, len(words), ENCODE_WORDS):  # an encoding is far larger than its ids
+            found = self.encode(words[begin:begin + ENCODE_WORDS])
+            count = np.fromiter(map(len, found), np.int32, len(found))
+            parts.append((count, np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))))
+        sizes, flat = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
         if self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate((self.ids[:self.used], np.zeros(max(self.used, len(flat)) + 1024, np.uint32)))
         self.ids[self.used:self.used + len(flat)] = flat
