@@ -33,6 +33,7 @@ BEGIN, BEGIN_WORDS = 25.0, 50  # scale of the beginnings' shares, and the fewest
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 QUALITY_AT_LEAST, TOXIC_BELOW = 0.5, 0.4
 SAMPLE_ROWS = 4000
+BLOCK = 1 << 20
 # Rows that must have a feature, and the end of the buckets a head uses: with beginnings, or with rarer features, the
 # quality head was wrong more often on unseen rows.
 HEADS = {"quality": (6, GRAM_END), "toxic": (3, BUCKETS)}
@@ -138,14 +139,21 @@ def fit_head(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.n
     seen[end:] = False
     kept = seen[column]
     row, value = row[kept], value[kept]
-    used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[column[kept]]
+    used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)[column[kept]]
+    parts = [slice(k, k + BLOCK) for k in range(0, len(row), BLOCK)]  # so that what a step makes on the way is small
 
     def margins(w: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * w[place], minlength=n) + w[-1]
+        out = np.zeros(n)
+        for part in parts:
+            out += np.bincount(row[part], value[part] * w[place[part]], minlength=n)
+        return out + w[-1]
 
     def gradient(w: np.ndarray) -> np.ndarray:
         error = balance * (1 / (1 + np.exp(-np.clip(margins(w), -40, 40))) - label)
-        return np.append(np.bincount(place, value * error[row], minlength=len(used)), error.sum()) + 3e-5 * w
+        out = np.zeros(len(used))
+        for part in parts:
+            out += np.bincount(place[part], value[part] * error[row[part]], minlength=len(used))
+        return np.append(out, error.sum()) + 3e-5 * w
 
     w = adam(gradient, len(used) + 1, 80, 0.3)
     margin = margins(w)[held]
