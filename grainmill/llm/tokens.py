@@ -12,7 +12,7 @@ import numpy as np
 
 from grainmill.llm.text import Slice, Words
 
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 500_000
 ENCODE_WORDS = 4096
 _CACHES: dict[str, "WordCache"] = {}
 
