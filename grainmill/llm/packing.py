@@ -189,7 +189,7 @@ def pieces(docs: DataFrame, key: str, text: str, tokenizer: str | None) -> DataF
 
             path = public_tokenizers.path(TOKENIZER)
         words, seen, partition = cache(str(path)), np.zeros(CLASSES + 1, np.int64), TaskContext.get().partitionId()
-        for part in slices(batches, "text", 1 << 22):
+        for part in slices(batches, "text", 1 << 20):
             ids, first = words.rows(part)
             row, start, length, crc, total = [], [], [], [], []
             for r in range(part.rows):

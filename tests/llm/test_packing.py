@@ -2,11 +2,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from grainmill.llm import packing
+from grainmill.llm import packing, tokens
+from grainmill.llm.text import slices
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,3 +65,17 @@ def test_knapsack_against_enumeration():
     best = max(0.3 * a + 0.5 * b + 0.62 * c for a in range(5) for b in range(3) for c in range(3)
                if 3 * a + 5 * b + 6 * c <= 14)
     assert abs(price - best) < 1e-9 and counts @ [3, 5, 6] <= 14
+
+
+def test_full_cache_keeps_frequent_words(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 60)
+    cache = tokens.WordCache(public_tokenizers.path(packing.TOKENIZER))
+    asked, encode = [], cache.encode
+    monkeypatch.setattr(cache, "encode", lambda words: (asked.extend(words), encode(words))[1])
+    texts = [" ".join(f"common{k} rare{k + 10 * i}x" for k in range(10)) for i in range(40)] + ["", "common1 <|endoftext|> É"]
+    for part in slices([pa.RecordBatch.from_pydict({"text": texts})], "text", 300):
+        ids, first = cache.rows(part)
+        for r, text in enumerate(part.batch.column(0).to_pylist()):
+            assert ids[first[r]:first[r + 1]].tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(cache.hashes) <= 60
+    assert [asked.count(f"common{k}") for k in range(10)] == [1] * 10
