@@ -6,12 +6,13 @@ time, of which one byte each is kept; a pair goes as
 soon as the posterior chance (uniform prior) that its similarity reaches the threshold falls below `MISS`.
 Survivors are confirmed on their full shingle sets.
 
-Equal sets are one representative from the start. Inside a band, pairs are made only between pivots (first the
-smallest member, then for a few turns two members of the largest component, then all members outside it,
-MOST_PIVOTS a round) and the others, and only while
-their components differ: once a pivot's links are known it leaves the band, and a band whose members lie in one
-component is done. Bands of `TINY` rows or fewer are compared in one round.
-No pair that could join two components stays unseen, and the pairs grow with the rows, not with their square.
+Equal sets are one representative from the start. Bands of `TINY` rows or fewer are compared in one round. In the
+others every member first meets one other, the smallest of its bands; then for a few turns two members of the largest
+component of a band; then pivots, all members outside that component, MOST_PIVOTS a round, meet all of other components.
+Only then a pivot leaves its band, and a band whose members lie in one component is done, so that no pair that could
+join two components stays unseen. Shingles that no other member has cannot be shared: a member with too few others is
+compared with none, and a pivot only with those that the others of both allow. Groups of copies with edits of their
+own are thereby told apart without their pairs (shared ones are bounded in each of PARTS parts of the hashes); pairs of members that share many edits, and no link, are all compared.
 
 Rows without a word are linked with nothing. A row with a null id has a null component and is kept. Rows with the
 same id are one document.
@@ -20,17 +21,21 @@ same id are one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.components import components
-from grainmill.llm.scratch import bitmap, discard, passed, store
-from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix
+from grainmill.llm.repeats import cell, cells_of
+from grainmill.llm.scratch import Cells, bit, bitmap, discard, passed, store
+from grainmill.llm.text import LOWER, Slice, Words, distinct_in_rows, gram_hashes, map_text, mix, rows_of, slices
 
-BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 40, 6, 24, 1e-6, 8, 32, 3
+BANDS, BAND_SIZE, STEP, MISS, TINY, MOST_PIVOTS, SAMPLED_TURNS = 40, 6, 24, 1e-6, 8, 128, 3
+PARTS = 32  # a power of two
 SIZE = BANDS * BAND_SIZE
 _RNG = np.random.default_rng(7041)
 _TIMES = _RNG.integers(1, 2**32, SIZE, dtype=np.uint32) | np.uint32(1)
@@ -76,14 +81,20 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return map_text(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text", fields, judge, ["doc"])
 
 
-def sets(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(doc, shingles: distinct 64-bit hashes)."""
-    def judge(part: Slice) -> dict:
-        values, first = shingle_sets(part, size)
-        return {"shingles": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))}
+def sets(docs: DataFrame, key: str, text: str, size: int, wanted: np.ndarray) -> DataFrame:
+    """(doc, shingles: distinct 64-bit hashes) of rows whose id falls into a set cell; one worker passes over and cuts."""
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
 
-    return map_text(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "text",
-                    {"shingles": "array<long>"}, judge, ["doc"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Cells(sent.value)
+        for part in slices((b.filter(pa.array(held[b.column(2).to_numpy()])) for b in batches), "text"):
+            values, first = shingle_sets(part, size)
+            yield pa.RecordBatch.from_pydict({"doc": part.batch.column(0), "shingles": pa.ListArray.from_arrays(
+                pa.array(first.astype(np.int32)), pa.array(values.view(np.int64)))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text"), bit(F.col(key)).alias("cell")).mapInArrow(
+        run, f"doc {kind}, shingles array<long>")
 
 
 def bands(rows: DataFrame) -> DataFrame:
@@ -169,22 +180,66 @@ def pivots_of(members: DataFrame) -> DataFrame:
     return few.union(crowd.select("bucket", "pivot.doc", "pivot.component"))
 
 
+def least_pairs(members: DataFrame) -> DataFrame:
+    """(u, v), u > v: each member with one other, the smallest that any of its buckets holds."""
+    least = members.groupBy("bucket").agg(F.min("doc").alias("v"))
+    return (members.join(least, "bucket").groupBy(F.col("doc").alias("u")).agg(F.min("v").alias("v"))
+            .filter("u > v"))
+
+
 def sampled_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(u, v), u > v: members outside the largest component of their bucket with two members of it, by a hash."""
+    """(u, v), u > v: members outside the largest component of a bucket with two members of such ones, by a hash."""
     sizes = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     tagged = members.join(top, "bucket")
     order = F.xxhash64("bucket", "doc", F.lit(turn))
     chosen = (tagged.filter("component = main").groupBy("bucket", F.pmod(order, F.lit(2)).alias("part"))
               .agg(F.min_by("doc", order).alias("pivot")))
+    hashed = F.xxhash64("pivot", "bucket", F.lit(turn))
+    two = F.array(F.min_by("pivot", hashed), F.max_by("pivot", hashed))  # of all buckets of a member
     return (tagged.filter("component != main").select("bucket", "doc").join(chosen, "bucket")
+            .groupBy("doc").agg(two.alias("pivots")).select("doc", F.explode("pivots").alias("pivot"))
             .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).distinct())
 
 
-def pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
-    """(u, v), u > v: each pivot with the members of its bucket that lie in other components."""
-    pivots = pivots.select("bucket", F.col("doc").alias("pivot"), F.col("component").alias("own"))
+def common_shingles(members: DataFrame, full: DataFrame) -> DataFrame:
+    """(doc, n, common: for each of PARTS parts of all hashes, the shingles that other members have too, or more).
+
+    Members link with members only, so what a link shares are `common` shingles of both ends. Those are counted by
+    the cells of a bitmap, which can only make them more.
+    """
+    sets = full.join(members.select("doc").distinct(), "doc", "left_semi")
+    spread = (sets.select("doc", F.explode("shingles").alias("shingle")).groupBy("shingle")
+              .agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high"))
+    sent = full.sparkSession.sparkContext.broadcast(np.packbits(cells_of(spread, "shingle")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Cells(sent.value)
+        for batch in batches:
+            first = batch.column(1).offsets.to_numpy().astype(np.int64)
+            names = batch.column(1).values.to_numpy().view(np.uint64)[first[0]:first[-1]]
+            part = (names >> np.uint64(40)).astype(np.int64) % PARTS + PARTS * rows_of(first)
+            counts = np.bincount(part[held[cell(names)]], minlength=PARTS * batch.num_rows).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({
+                "doc": batch.column(0), "n": pa.array(np.diff(first)), "common": pa.ListArray.from_arrays(
+                    pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * PARTS), pa.array(counts))})
+
+    return sets.select("doc", "shingles").mapInArrow(
+        run, f"doc {full.schema['doc'].dataType.simpleString()}, n long, common array<int>")
+
+
+def total(parts) -> Column:
+    return reduce(add, (parts(k) for k in range(PARTS)))
+
+
+def pivot_pairs(members: DataFrame, pivots: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """(u, v), u > v: each pivot with the members of other components in its bucket that it can be similar to."""
+    members = members.join(facts, "doc")
+    pivots = pivots.join(facts, "doc").select("bucket", F.col("doc").alias("pivot"), F.col("component").alias("own"),
+                                              F.col("n").alias("own_n"), F.col("common").alias("own_common"))
+    most = total(lambda k: F.least(F.col("common")[k], F.col("own_common")[k]))
     return (members.join(pivots, "bucket").filter("component != own")
+            .filter((100 + percent) * most >= percent * (F.col("n") + F.col("own_n")))
             .select(F.greatest("doc", "pivot").alias("u"), F.least("doc", "pivot").alias("v")).distinct())
 
 
@@ -198,17 +253,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     active = store(rows.join(shared, "bucket"))
     # Sets are made of the documents in shared buckets, and of the few others that fall into their bitmap's cells.
-    wanted = passed(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc",
-                    bitmap(active, "doc"), True)
-    full = store(sets(wanted, "doc", "text", size).dropDuplicates(["doc"]))
+    full = store(sets(docs, key, text, size, bitmap(active, "doc")).dropDuplicates(["doc"]))
 
     tiny = active.filter(F.col("members") <= TINY)
     pairs = tiny.select("bucket", F.col("doc").alias("u")).join(
         tiny.select("bucket", F.col("doc").alias("v")), "bucket").filter("u > v").select("u", "v")
     members = active.filter(F.col("members") > TINY).select("bucket", "doc", F.col("doc").alias("component"))
-    pivots = members.groupBy("bucket").agg(F.min("doc").alias("doc"), F.min("component").alias("component"))
-    pairs = pairs.union(pivot_pairs(members, pivots)).distinct()
-    links, turn = None, 0
+    pivots = members.limit(0)
+    pairs = pairs.union(least_pairs(members)).distinct()
+    links, turn, facts = None, 0, None
     while True:
         # What a turn stored goes once what follows from it is stored.
         minima, first = beside(pairs, made, "minima")
@@ -228,11 +281,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 4, key: str
             break
         # A few links join most of what belongs together; only what is still apart then meets all pivots.
         turn += 1
+        if turn == 1:
+            # Who shares too few shingles with all others together is linked with none of them.
+            facts = store(common_shingles(members, full))
+            able = facts.filter(100 * total(lambda k: F.col("common")[k]) >= percent * F.col("n"))
+            former, members = members, store(members.join(able, "doc", "left_semi"))
+            discard(former)
         if turn <= SAMPLED_TURNS:
             pivots, pairs = members.select("bucket", "doc", "component").limit(0), sampled_pairs(members, turn)
         else:
             pivots = store(pivots_of(members))
-            pairs = pivot_pairs(members, pivots)
+            pairs = pivot_pairs(members, pivots, facts, percent)
     label = links.select(F.col("u").alias("same"), F.col("v").alias("label"))
     group = equal_ids(apart).join(label, "same", "left").select(
         "a", "b", "n_shingles", F.coalesce("label", "same").alias("component"))

@@ -65,3 +65,32 @@ def test_empty_null_id_and_clashing_names(spark):
 def test_long_chain_of_components(spark):
     chain = spark.range(1, 60).select((F.col("id") + 1).alias("u"), F.col("id").alias("v"))
     assert {tuple(r) for r in components(chain).collect()} == {(k, 1) for k in range(2, 61)}
+
+
+def test_pairs_of_copies_with_own_edits(spark, monkeypatch):
+    """Near copies that differ too much from each other are told apart without all their pairs."""
+    rows = []
+    for k in range(300):
+        words = [f"w{j}" for j in range(120)]
+        for j in range(4):
+            words[(k * 7 + 29 * j) % 120] = f"x{k}y{j}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000, " ".join(f"w{j}" for j in range(120))), (1001, rows[0][1] + " end")]
+    made, pivot_pairs = [], near.pivot_pairs
+
+    def counted(*given):
+        out = pivot_pairs(*given)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near, "pivot_pairs", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(near.near_duplicates(docs)) == brute(rows)
+    assert sum(made) < len(rows)
+
+
+def test_sets_are_made_in_one_worker(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d e f g")], "doc_id long, text string")
+    made = near.sets(docs, "doc_id", "text", 4, near.bitmap(docs.filter("doc_id = 2"), "doc_id"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(r.doc, len(r.shingles)) for r in made.collect()] == [(2, 2)]
