@@ -17,12 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from grainmill.llm.text import (BYTE_VALUES, LOWER, Slice, Words, distinct_in_rows, gram_hashes, gram_starts_of,
-                                map_text, mix, prefix_sums, row_sums, slices, span_hashes)
+from grainmill.llm.text import (BYTE_VALUES, LOWER, Slice, Words, distinct_in_rows, give_back, gram_hashes,
+                                gram_starts_of, map_text, mix, prefix_sums, row_sums, slices, span_hashes)
 
 WORD_BUCKETS, PAIR_BUCKETS, CHAR_BUCKETS, CHAR_SIZE = 1 << 20, 1 << 18, 1 << 16, 4
 BEGIN_BUCKETS, BEGIN_SIZES = 1 << 18, (5, 7)  # bytes of a word's beginning; a table of buckets each
@@ -127,19 +128,30 @@ def adam(gradient, size: int, rounds: int, rate: float) -> np.ndarray:
     return w
 
 
-def fit_head(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.ndarray, least: int,
+def fit_head(columns: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, least: int,
              end: int) -> Head | None:
-    """Fit on four fifths of the rows, calibrate on the fifth left out; None if a class has under ten rows."""
+    """Fit on four fifths of the rows, calibrate on the fifth left out; None if a class has under ten rows.
+
+    `columns` has the distinct features of each row. Only those that are used are laid out for the steps.
+    """
     if min((label == 0).sum(), (label == 1).sum()) < 10:
         return None
     n = len(label)
     held = np.arange(n) % 5 == 4
     balance = np.where(label == 1, n / (2 * (label == 1).sum()), n / (2 * (label == 0).sum())) * ~held / n
-    seen = np.bincount(column, minlength=BUCKETS) >= least  # what fewer have is learned by heart, says little of others
+    rows_with = np.zeros(BUCKETS, np.int32)
+    for column in columns:
+        rows_with[column] += 1
+    seen = rows_with >= least  # what fewer have is learned by heart, says little of others
     seen[end:] = False
-    kept = seen[column]
-    row, value = row[kept], value[kept]
-    used, place = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)[column[kept]]
+    used, number = np.flatnonzero(seen), (np.cumsum(seen) - 1).astype(np.int32)
+    sizes = np.array([np.count_nonzero(seen[column]) for column in columns])
+    row = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    place, value, at = np.empty(len(row), np.int32), np.empty(len(row), np.float32), 0
+    for column, own, size in zip(columns, values, sizes.tolist(), strict=True):
+        kept = seen[column]
+        place[at:at + size], value[at:at + size] = number[column[kept]], own[kept]
+        at += size
     parts = [slice(k, k + BLOCK) for k in range(0, len(row), BLOCK)]  # so that what a step makes on the way is small
 
     def margins(w: np.ndarray) -> np.ndarray:
@@ -193,20 +205,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
                 "columns": pa.array(columns, pa.binary()), "values": pa.array(values, pa.binary())})
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(batches, features_schema).sort_by("id")
+        rows = pa.Table.from_batches(batches, features_schema)
+        order = pc.sort_indices(rows["id"]).to_numpy()  # the features are left where they are
         columns = [np.frombuffer(b.as_buffer(), np.int32) for b in rows["columns"]]
         values = [np.frombuffer(b.as_buffer(), np.float32) for b in rows["values"]]
         for name, (least, end) in HEADS.items():
             label = rows[name].to_numpy()
-            have = np.flatnonzero(np.isfinite(label.astype(float))) if len(label) else np.zeros(0, int)
+            have = order[np.isfinite(label.astype(float))[order]] if len(label) else np.zeros(0, int)
             if len(have) == 0:
                 continue
-            row = np.repeat(np.arange(len(have), dtype=np.int32), [len(columns[i]) for i in have])
-            head = fit_head(row, np.concatenate([columns[i] for i in have]), np.concatenate([values[i] for i in have]),
-                            (label[have] > 0).astype(float), least, end)
+            head = fit_head([columns[i] for i in have], [values[i] for i in have], (label[have] > 0).astype(float), least,
+                            end)
             if head:
                 yield pa.RecordBatch.from_pydict({"head": [name], "weights": pa.array([head.weights.tobytes()], pa.binary()),
                                                   "bias": [head.bias], "slope": [head.slope], "shift": [head.shift]})
+        del rows, columns, values
+        give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     fields = f"id {kind}, quality double, toxic double, columns binary, values binary"

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -45,3 +47,20 @@ def test_unseen_labels_of_each_language(spark):
     for missed, n_toxic, flagged, n_clean, _ in found.values():
         assert missed <= 1 + 0.1 * n_toxic and flagged <= 1 + 0.02 * n_clean
     assert sum(f[4] for f in found.values()) <= 0.02 * len(rows)
+
+
+def test_training_lays_out_only_used_features():
+    """What a fit takes beside the features it is given stays below their own size."""
+    rng = np.random.default_rng(3)
+    columns = [np.sort(rng.choice(quality.BUCKETS, 3000, replace=False)).astype(np.int32) for _ in range(1500)]
+    for c in columns[::2]:
+        c[:20] = np.arange(20)
+    values = [np.ones(len(c), np.float32) for c in columns]
+    label = (np.arange(len(columns)) % 2).astype(float)
+    tracemalloc.start()
+    head = quality.fit_head(columns, values, label, 6, quality.BUCKETS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (head.weights[:20] < 0).all()
+    # Tables of all buckets and the steps' blocks have a fixed size.
+    assert peak < sum(c.nbytes + v.nbytes for c, v in zip(columns, values, strict=True)) + 80 * quality.BUCKETS
