@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from grainmill.llm import repeats
 from grainmill.llm.text import Words
@@ -88,3 +89,16 @@ def test_words_repeated_beside_one_copy(spark):
     rows = list(enumerate(edge_texts(np.random.default_rng(2), 400)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(repeats.remove_repeats(docs)) == brute(rows)
+
+
+def test_texts_that_share_no_window_are_passed_over(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(1, passage), (2, "a b " + passage), (3, " ".join(f"q{k}" for k in range(80))), (4, None)]
+    docs = spark.createDataFrame(rows, "doc long, text string").withColumn("mark", F.xxhash64("doc"))
+    named = repeats.anchor_rows(docs.select("doc", "text"), 50)
+    spread = (named.select("a", F.explode("anchors").alias("anchor")).groupBy("anchor")
+              .agg(F.min("a").alias("low"), F.max("a").alias("high")).filter("low != high"))
+    cells = repeats.cells_of(spread, "anchor")
+    assert {r.doc for r in repeats.sharing(named, cells).collect()} == {1, 2}
+    only = repeats.bitmap(docs.filter("doc = 2"), "doc")
+    assert {r.doc for r in repeats.region_rows(docs, 50, cells, only).collect()} == {2}
