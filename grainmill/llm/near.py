@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def sets(docs: DataFrame, key: str, text: str, size: int, wanted: np.ndarray) -> DataFrame:
     """(doc, shingles: distinct 64-bit hashes) of rows whose id falls into a set cell; one worker passes over and cuts."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+    sent = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells(sent.value)
@@ -211,7 +211,7 @@ def common_shingles(members: DataFrame, full: DataFrame) -> DataFrame:
     sets = full.join(members.select("doc").distinct(), "doc", "left_semi")
     spread = (sets.select("doc", F.explode("shingles").alias("shingle")).groupBy("shingle")
               .agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low != high"))
-    sent = full.sparkSession.sparkContext.broadcast(np.packbits(cells_of(spread, "shingle")))
+    sent = full.sparkSession.sparkContext.broadcast(cells_of(spread, "shingle"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = Cells(sent.value)
