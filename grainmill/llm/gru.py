@@ -33,34 +33,58 @@ def initial() -> np.ndarray:
     return flat
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
 def step(p: dict[str, np.ndarray], given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(new state, gates, candidate, recurrent part) for inputs already looked up in x."""
-    part = h @ p["u"]
-    gates = sigmoid(given[:, :2 * STATE] + part[:, :2 * STATE])
-    fresh = np.tanh(given[:, 2 * STATE:] + gates[:, STATE:] * part[:, 2 * STATE:])
-    z = gates[:, :STATE]
-    return fresh + z * (h - fresh), gates, fresh, part[:, 2 * STATE:]
+    """(new state, gates, candidate, recurrent part) for inputs already looked up in x; lanes lie in columns inside."""
+    given, h = given.T, h.T
+    part = p["u"].T @ h
+    gates = part[:2 * STATE] + given[:2 * STATE]
+    gates *= 0.5
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    fresh = gates[STATE:] * part[2 * STATE:]
+    fresh += given[2 * STATE:]
+    np.tanh(fresh, out=fresh)
+    new = h - fresh
+    new *= gates[:STATE]
+    new += fresh
+    return new.T, gates.T, fresh.T, part[2 * STATE:].T
+
+
+def by_side(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the targets by their class, and where each class begins; few bits are sorted in one pass."""
+    side = (target // SIDE).astype(np.uint16)
+    order = np.argsort(side, kind="stable")
+    return order, np.searchsorted(side[order], np.arange(SIDE + 1))
 
 
 def softmax(logits: np.ndarray) -> np.ndarray:
-    e = np.exp(logits - logits.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Of each column, in place."""
+    logits -= logits.max(axis=0)
+    np.exp(logits, out=logits)
+    logits /= logits.sum(axis=0)
+    return logits
+
+
+def side_shares(p: dict[str, np.ndarray], hs: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the classes, and of the symbols in the class, for the states of targets in the order of classes."""
+    outer = p["c"].T @ hs.T
+    outer += p["cb"][:, None]
+    inner = np.empty((SIDE, len(hs)), hs.dtype)
+    for c in np.flatnonzero(np.diff(cut)):
+        own = slice(cut[c], cut[c + 1])
+        inner[:, own] = p["s"][c].T @ hs[own].T
+        inner[:, own] += p["sb"][c][:, None]
+    return softmax(outer), softmax(inner)
 
 
 def log_shares(p: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target under its state."""
-    side, inside = target // SIDE, target % SIDE
-    out = np.log(np.maximum(softmax(h @ p["c"] + p["cb"])[np.arange(len(h)), side], 1e-30))
-    order = np.argsort(side, kind="stable")
-    cut = np.searchsorted(side[order], np.arange(SIDE + 1))
-    for c in np.flatnonzero(np.diff(cut)):
-        own = order[cut[c]:cut[c + 1]]
-        share = softmax(h[own] @ p["s"][c] + p["sb"][c])[np.arange(len(own)), inside[own]]
-        out[own] += np.log(np.maximum(share, 1e-30))
+    order, cut = by_side(target)
+    outer, inner = side_shares(p, h[order], cut)
+    goal, at = target[order], np.arange(len(order))
+    out = np.empty(len(order))
+    out[order] = np.log(np.maximum(outer[goal // SIDE, at], 1e-30)) + np.log(np.maximum(inner[goal % SIDE, at], 1e-30))
     return out
 
 
@@ -71,9 +95,9 @@ def train(flat: np.ndarray, symbols: np.ndarray, starts: np.ndarray, begin: int,
     lanes = int(np.clip(n // 4000, 8, 512))
     length = -(-n // lanes)
     pad = lanes * length - n
-    lane = lambda v, fill: np.append(v, np.full(pad, fill, v.dtype)).reshape(lanes, length).T
+    lane = lambda v, fill: np.append(v, np.full(pad, fill, v.dtype)).reshape(lanes, length).T.copy()
     given = np.where(starts, begin, np.append(begin, symbols[:-1]))
-    target, given = lane(symbols, 0), lane(given, 0)
+    target, given = lane(symbols.astype(np.uint16), 0), lane(given.astype(np.uint16), 0)  # sorted in one pass
     keep, weight = lane(1 - starts.astype(np.float32), 1), lane(np.ones(n, np.float32), 0)
     m, v, t = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0
     total = rounds * -(-length // WINDOW)
@@ -96,47 +120,53 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
     """The state after a window (time, lanes) and the gradient of its mean log loss."""
     time, lanes = given.shape
     before, saved, states = [], [], np.empty((time, lanes, STATE), np.float32)
-    looked = p["x"][given]
+    looked = np.ascontiguousarray(p["x"][given].transpose(0, 2, 1))
     for t in range(time):
         h = h * keep[t][:, None]
-        before.append(h)
-        h, *rest = step(p, looked[t], h)
+        before.append(h.T)
+        h, *rest = step(p, looked[t].T, h)
         states[t] = h
-        saved.append(rest)
+        saved.append([x.T for x in rest])
     flat = np.zeros(SIZE, np.float32)
     g = views(flat)
-    hs, goal = states.reshape(-1, STATE), target.ravel()
-    scale = (weight / max(weight.sum(), 1)).ravel()[:, None]
-    side, inside = goal // SIDE, goal % SIDE
-    error = softmax(hs @ p["c"] + p["cb"])
-    error[np.arange(len(goal)), side] -= 1
-    error *= scale
-    g["c"][...], g["cb"][...] = hs.T @ error, error.sum(axis=0)
-    back = error @ p["c"].T
-    order = np.argsort(side, kind="stable")
-    cut = np.searchsorted(side[order], np.arange(SIDE + 1))
+    goal = target.ravel()
+    scale = (weight / max(weight.sum(), 1)).ravel()
+    order, cut = by_side(goal)
+    hs, goal, scale, at = states.reshape(-1, STATE)[order], goal[order], scale[order], np.arange(len(goal))
+    outer, inner = side_shares(p, hs, cut)
+    outer[goal // SIDE, at] -= 1
+    inner[goal % SIDE, at] -= 1
+    outer *= scale
+    inner *= scale
+    g["c"][...], g["cb"][...] = (outer @ hs).T, outer.sum(axis=1)
+    sorted_back = outer.T @ p["c"].T
     for c in np.flatnonzero(np.diff(cut)):
-        own = order[cut[c]:cut[c + 1]]
-        error = softmax(hs[own] @ p["s"][c] + p["sb"][c])
-        error[np.arange(len(own)), inside[own]] -= 1
-        error *= scale[own]
-        g["s"][c], g["sb"][c] = hs[own].T @ error, error.sum(axis=0)
-        back[own] += error @ p["s"][c].T
-    back = back.reshape(time, lanes, STATE)
-    later = np.zeros((lanes, STATE), np.float32)
+        own = slice(cut[c], cut[c + 1])
+        g["s"][c], g["sb"][c] = (inner[:, own] @ hs[own]).T, inner[:, own].sum(axis=1)
+        sorted_back[own] += inner[:, own].T @ p["s"][c].T
+    back = np.empty_like(sorted_back)
+    back[order] = sorted_back
+    back = np.ascontiguousarray(back.reshape(time, lanes, STATE).transpose(0, 2, 1))
+    later = np.zeros((STATE, lanes), np.float32)
     inputs = np.empty((time, lanes, 3 * STATE), np.float32)
+    own, recurrent = np.empty((3 * STATE, lanes), np.float32), np.empty((3 * STATE, lanes), np.float32)
+    slope = np.zeros((3 * STATE, STATE), np.float32)
     for t in range(time - 1, -1, -1):
         gates, fresh, part = saved[t]
-        z, r = gates[:, :STATE], gates[:, STATE:]
+        z, r = gates[:STATE], gates[STATE:]
         dh = back[t] + later
-        new = dh * (1 - z) * (1 - fresh**2)
-        inputs[t, :, :STATE] = dh * (before[t] - fresh) * z * (1 - z)
-        inputs[t, :, STATE:2 * STATE] = new * part * r * (1 - r)
-        inputs[t, :, 2 * STATE:] = new
-        recurrent = inputs[t].copy()
-        recurrent[:, 2 * STATE:] *= r
-        g["u"] += before[t].T @ recurrent
-        later = (dh * z + recurrent @ p["u"].T) * keep[t][:, None]
+        rest = 1 - z
+        new = dh * rest
+        new *= 1 - fresh**2
+        own[:STATE] = dh * (before[t] - fresh) * z * rest
+        own[STATE:2 * STATE] = new * part * r * (1 - r)
+        own[2 * STATE:] = new
+        inputs[t] = own.T
+        recurrent[...] = own
+        recurrent[2 * STATE:] *= r
+        slope += recurrent @ before[t].T
+        later = (dh * z + p["u"] @ recurrent) * keep[t]
+    g["u"][...] = slope.T
     flat_given = given.ravel()
     order = np.argsort(flat_given, kind="stable")
     cut = np.flatnonzero(np.append(True, flat_given[order][1:] != flat_given[order][:-1]))
@@ -147,21 +177,20 @@ def window_gradient(p: dict[str, np.ndarray], given: np.ndarray, target: np.ndar
 def score(flat: np.ndarray, symbols: np.ndarray, first: np.ndarray, begin: int) -> np.ndarray:
     """Natural log probability of each text's symbols; all texts of a block step together, the longest to the end."""
     p, sizes = views(flat), np.diff(first)
+    x = np.ascontiguousarray(p["x"].T)
     order = np.argsort(-sizes, kind="stable")
     sizes, at = sizes[order], first[:-1][order]
     out, h = np.zeros(len(order)), np.zeros((len(order), STATE), np.float32)
     for t in range(0, int(sizes[0]) if len(sizes) else 0, 4 * WINDOW):
         alive = int(np.searchsorted(-sizes, -t, "left"))  # sizes above t
-        h = h[:alive]
         hs, goals, rows = [], [], []
         for k in range(t, min(t + 4 * WINDOW, int(sizes[0]))):
             own = int(np.searchsorted(-sizes, -k, "left"))
             if own == 0:
                 break
             given = symbols[at[:own] + k - 1] if k else np.full(own, begin)
-            new = step(p, p["x"][given], h[:own])[0]
-            h = new
-            hs.append(new), goals.append(symbols[at[:own] + k]), rows.append(np.arange(own))
+            h = step(p, x[:, given].T, h[:own])[0]
+            hs.append(h), goals.append(symbols[at[:own] + k]), rows.append(np.arange(own))
         logs = log_shares(p, np.concatenate(hs), np.concatenate(goals))
         out[:alive] += np.bincount(np.concatenate(rows), logs, minlength=alive)
     back = np.empty(len(order))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from grainmill.llm import gru
 from grainmill.llm.scratch import freeze
-from grainmill.llm.text import LOWER, Words, slices
+from grainmill.llm.text import LOWER, Words, give_back, hold, slices
 
 BLOCK_BYTES = 12 << 20
 END = np.uint64(0x656E645F746F6B65)  # the end token's place among word hashes
@@ -59,6 +59,7 @@ def encode(docs: DataFrame, key: str, text: str) -> DataFrame:
                 ("counts", counts))}})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         block, parts, size = TaskContext.get().partitionId() << 24, [], 0
         for part in slices(batches, "text"):
             words = Words(part.data, part.offsets)
@@ -167,6 +168,7 @@ def train_network(blocks: DataFrame, known: Vocabulary) -> np.ndarray:
 
     def tuned(start: np.ndarray, rate: float):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hold()
             flat, tokens = start, 0
             for batch in batches:
                 for r in range(batch.num_rows):
@@ -176,6 +178,7 @@ def train_network(blocks: DataFrame, known: Vocabulary) -> np.ndarray:
                         rounds = int(np.clip(np.ceil(LEAST_UPDATES / updates), 1, MOST_ROUNDS))
                         flat = gru.train(flat, symbols, starts, known.begin, rounds, rate)
                         tokens += len(symbols)
+            give_back()
             if tokens:
                 yield pa.RecordBatch.from_pydict({
                     "place": pa.array(np.arange(gru.SIZE, dtype=np.int32)),
@@ -206,6 +209,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     kind = docs.schema[key].dataType.simpleString()
 
     def judge(block: pa.Table, more: pa.Table) -> pa.Table:
+        hold()
         outs = []
         for batch in block.combine_chunks().to_batches():
             for r in range(batch.num_rows):
@@ -226,6 +230,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                     "train_tokens": pa.array(np.full(len(sizes), known.n, np.int64)),
                     "base_score": pa.array(add(np.log10(frequency))),
                     "score": pa.array((network + add(share)) / np.log(10))}))
+        give_back()
         return pa.concat_tables(outs)
 
     schema = (f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
