@@ -63,3 +63,23 @@ def test_match_lengths_against_comparison():
         return next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
 
     assert got.tolist() == [max(common(x, y) for j, y in enumerate(suffixes) if j != i) for i, x in enumerate(suffixes)]
+
+
+def test_cuts_move_only_to_their_shards(spark, monkeypatch):
+    passage = "".join(chr(97 + k) for k in np.random.default_rng(8).integers(0, 26, 500))
+    rows = [(k, f"{k} " * 30 + passage + f" {k}" * 30) for k in range(6)]
+    made, held = [], bytespans.hot_rows
+
+    def noted(rows, length):
+        made.append(rows)
+        return held(rows, length)
+
+    monkeypatch.setattr(bytespans, "hot_rows", noted)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert result(bytespans.remove_repeated_bytes(docs)) == brute(rows, 400)
+        assert "Exchange hashpartitioning" not in made[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
